@@ -4,8 +4,9 @@ The text is marked as the library does (a space becomes U+2581, one marker goes
 and cut in front of each run of markers. No piece of the model has a marker behind another
 character (`crosses_markers` checks the vocabulary), so merges never cross a cut. Each block of texts
 gets a table of its distinct marked words; every one of them is segmented once and ids are
-joined back by position. The table lives as long as its task's memory bound allows and is
-then begun anew, so memory stays bounded; no rows move between tasks.
+joined back by position. A Python worker keeps its table from block to block and task to task
+until it reaches its bound, then begins it anew: memory is bounded, no rows move between tasks,
+and a lost executor costs only its own tasks.
 
 Null and empty texts have no ids and decode to "". Rows are kept one to one, repeats too.
 A model whose pieces cross markers is encoded text by text.
@@ -18,6 +19,7 @@ import re
 from collections.abc import Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -25,11 +27,11 @@ from pyspark.sql import types as T
 MARK = "▁"
 _CUT = re.compile("[ ▁]+[^ ▁]*")
 #: Distinct marked words (and characters in them) a task keeps before it starts a new table.
-TABLE_CHUNKS, TABLE_CHARS = 400_000, 16 << 20
+TABLE_CHUNKS, TABLE_CHARS = 1_000_000, 24 << 20
 
 
 class ChunkTable:
-    """Marked word -> ids, and the ids as text."""
+    """Marked word -> its ids in decimal, joined by commas, and the text they decode to."""
 
     def __init__(self, model_path: str):
         import sentencepiece
@@ -37,8 +39,7 @@ class ChunkTable:
         self.model = sentencepiece.SentencePieceProcessor(model_file=model_path)
         self.mark = self.model.piece_to_id(MARK)
         self.whole = crosses_markers(self.model)
-        self.ids: dict[str, list[int]] = {}
-        self.strings: dict[str, str] = {}
+        self.ids: dict[str, str] = {}
         self.surface: dict[str, str] = {}
         self.chars = 0
 
@@ -46,40 +47,36 @@ class ChunkTable:
         return _CUT.findall(" " + text) if text else []
 
     def add(self, chunks: set[str]) -> None:
-        """Segment the chunks the table lacks, each once."""
+        """Segment the chunks that the table lacks, each once, and decode them."""
         if len(self.ids) > TABLE_CHUNKS or self.chars > TABLE_CHARS:
-            self.ids, self.strings, self.surface, self.chars = {}, {}, {}, 0
+            self.ids, self.surface, self.chars = {}, {}, 0
         new = [c for c in chunks if c not in self.ids]
         self.chars += sum(map(len, new))
         # The library puts one marker in front of what it is given; an empty rest would get none.
-        for c, ids in zip(new, self.model.encode([c[1:] for c in new], num_threads=1), strict=True):
-            self.ids[c] = ids if len(c) > 1 else [self.mark]
+        ids = [x or [self.mark] for x in self.model.encode([c[1:] for c in new], num_threads=1)]
+        self.ids.update(zip(new, [",".join(map(str, x)) for x in ids], strict=True))
+        # A chunk decoded by itself lacks the one marker that the library drops in front.
+        self.surface.update((c, c if c == " " + x else " " + x) for c, x in zip(new, self.model.decode(ids), strict=True))
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def written(self, texts: list[str]) -> list[tuple[str, str]]:
+        """Each text's ids in decimal, joined by commas, and the text they decode to."""
         if self.whole:
-            return self.model.encode(texts, num_threads=1)
+            ids = self.model.encode(texts, num_threads=1)
+            return [(",".join(map(str, x)), y) for x, y in zip(ids, self.model.decode(ids), strict=True)]
         cut = [self.cut(t) for t in texts]
         self.add(set(chain.from_iterable(cut)))
-        get = self.ids.__getitem__
-        return [list(chain.from_iterable(map(get, c))) for c in cut]
+        ids, surface = self.ids.__getitem__, self.surface.__getitem__
+        return [(",".join(map(ids, c)), "".join(map(surface, c))[1:]) for c in cut]
 
-    def written(self, texts: list[str]) -> list[tuple[str, str]]:
-        """Each text's ids in decimal, joined by commas, and the text they decode to.
 
-        Both are joined by position from what each distinct chunk gives: its ids once written,
-        and once decoded (a chunk's own decoding lacks the one marker the library drops in front)."""
-        if self.whole:
-            ids = self.encode(texts)
-            return [(",".join(map(str, x)), y) for x, y in zip(ids, self.model.decode(ids), strict=True)]
-        cut = [self.cut(t) for t in texts]
-        chunks = list(set(chain.from_iterable(cut)))
-        self.add(set(chunks))
-        new = [c for c in chunks if c not in self.strings]
-        ids = [self.ids[c] for c in new]
-        self.strings.update(zip(new, [",".join(map(str, x)) for x in ids], strict=True))
-        self.surface.update(zip(new, [" " + x for x in self.model.decode(ids)], strict=True))
-        string, surface = self.strings.__getitem__, self.surface.__getitem__
-        return [(",".join(map(string, c)), "".join(map(surface, c))[1:]) for c in cut]
+_tables: dict[str, ChunkTable] = {}
+
+
+def chunk_table(model_path: str) -> ChunkTable:
+    """The worker's own table for a model."""
+    if model_path not in _tables:
+        _tables[model_path] = ChunkTable(model_path)
+    return _tables[model_path]
 
 
 def crosses_markers(model) -> bool:
@@ -106,12 +103,14 @@ def encode(docs: DataFrame, model_path: str, text: str = "text", ids: str = "ids
     docs = docs.select(*[f"`{c}`" for c in kept])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks = ChunkTable(model_path)
+        chunks = chunk_table(model_path)
         for batch in batches:
             at = 0
             for block in _in_blocks(batch.column(kept.index(text))):
-                found = chunks.encode(block)
-                out = [pa.array(found, pa.list_(pa.int32()))] + ([pa.array(chunks.model.decode(found), pa.string())] if decoded else [])
+                found = chunks.written(block)
+                out = [pa.array([np.fromstring(x, np.int32, sep=",") for x, _ in found], pa.list_(pa.int32()))]
+                if decoded:
+                    out.append(pa.array([y for _, y in found], pa.string()))
                 part = batch.slice(at, len(block))
                 yield pa.RecordBatch.from_arrays([*part.columns, *out], names=[*kept, *[f.name for f in new]])
                 at += len(block)
@@ -125,7 +124,7 @@ def digest(docs: DataFrame, model_path: str) -> DataFrame:
     Digests are taken where ids are made, so that neither ids nor texts travel."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks = ChunkTable(model_path)
+        chunks = chunk_table(model_path)
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
         for batch in batches:
             at = 0
