@@ -20,7 +20,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-WEIGHTS, MOST, BUCKETS = (5, 2, 1), 3, 4096
+from .shared import written
+
+WEIGHTS, MOST, BUCKETS, SALTS = (5, 2, 1), 3, 4096, 64
 #: Quality weight: near 1 for ordinary words, down to 1/2 for texts of very short or very long ones.
 USUAL_WORD = 6.0
 
@@ -49,11 +51,16 @@ def targets(sizes: DataFrame) -> DataFrame:
     return levels.select("source", "source_size", F.least(F.col("weight") * F.col("level"), F.col("most")).alias("target"))
 
 
-def _parts(docs: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
-    """(documents with key and bucket, per source: target, epochs, rest and the bucket in which it ends)."""
-    rows = docs.withColumns({"size": _size(text), "chars": F.coalesce(F.length(text), F.lit(0))}).withColumn("key", _key())
+def _keyed(docs: DataFrame, text: str) -> DataFrame:
+    """docs without its text, with size, key, bucket, a hash to order repeated doc_ids by, and a salt."""
+    rows = docs.withColumns({"size": _size(text), "chars": F.coalesce(F.length(text), F.lit(0)), "tie": F.xxhash64(text)}).withColumn("key", _key())
     # 1 - exp(-key) is even in (0, 1) for weight 1, and keeps the order of the keys.
     rows = rows.withColumn("bucket", F.least(F.floor((1 - F.exp(-F.col("key"))) * BUCKETS), F.lit(BUCKETS - 1)))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("key", "tie"), F.lit(SALTS)).cast("int")).drop("chars", text)
+
+
+def _goals(rows: DataFrame) -> DataFrame:
+    """Per source (as `of`): its size, target, epochs, rest, and the bucket in which the rest ends."""
     buckets = rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     goals = targets(buckets.groupBy("source").agg(F.sum("bucket_size").alias("source_size")))
     goals = goals.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
@@ -62,32 +69,32 @@ def _parts(docs: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
     ends = buckets.withColumn("filled", F.coalesce(F.sum("bucket_size").over(running), F.lit(0)))
     ends = ends.join(goals.select(F.col("source").alias("s"), "rest"), F.col("source").eqNullSafe(F.col("s"))).where("filled <= rest and filled + bucket_size > rest")
     ends = ends.groupBy("s").agg(F.min(F.struct("bucket", "filled")).alias("end"))
-    goals = goals.join(ends, goals["source"].eqNullSafe(ends["s"]), "left").select(goals["source"].alias("of"), "source_size", "target", "epochs", "rest", F.col("end.bucket").alias("end_bucket"), F.col("end.filled").alias("filled"))
-    return rows, goals
+    return goals.join(ends, goals["source"].eqNullSafe(ends["s"]), "left").select(goals["source"].alias("of"), "source_size", "target", "epochs", "rest", F.col("end.bucket").alias("end_bucket"), F.col("end.filled").alias("filled"))
 
 
-def _taken(docs: DataFrame, text: str) -> DataFrame:
-    """Every row of docs with size, source_size, target and copies."""
-    rows, goals = _parts(docs, text)
-    rows = rows.join(goals, rows["source"].eqNullSafe(goals["of"]))
-    full = F.col("bucket") < F.coalesce(F.col("end_bucket"), F.lit(BUCKETS if MOST else 0))
+def _taken(rows: DataFrame, goals: DataFrame) -> DataFrame:
+    """Rows of _keyed() with their source's goal and copies. Each goal meets its rows in SALTS parts."""
+    salted = goals.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = rows.join(salted, rows["source"].eqNullSafe(salted["of"]) & (rows["salt"] == salted["part"]))
+    full = F.col("bucket") < F.coalesce(F.col("end_bucket"), F.lit(BUCKETS))
     outside = rows.where("end_bucket is null or bucket != end_bucket").withColumn("copies", F.col("epochs") + F.when((F.col("rest") > 0) & full, 1).otherwise(0))
-    running = Window.partitionBy("source").orderBy("key", "doc_id", "size", F.xxhash64(text)).rowsBetween(Window.unboundedPreceding, -1)
+    running = Window.partitionBy("source").orderBy("key", "doc_id", "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
     inside = rows.where("bucket = end_bucket").withColumn("run", F.col("filled") + F.coalesce(F.sum("size").over(running), F.lit(0)))
     inside = inside.withColumn("copies", F.col("epochs") + F.when(F.col("run") + F.col("size") / 2 <= F.col("rest"), 1).otherwise(0)).drop("run")
     return outside.unionByName(inside)
 
 
 def plan(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, size, source_size, target, taken for every row."""
-    narrow = docs.select("doc_id", "source", text)
-    return _taken(narrow, text).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+    """doc_id, size, source_size, target, taken for every row. Only sizes and keys move, not texts."""
+    rows = written(_keyed(docs.select("doc_id", "source", text), text), "mixing")
+    return _taken(rows, _goals(rows)).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def resampled(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs as mixed: each row as often as it is taken, with its own columns."""
     own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    mixed = _taken(docs.select("doc_id", "source", text, own), text)
+    goals = _goals(written(_keyed(docs.select("doc_id", "source", text), text), "mixing"))
+    mixed = _taken(_keyed(docs.select("doc_id", "source", text, own), text), goals)
     return mixed.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
