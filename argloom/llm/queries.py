@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import mixing, pii, quality_rules, sentencepiece_codec
+from . import impact_search, license_scan, mixing, pii, quality_rules, sentencepiece_codec, warc
 from .shared import table
 
 
@@ -27,9 +28,21 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.run(table(spark, sf_dir, "documents"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.run(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op9_impact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return impact_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.run(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_quality_rules, op3_mixing, op4_pii)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_quality_rules, op3_mixing, op4_pii, op5_warc, op9_impact_search, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": mixing.PLAN_SQL}
+    return {"op3_mixing": mixing.PLAN_SQL, "op5_warc": warc.PAGES_SQL, "op9_impact_search": impact_search.TOP_SQL}
