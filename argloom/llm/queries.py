@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import impact_search, license_scan, mixing, pii, quality_rules, sentencepiece_codec, warc
+from . import impact_search, license_scan, mixing, near_dedup, pii, quality_rules, sentencepiece_codec, warc
 from .shared import table
 
 
@@ -32,6 +32,10 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.run(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.run(table(spark, sf_dir, "documents"))
+
+
 def op9_impact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return impact_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
@@ -41,8 +45,8 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_quality_rules, op3_mixing, op4_pii, op5_warc, op9_impact_search, op10_license_scan)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_quality_rules, op3_mixing, op4_pii, op5_warc, op8_near_dedup, op9_impact_search, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": mixing.PLAN_SQL, "op5_warc": warc.PAGES_SQL, "op9_impact_search": impact_search.TOP_SQL}
+    return {"op3_mixing": mixing.PLAN_SQL, "op5_warc": warc.PAGES_SQL, "op8_near_dedup": near_dedup.LINKS_SQL, "op9_impact_search": impact_search.TOP_SQL}
