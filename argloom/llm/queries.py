@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import impact_search, license_scan, mixing, near_dedup, pii, quality_rules, sentencepiece_codec, warc
+from . import impact_search, license_scan, mixing, near_dedup, ngram_model, pii, quality_rules, sentencepiece_codec, token_shards, warc
 from .shared import table
 
 
@@ -32,6 +32,14 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.run(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_shards.run(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op7_ngram_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_model.run(table(spark, sf_dir, "documents"))
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.run(table(spark, sf_dir, "documents"))
 
@@ -45,7 +53,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_quality_rules, op3_mixing, op4_pii, op5_warc, op8_near_dedup, op9_impact_search, op10_license_scan)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_quality_rules, op3_mixing, op4_pii, op5_warc, op6_token_shards, op7_ngram_model, op8_near_dedup, op9_impact_search, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:

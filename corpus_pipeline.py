@@ -1,14 +1,45 @@
-"""A corpus pipeline: quality rules, near-dedup, personal data, mixing, token ids."""
+"""A corpus pipeline: quality rules, near-duplicates, personal data, mixing by source, token ids.
+
+Each stage takes (spark, docs, sf_dir) and returns what it keeps of docs, with the columns of documents (the last one
+adds token ids and the text they decode to).
+"""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from argloom.llm import sentencepiece_codec
+from argloom.llm import mixing, near_dedup, pii, quality_rules, sentencepiece_codec
 from argloom.llm.shared import table, written
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
+#: Up to so many ids of removed documents (8 bytes each) are sent to all tasks; more are joined by a shuffle.
+BROADCAST_REMOVED = 400_000
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and the isolation forest, which is fitted on these documents."""
+    stats = written(quality_rules.statistics(docs), "quality-statistics")
+    return quality_rules.keep(docs, quality_rules.fit(stats, table(spark, sf_dir, "labels")))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document with the smallest doc_id."""
+    removed = written(near_dedup.run(docs).where("not kept").select("doc_id"), "near-duplicates")
+    if removed.limit(BROADCAST_REMOVED + 1).count() <= BROADCAST_REMOVED:
+        removed = F.broadcast(removed)
+    return docs.join(removed, "doc_id", "left_anti").select(*docs.columns)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with the kind of personal data in its place."""
+    return pii.redact(docs, pii.train(docs)).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    return mixing.resampled(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -16,7 +47,8 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode(docs, MODEL, decoded="decoded")
 
 
-STAGES = [("sentencepiece", tokens)]
+STAGES = [("quality_rules", quality), ("near_duplicates", near_duplicates), ("personal_data", personal_data), ("mixing", mixed), ("sentencepiece", tokens)]
+#: Forests, registers and segmentation are beyond SQL; tests hold run() against brute force.
 ORACLE_SQL = None
 
 
