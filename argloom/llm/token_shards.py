@@ -1,7 +1,7 @@
 """Token ids in shards of documents, each one file with a wavelet matrix.
 
-Texts are encoded through tables of distinct words: tokens never cross white space, so each distinct word is
-encoded once per table by the library and its ids joined by position (see WordTable). Documents, in order of doc_id, are dealt into
+Texts are encoded through tables of distinct words: tokens never cross white space, so each distinct word (told by
+64-bit hash) is encoded once per table by the library and its ids joined by position. Documents, in order of doc_id, are dealt into
 shards by bounds on doc_id; END follows each document. A shard file holds doc_ids, document lengths, and the bit planes of
 a wavelet matrix with samples of their ranks, all compressed, in one binary cell of its own Parquet file, so that
 Spark commits it or not at all and any store can hold it. WaveletMatrix answers access, rank,
@@ -26,55 +26,86 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import new_path, parts
+from .textblocks import Block, blocks
 
-TABLE_WORDS, SAMPLE_BITS = 1_000_000, 512
+TABLE_WORDS, SAMPLE_BITS = 500_000, 512
 _MAGIC = b"WMX1"
 
 # In texts of Latin-1 alone, lower-casing goes letter by letter, nothing composes, and these are the letters,
 # numbers and spaces of the vocabulary's own pattern; so its words can be cut here.
 _L, _N, _S = "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾", "\x09-\x0d\x20\x85\xa0"
 _LATIN_WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+")
-_CHUNK = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others for letters from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [x for x in range(256) if x not in plain]
+    return {x: chr(x) for x in plain} | {x: chr(256 + i) for i, x in enumerate(rest)}
+
+
+_LETTERS = _byte_letters()
 
 
 class WordTable:
-    """Word -> its ids as 32-bit integers."""
+    """Hash of a word between white space -> its ids, in one flat array; and the ids of the parts words consist of."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.ids: dict[str, bytes] = {}
-
-    def cut(self, text: str) -> list[str]:
-        """Parts whose ids, one after the other, are the text's: words of Latin-1 texts, else what white space parts."""
-        if "<|" not in text:  # there, special tokens could begin
-            try:
-                text.encode("latin-1")
-            except UnicodeEncodeError:
-                pass
-            else:
-                return _LATIN_WORD.findall(text.lower())
-        return _CHUNK.findall(text)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self.cut(t) for t in texts]
-        if len(self.ids) > TABLE_WORDS:
-            self.ids = {}
-        new = [w for w in set(chain.from_iterable(cut)) if w not in self.ids]
-        for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            self.ids[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
-        get = self.ids.__getitem__
-        return [b"".join(map(get, c)) for c in cut]
+        self.clear()
+
+    def clear(self) -> None:
+        self.at: dict[int, int] = {}
+        self.parts: dict[str, tuple[int, ...]] = {}
+        self.starts, self.sizes, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def _ids(self, words: list[str]) -> list[tuple[int, ...]]:
+        """Ids of each word. Latin-1 words fall into parts that the model encodes by themselves; the library takes the others whole."""
+        out: list[tuple[int, ...]] = [()] * len(words)
+        whole = []
+        for i, w in enumerate(words):
+            if "<|" in w or not w.isascii() and max(w) > "\xff":  # special tokens could begin; letters could compose
+                whole.append(i)
+                continue
+            ids: tuple[int, ...] = ()
+            for part in _LATIN_WORD.findall(w.lower()):
+                got = self.parts.get(part)
+                if got is None:
+                    got = self.parts[part] = tuple(t.id for t in self.tokenizer.model.tokenize(part.encode().decode("latin-1").translate(_LETTERS)))
+                ids += got
+            out[i] = ids
+        for i, e in zip(whole, self.tokenizer.encode_batch([words[i] for i in whole], add_special_tokens=False), strict=True):
+            out[i] = tuple(e.ids)
+        return out
+
+    def encode(self, b: Block) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts of a block, how many of each text)."""
+        if len(self.at) > TABLE_WORDS:
+            self.clear()
+        distinct, first, place = np.unique(b.word_hash(), return_index=True, return_inverse=True)
+        where = np.array([self.at.get(h, -1) for h in distinct.tolist()], np.int64)
+        new = np.flatnonzero(where < 0)
+        if len(new):
+            ids = self._ids([b.word(i) for i in first[new]])
+            sizes = np.array([len(x) for x in ids], np.int64)
+            where[new] = len(self.starts) + np.arange(len(new))
+            self.at.update(zip(distinct[new].tolist(), where[new].tolist(), strict=True))
+            self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
+            self.sizes = np.concatenate([self.sizes, sizes])
+            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32)])
+        word = where[place]
+        sizes = self.sizes[word]
+        ends = np.cumsum(sizes)
+        out = self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[word] - ends + sizes, sizes)]
+        return out, np.bincount(b.doc, weights=sizes, minlength=b.n).astype(np.int64)
 
 
 _tables: dict[str, WordTable] = {}
 
 
 def _word_table(path: str) -> WordTable:
-    import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     if path not in _tables:
         _tables[path] = WordTable(path)
     return _tables[path]
@@ -93,6 +124,8 @@ class WaveletMatrix:
     @classmethod
     def of(cls, values: np.ndarray) -> WaveletMatrix:
         planes = []
+        if not len(values) or values.max() < 1 << 16:
+            values = values.astype(np.uint16)
         for bit in range(max(1, int(values.max(initial=0)).bit_length()) - 1, -1, -1):
             ones = (values >> bit & 1).astype(bool)
             planes.append(np.packbits(ones, bitorder="little"))
@@ -157,14 +190,15 @@ class WaveletMatrix:
         return [self.select(value, k) for k in range(self.count(value))]
 
     def decode(self) -> np.ndarray:
-        """The whole sequence: every plane's bits in the order of the sequence."""
-        at, values = np.arange(self.n), np.zeros(self.n, np.uint32)
-        for plane, zeros in zip(self.planes, self.zeros, strict=True):
-            bits = np.unpackbits(plane, count=self.n, bitorder="little")
-            to = np.where(bits, zeros + np.cumsum(bits, dtype=np.int64) - 1, np.arange(self.n) - np.cumsum(bits, dtype=np.int64))
-            values = values << np.uint32(1) | bits[at]
-            at = to[at]
-        return values
+        """The whole sequence, from the last plane up: each plane's zeros and ones take their values in order."""
+        values = np.zeros(self.n, np.uint16 if len(self.planes) <= 16 else np.uint32)
+        for level in range(len(self.planes) - 1, -1, -1):
+            ones = np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
+            above = np.empty_like(values)
+            above[~ones] = values[: self.zeros[level]]
+            above[ones] = values[self.zeros[level] :] | values.dtype.type(1 << len(self.planes) - 1 - level)
+            values = above
+        return values.astype(np.uint32)
 
 
 def pack(doc_ids: list[int | None], lengths: np.ndarray, values: np.ndarray) -> bytes:
@@ -195,15 +229,18 @@ def write(docs: DataFrame, tokenizer: str, end: int, path: str, text: str = "tex
     shards = parts(docs.sparkSession)
     cuts = docs.agg(F.percentile_approx("doc_id", [i / shards for i in range(1, shards)] or [0.5], 10_000)).first()[0] or []
     cuts = np.unique(np.array(cuts, np.int64))
-    tail = struct.pack("<I", end)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _word_table(tokenizer)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                ids, texts = batch.column(0).slice(lo, 256), batch.column(1).slice(lo, 256)
+            for lo, hi, b in blocks(batch.column(1)):
+                ids = batch.column(0).slice(lo, hi - lo)
                 shard = np.searchsorted(cuts, ids.fill_null(np.iinfo(np.int64).min).to_numpy(), "left").astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(shard), ids, pa.array([x + tail for x in words.encode([t.as_py() or "" for t in texts])], pa.binary())], names=["shard", "doc_id", "ids"])
+                found, n = words.encode(b)
+                tokens = np.insert(found, np.cumsum(n), np.uint32(end)).astype("<u4")
+                offsets = np.concatenate([[0], np.cumsum(4 * (n + 1))]).astype(np.int32)
+                packed = pa.Array.from_buffers(pa.binary(), b.n, [None, pa.py_buffer(offsets), pa.py_buffer(tokens)])
+                yield pa.RecordBatch.from_arrays([pa.array(shard), ids, packed], names=["shard", "doc_id", "ids"])
 
     def shard_file(rows: pa.Table) -> pa.Table:
         found = sorted(zip(rows.column("doc_id").to_pylist(), rows.column("ids").to_pylist(), strict=True), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
