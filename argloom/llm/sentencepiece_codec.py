@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 MARK = "▁"
 _CUT = re.compile("[ ▁]+[^ ▁]*")
 #: Distinct marked words (and characters in them) a task keeps before it starts a new table.
-TABLE_CHUNKS, TABLE_CHARS = 1_000_000, 24 << 20
+TABLE_CHUNKS, TABLE_CHARS = 250_000, 8 << 20
 
 
 class ChunkTable:
