@@ -230,12 +230,15 @@ def redact(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     at = names.index(text)
 
     def clean(t: str) -> str:
-        out, end = [], 0
-        for a, b, k in sorted((a, b, k) for k, a, b in all_spans(t, model)[1]):
-            if a >= end:
-                out += [t[end:a], f"[{KINDS[k]}]"]
-            end = max(end, b)
-        return "".join(out) + t[end:]
+        # Taking one span away can complete another (digits that ran on into it), so again until there is none.
+        while spans := sorted((a, b, k) for k, a, b in all_spans(t, model)[1]):
+            out, end = [], 0
+            for a, b, k in spans:
+                if a >= end:
+                    out += [t[end:a], f"[{KINDS[k]}]"]
+                end = max(end, b)
+            t = "".join(out) + t[end:]
+        return t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
