@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 from .shared import new_path, parts
 from .textblocks import Block, blocks
 
-TABLE_WORDS, SAMPLE_BITS = 500_000, 512
+#: Words, and parts of words, that a worker keeps before it begins anew.
+TABLE_WORDS, TABLE_PARTS, SAMPLE_BITS = 800_000, 400_000, 512
 _MAGIC = b"WMX1"
 
 # In texts of Latin-1 alone, lower-casing goes letter by letter, nothing composes, and these are the letters,
@@ -54,17 +55,19 @@ class WordTable:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.parts: dict[str, tuple[int, ...]] = {}
         self.clear()
 
     def clear(self) -> None:
         self.at: dict[int, int] = {}
-        self.parts: dict[str, tuple[int, ...]] = {}
         self.starts, self.sizes, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def _ids(self, words: list[str]) -> list[tuple[int, ...]]:
         """Ids of each word. Latin-1 words fall into parts that the model encodes by themselves; the library takes the others whole."""
         out: list[tuple[int, ...]] = [()] * len(words)
         whole = []
+        if len(self.parts) > TABLE_PARTS:
+            self.parts = {}
         for i, w in enumerate(words):
             if "<|" in w or not w.isascii() and max(w) > "\xff":  # special tokens could begin; letters could compose
                 whole.append(i)
