@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from .shared import written
 
 WEIGHTS, MOST, BUCKETS, SALTS = (5, 2, 1), 3, 4096, 64
+#: Goals of up to so many bytes in all are sent to every task, so that rows stay where they are; more are joined by a salted shuffle.
+BROADCAST_BYTES = 8 << 20
 #: Quality weight: near 1 for ordinary words, down to 1/2 for texts of very short or very long ones.
 USUAL_WORD = 6.0
 
@@ -73,9 +75,13 @@ def _goals(rows: DataFrame) -> DataFrame:
 
 
 def _taken(rows: DataFrame, goals: DataFrame) -> DataFrame:
-    """Rows of _keyed() with their source's goal and copies. Each goal meets its rows in SALTS parts."""
-    salted = goals.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = rows.join(salted, rows["source"].eqNullSafe(salted["of"]) & (rows["salt"] == salted["part"]))
+    """Rows of _keyed() with their source's goal and copies."""
+    goals = written(goals, "mixing-goals")
+    if (goals.agg(F.sum(F.coalesce(F.octet_length("of"), F.lit(0)) + 64)).first()[0] or 0) <= BROADCAST_BYTES:
+        rows = rows.join(F.broadcast(goals), rows["source"].eqNullSafe(goals["of"]))
+    else:  # each goal meets its rows in SALTS parts
+        salted = goals.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rows = rows.join(salted, rows["source"].eqNullSafe(salted["of"]) & (rows["salt"] == salted["part"]))
     full = F.col("bucket") < F.coalesce(F.col("end_bucket"), F.lit(BUCKETS))
     outside = rows.where("end_bucket is null or bucket != end_bucket").withColumn("copies", F.col("epochs") + F.when((F.col("rest") > 0) & full, 1).otherwise(0))
     running = Window.partitionBy("source").orderBy("key", "doc_id", "size", "tie").rowsBetween(Window.unboundedPreceding, -1)

@@ -151,6 +151,13 @@ def test_mixing(spark, docs, messy, none):
     assert mixing.plan(none).count() == 0
 
 
+def test_mixing_with_many_sources(messy, monkeypatch):
+    """Goals too large to be sent to every task are joined by a shuffle, with the same rows."""
+    want = sorted(map(str, mixing.plan(messy).collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_BYTES", 0)
+    assert sorted(map(str, mixing.plan(messy).collect())) == want
+
+
 def brute_pii(t):
     out = [(0, *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
     out += [(1, *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
