@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from argloom.llm import mixing, near_dedup, pii, quality_rules, sentencepiece_codec
-from argloom.llm.shared import table, written
+from argloom.llm.shared import small_batches, table, written
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 #: Up to so many ids of removed documents (8 bytes each) are sent to all tasks; more are joined by a shuffle.
@@ -20,12 +20,14 @@ BROADCAST_REMOVED = 400_000
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the isolation forest, which is fitted on these documents."""
+    small_batches(spark)
     stats = written(quality_rules.statistics(docs), "quality-statistics")
     return quality_rules.keep(docs, quality_rules.fit(stats, table(spark, sf_dir, "labels")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest doc_id."""
+    small_batches(spark)
     removed = written(near_dedup.run(docs).where("not kept").select("doc_id"), "near-duplicates")
     if removed.limit(BROADCAST_REMOVED + 1).count() <= BROADCAST_REMOVED:
         removed = F.broadcast(removed)
@@ -34,16 +36,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with the kind of personal data in its place."""
+    small_batches(spark)
     return pii.redact(docs, pii.train(docs)).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them."""
+    small_batches(spark)
     return mixing.resampled(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, and the text they decode to."""
+    small_batches(spark)
     return sentencepiece_codec.encode(docs, MODEL, decoded="decoded")
 
 
