@@ -1,0 +1,149 @@
+"""Argument maps and reconstructions written as indented text: their lines, the checks of whole blocks, scores of maps.
+
+A small helper reads each body once, in time linear in its length; all decisions about what it found are columns.
+A body that can't be read (dedent to a level never opened, an unclosed square bracket) has null lines: it fails
+`parses` and gets no other verdict. A null body is empty.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+LINES = "array<struct<kind:string,label:string,proposition:string,text:string,data:string,relation:string,parent:int,argument:int,is_conclusion:boolean,refs:array<string>>>"
+SUPPORTS, ATTACKS = ("<+", "+", "+>"), ("<-", "-", "->")
+
+_COMMENT = re.compile(r"(?:^|\s)//.*")
+_LINE = re.compile(r"(?P<indent> *)(?:(?P<relation><\+|<-|\+>|->|><|\+|-) +)?(?P<rest>.*)")
+_NODE = re.compile(r"(?:\((?P<item>[^()]+)\) *)?(?:\[(?P<claim>[^\]]+)\]|<(?P<argument>[^<>]+)>)? *:? *(?P<text>.*?) *(?P<data>\{.*\})?")
+_FROM = re.compile(r"from: *\[(.*?)\]")
+
+
+def _refs(inference: str) -> list[str] | None:
+    found = _FROM.search(inference)
+    return [x.strip(" \"'") for x in found[1].split(",") if x.strip()] if found else None
+
+
+def _lines(body: str) -> list[dict] | None:
+    out, levels, current, inference = [], [], None, None
+    for line in body.expandtabs(4).split("\n"):
+        m = _LINE.fullmatch(_COMMENT.sub("", line).rstrip())
+        if not m["rest"]:
+            continue
+        if m["rest"].startswith("--"):
+            inference = m["rest"]
+            continue
+        indent, left = len(m["indent"]), None
+        while levels and levels[-1][0] >= indent:
+            left = levels.pop()[0]
+        node = _NODE.fullmatch(m["rest"])
+        if left not in (None, indent) or not node["claim"] and node["text"].startswith("["):
+            return None
+        kind = "item" if node["item"] else "claim" if node["claim"] else "argument" if node["argument"] else "text"
+        if kind == "item" and current is None:
+            current = len(out)
+            out.append({"kind": "argument", "label": None, "text": ""})
+        if kind != "item" and not indent and not m["relation"]:
+            current = len(out) if kind == "argument" else None
+        concluded = kind == "item" and inference is not None
+        levels.append((indent, len(out)))
+        out.append({
+            "kind": kind, "label": node["item"] or node["claim"] or node["argument"], "proposition": node["claim"], "text": node["text"], "data": node["data"], "relation": m["relation"],
+            "parent": levels[-2][1] if len(levels) > 1 else None, "argument": current if kind == "item" else None, "is_conclusion": concluded, "refs": _refs(inference) if concluded else None,
+        })
+        inference = None
+    return out
+
+
+def parsed(blocks: DataFrame) -> DataFrame:
+    """The blocks with their lines in order; null where a body can't be read."""
+
+    @F.pandas_udf(LINES)
+    def parse(bodies: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for b in bodies:
+            yield pd.Series([_lines(x or "") for x in b], dtype=object)
+
+    return blocks.withColumn("lines", parse("body"))
+
+
+def _of(*kinds: str) -> Column:
+    return F.filter("lines", lambda x: x["kind"].isin(*kinds))
+
+
+def _labels(kind: str) -> Column:
+    return F.array_distinct(F.transform(_of(kind), lambda x: x["label"]))
+
+
+def _several_texts(*kinds: str) -> Column:
+    """Some label has more than one text."""
+    said = F.filter(_of(*kinds), lambda x: x["label"].isNotNull() & (x["text"] != ""))
+    texts = F.array_distinct(F.transform(said, lambda x: F.struct(x["kind"], x["label"], x["text"])))
+    return F.size(texts) > F.size(F.array_distinct(F.transform(said, lambda x: F.struct(x["kind"], x["label"]))))
+
+
+def _without_gist() -> Column:
+    given = F.transform(F.filter(_of("argument"), lambda x: x["text"] != ""), lambda x: x["label"])
+    return F.size(F.array_except(_labels("argument"), given)) > 0
+
+
+def _extra() -> Column:
+    inside = F.transform(_of("item"), lambda x: x["proposition"])
+    return F.exists("lines", lambda x: x["kind"] == "text") | (F.size(F.array_except(_labels("claim"), inside)) > 0)
+
+
+def at_least(n: int) -> Column:
+    return F.size(_labels("argument")) < n
+
+
+#: What each check finds wrong.
+MAP = {
+    "complete_claims": lambda: F.exists("lines", lambda x: x["kind"] == "text"),
+    "no_duplicate_labels": lambda: _several_texts("claim", "argument"),
+    "no_pcs": lambda: F.exists("lines", lambda x: x["kind"] == "item"),
+}
+RECONSTRUCTION = {
+    "has_arguments": lambda: at_least(1),
+    "has_unique_argument": lambda: F.size(_labels("argument")) != 1,
+    "not_multiple_gists": lambda: _several_texts("argument"),
+    "has_label": lambda: F.exists(_of("argument"), lambda x: x["label"].isNull()),
+    "has_gist": _without_gist,
+    "no_extra_propositions": _extra,
+    # Declared relations are never grounded ones: those follow from the items alone.
+    "only_grounded_relations": lambda: F.exists("lines", lambda x: x["relation"].isNotNull()),
+    "no_prop_inline_data": lambda: F.exists(_of("claim", "text", "item"), lambda x: x["data"].isNotNull()),
+    "no_arg_inline_data": lambda: F.exists(_of("argument"), lambda x: x["data"].isNotNull()),
+}
+
+
+def verdicts(blocks: DataFrame, key: str, checks: dict) -> DataFrame:
+    """key, check_id, is_valid: `parses` for every block, the checks for those that parse."""
+    row = lambda name, valid: F.struct(F.lit(name).alias("check_id"), valid.alias("is_valid"))
+    read = F.col("lines").isNotNull()
+    return blocks.select(key, F.inline(F.when(read, F.array(row("parses", read), *[row(n, ~bad()) for n, bad in checks.items()])).otherwise(F.array(row("parses", read)))))
+
+
+def map_scores(blocks: DataFrame, key: str) -> DataFrame:
+    """key, max_args, supports, attacks, balance, density, min_leafs of each map that parses; no rows are moved.
+
+    Density is the mean share of other nodes a node touches (1 for a single node, 0 for none), min_leafs the share of nodes that an edge points at.
+    """
+    lines = F.col("lines")
+    name = lambda i: F.concat(lines[i]["kind"], F.lit(":"), F.when(lines[i]["kind"].isin("claim", "argument"), F.coalesce(lines[i]["label"], i.cast("string"))).otherwise(i.cast("string")))
+    nodes = F.array_distinct(F.transform("lines", lambda x, i: name(i)))
+    held = F.filter(F.transform("lines", lambda x, i: F.struct(x["relation"].alias("relation"), i.alias("child"), x["parent"].alias("parent"))), lambda e: e["relation"].isNotNull() & e["parent"].isNotNull())
+    down = lambda e: e["relation"].isin("+>", "->")
+    edges = F.array_distinct(F.transform(held, lambda e: F.struct(name(F.when(down(e), e["parent"]).otherwise(e["child"])).alias("source"), name(F.when(down(e), e["child"]).otherwise(e["parent"])).alias("target"))))
+    count = lambda kinds: F.size(F.filter(held, lambda e: e["relation"].isin(*kinds))).cast("long")
+    out = blocks.where("lines is not null").select(
+        key, F.size(_labels("argument")).cast("long").alias("max_args"), count(SUPPORTS).alias("supports"), count(ATTACKS).alias("attacks"),
+        F.size(nodes).alias("n"), F.size(edges).alias("m"), F.size(F.array_distinct(F.transform(edges, lambda e: e["target"]))).alias("pointed_at"),
+    )
+    s, a, n = F.col("supports"), F.col("attacks"), F.col("n")
+    return out.select(
+        key, "max_args", "supports", "attacks", F.round(F.when(s + a > 0, 1 - F.abs(s - a) / (s + a)).otherwise(0.0), 6).alias("balance"),
+        F.round(F.when(n > 1, 2.0 * F.col("m") / (n * (n - 1.0))).otherwise(n.cast("double")), 6).alias("density"), F.round(F.when(n > 0, F.col("pointed_at") / n).otherwise(0.0), 6).alias("min_leafs"),
+    )

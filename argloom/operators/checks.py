@@ -63,3 +63,11 @@ def summary(results: DataFrame, requests: DataFrame, key: str) -> DataFrame:
     """key, is_valid, n_failed of every request; one without results is valid."""
     failed = results.groupBy(F.col(key).alias("k")).agg(F.count_if(~F.col("is_valid")).alias("n"))
     return requests.select(key).join(failed, F.col(key) == F.col("k"), "left").select(key, (F.coalesce("n", F.lit(0)) == 0).alias("is_valid"), F.coalesce("n", F.lit(0)).alias("n_failed"))
+
+
+def annotation_scores(artifacts: DataFrame, key: str) -> DataFrame:
+    """key, number of propositions, supports and attacks, 1 / (1 + attacks), characters covered (nested ones twice)."""
+    of = F.filter("elements", lambda e: e["name"] == "proposition")
+    total = lambda f: F.aggregate(F.transform(of, f), F.lit(0).cast("long"), lambda a, x: a + x)
+    attacks = total(lambda e: F.size(e["attacks"]))
+    return artifacts.select(key, F.size(of).cast("long").alias("n_propositions"), total(lambda e: F.size(e["supports"])).alias("n_supports"), attacks.alias("n_attacks"), F.round(1 / (1 + attacks), 6).alias("no_attacks"), total(lambda e: F.length(e["text"])).alias("coverage"))

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from argloom.operators import checks, extraction, preference
-from argloom.sources.synthetic import annotated_answers, reconstructions, solutions, table
+from argloom.operators import argdown, checks, extraction, preference
+from argloom.sources.synthetic import annotated_answers, argument_maps, reconstructions, solutions, table, written_reconstructions
+from argloom.streaming.validity import validity_rate
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -65,12 +66,41 @@ def chat_assembly(s: SparkSession, d: str) -> DataFrame:
     return preference.chats(table(s, d, "conversations")).select("conv_id", F.size("messages").cast("long").alias("n_messages"), F.md5(said).alias("chat"))
 
 
+def _maps(s: SparkSession, d: str) -> DataFrame:
+    return argdown.parsed(extraction.blocks(argument_maps(table(s, d, "customer"), table(s, d, "orders"))))
+
+
+def _arguments(s: SparkSession, d: str) -> DataFrame:
+    return argdown.parsed(extraction.blocks(written_reconstructions(table(s, d, "lineitem"))))
+
+
+def _checked(found: DataFrame, name: str, checks: dict) -> DataFrame:
+    """The verdicts of one check; the others aren't computed."""
+    return argdown.verdicts(found, "request_id", {k: v for k, v in checks.items() if k == name}).where(F.col("check_id") == name)
+
+
+def map_scores(s: SparkSession, d: str) -> DataFrame:
+    return argdown.map_scores(_maps(s, d), "request_id")
+
+
+def anno_scores(s: SparkSession, d: str) -> DataFrame:
+    return checks.annotation_scores(extraction.elements(_blocks(s, d)), "request_id")
+
+
+def stream_validity_rate(s: SparkSession, d: str) -> DataFrame:
+    return validity_rate(table(s, d, "events"), F.col("value") >= 50).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
 def queries() -> dict[str, Query]:
-    out: dict[str, Query] = {f.__name__: f for f in (extract_blocks, anno_accuracy, map_metrics, dialectics_indirect, dedup_answers, chat_assembly)}
+    out: dict[str, Query] = {f.__name__: f for f in (extract_blocks, anno_accuracy, map_metrics, dialectics_indirect, dedup_answers, chat_assembly, map_scores, anno_scores, stream_validity_rate)}
     for name in checks.ANNOTATION:
         out[f"anno_{name}"] = lambda s, d, n=name: _annotation_results(s, d).where(F.col("check_id") == n)
     for name in checks.RECONSTRUCTION:
         out[f"reco_{name}"] = lambda s, d, n=name: _reco_results(s, d).where(F.col("check_id") == n)
+    for name in argdown.MAP:
+        out[f"map_{name}"] = lambda s, d, n=name: _checked(_maps(s, d), n, argdown.MAP)
+    for name in ("parses", *argdown.RECONSTRUCTION):
+        out[f"reco_{name}"] = lambda s, d, n=name: _checked(_arguments(s, d), n, argdown.RECONSTRUCTION)
     out["evaluator_metrics"] = lambda s, d: preference.metrics(_solutions(s, d))
     out["pairs_validity"] = lambda s, d: preference.validity_pairs(_solutions(s, d))
     out["pairs_ask_invalid"] = lambda s, d: preference.asked_invalid_pairs(_solutions(s, d))
@@ -83,6 +113,9 @@ def queries() -> dict[str, Query]:
 _ANNOTATION_DEFECT = {"nested_propositions": 1, "id_presence": 2, "id_uniqueness": 3, "support_references": 4, "attack_references": 5, "attributes": 6, "element_names": 7}
 #: When each reconstruction check finds something: d is the defect, n the number of lines.
 _RECO_FINDS = {"has_pcs": "false", "starts_with_premise": "d = 6", "ends_with_conclusion": "d = 6", "unique_labels": "d = 5", "inference_data": "d IN (3, 4) OR d = 2 AND n = 1", "references_exist": "d IN (1, 6)", "uses_all": "d IN (2, 3, 4, 6)"}
+#: When each check of a whole block finds something, by key % 5 and key % 11; blocks that don't parse (10) have no other verdict.
+_MAP_FINDS = {"complete_claims": 1, "no_duplicate_labels": 2, "no_pcs": 3}
+_BLOCK_FINDS = {"parses": "d = 10", "has_arguments": "d = 1", "has_unique_argument": "d IN (1, 2)", "not_multiple_gists": "d = 3", "has_label": "d = 4", "has_gist": "d IN (4, 5)", "no_extra_propositions": "d IN (6, 7)", "only_grounded_relations": "d = 7", "no_prop_inline_data": "d = 8", "no_arg_inline_data": "d = 9"}
 _SOLUTIONS = "WITH s AS (SELECT source AS problem_id, doc_id AS sol_pos, n_chars, quality = 1 AS is_valid, quality = 0 AS e1, toxic = 1 AS e2 FROM documents JOIN labels USING (doc_id))"
 _DRAW = "CAST('0x' || substr(md5({}), 1, 12) AS BIGINT) / 281474976710656.0::DOUBLE"
 
@@ -90,6 +123,18 @@ _DRAW = "CAST('0x' || substr(md5({}), 1, 12) AS BIGINT) / 281474976710656.0::DOU
 def oracle_sql() -> dict[str, str]:
     out = {f"anno_{n}": f"SELECT doc_id AS request_id, '{n}' AS check_id, doc_id % 9 != {k} AS is_valid FROM documents WHERE doc_id % 9 != 8" for n, k in _ANNOTATION_DEFECT.items()}
     out |= {f"reco_{n}": f"SELECT argument_id, '{n}' AS check_id, NOT ({sql}) AS is_valid FROM (SELECT l_orderkey AS argument_id, l_orderkey % 7 AS d, count(DISTINCT l_linenumber) AS n FROM lineitem GROUP BY l_orderkey)" for n, sql in _RECO_FINDS.items()}
+    out |= {f"map_{n}": f"SELECT c_custkey AS request_id, '{n}' AS check_id, c_custkey % 5 != {k} AS is_valid FROM customer" for n, k in _MAP_FINDS.items()}
+    out |= {f"reco_{n}": f"SELECT k AS request_id, '{n}' AS check_id, NOT ({sql}) AS is_valid FROM (SELECT DISTINCT l_orderkey AS k, l_orderkey % 11 AS d FROM lineitem)" + " WHERE d != 10" * (n != "parses") for n, sql in _BLOCK_FINDS.items()}
+    out["map_scores"] = """
+WITH e AS (SELECT c_custkey AS k, c_custkey % 5 AS d, count(*) FILTER (o_orderstatus = 'F') AS s, count(*) FILTER (o_orderstatus = 'O') AS a FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey),
+m AS (SELECT *, 1 + s + a + CASE d WHEN 1 THEN 1 WHEN 3 THEN 3 ELSE 0 END AS n FROM e)
+SELECT k AS request_id, s + a + (d = 3)::BIGINT AS max_args, s AS supports, a AS attacks, round(CASE WHEN s + a > 0 THEN 1 - abs(s - a)::DOUBLE / (s + a) ELSE 0 END, 6) AS balance,
+  round(CASE WHEN n > 1 THEN 2.0::DOUBLE * (s + a) / (n * (n - 1)) ELSE 1 END, 6) AS density, round(CASE WHEN s + a > 0 THEN 1.0::DOUBLE / n ELSE 0 END, 6) AS min_leafs FROM m"""
+    out["anno_scores"] = """
+WITH t AS (SELECT doc_id, doc_id % 9 AS d, replace(text, '```', '') AS x FROM documents WHERE doc_id % 9 != 8)
+SELECT doc_id AS request_id, 2 + (d IN (1, 3))::BIGINT AS n_propositions, CASE WHEN d = 4 THEN 2 ELSE 1 END::BIGINT AS n_supports, (d = 5)::BIGINT AS n_attacks,
+  round(1 / (1 + (d = 5)::DOUBLE), 6) AS no_attacks, length(x) - contains(x, ' ')::BIGINT + CASE d WHEN 1 THEN 10 WHEN 3 THEN 1 ELSE 0 END AS coverage FROM t"""
+    out["stream_validity_rate"] = "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, count(*) FILTER (value >= 50) AS n_valid FROM events GROUP BY ALL"
     out["extract_blocks"] = """SELECT doc_id AS request_id, 0 AS block_pos, 'xml' AS dtype, '{filename="annotation.txt"}' AS header FROM documents WHERE doc_id % 9 != 8"""
     out["anno_accuracy"] = "SELECT doc_id AS request_id, doc_id % 9 IN (0, 8) AS is_valid, CAST(doc_id % 9 NOT IN (0, 8) AS BIGINT) AS n_failed FROM documents"
     out["map_metrics"] = """

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from argloom.operators import extraction
+from argloom.operators import argdown, extraction
 from argloom.plans.queries import oracle_sql, queries
 
 SF = "/root/testdata/sf0.001"
@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def db():
     con = duckdb.connect()
-    for t in ("documents", "labels", "conversations", "orders", "customer", "lineitem"):
+    for t in ("documents", "labels", "conversations", "orders", "customer", "lineitem", "events"):
         con.sql(f"create view {t} as select * from read_parquet('{SF}/{t}.parquet')")
     return con
 
@@ -33,3 +33,26 @@ def test_blocks_and_elements(spark):
     assert found == [(1, 0, "argdown", "{k=1}", "[A]: b"), (1, 1, "xml", "", '<proposition id="1" supports="2 3">x <b>y</proposition>z')]
     (row,) = extraction.elements(df.where("dtype = 'xml'")).collect()
     assert [(e["name"], e["parent"], e["supports"], e["text"]) for e in row["elements"]] == [("proposition", None, ["2", "3"], "x y"), ("b", 0, [], "y")]
+
+
+def test_argdown_lines(spark):
+    body = '[A]: x // note\n    <- <B>: y {k: 1}\n        +> [C]\n\n(1) [D]: p\n-- with rule {from: ["1", 2]} --\n(2) q'
+    rows = [(1, body), (2, "[A\n"), (3, "[A]\n    + [B]\n  + [C]"), (4, None), (5, "- <Argument2")]
+    got = {r["k"]: r["lines"] for r in argdown.parsed(spark.createDataFrame(rows, "k long, body string")).collect()}
+    assert [(x["kind"], x["label"], x["text"], x["relation"], x["parent"]) for x in got[1]] == [("claim", "A", "x", None, None), ("argument", "B", "y", "<-", 0), ("claim", "C", "", "+>", 1), ("argument", None, "", None, None), ("item", "1", "p", None, None), ("item", "2", "q", None, None)]
+    assert [(x["argument"], x["is_conclusion"], x["refs"]) for x in got[1][4:]] == [(3, False, None), (3, True, ["1", "2"])]
+    assert got[2] is None and got[3] is None and got[4] == [] and [x["kind"] for x in got[5]] == ["text"]
+
+
+def test_validity_rate_of_a_stream(spark, tmp_path):
+    """Finished windows of a stream are those of the table."""
+    from pyspark.sql import functions as F
+
+    from argloom.streaming.validity import validity_rate
+
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    events.repartition(2).write.parquet(str(tmp_path / "in"))
+    rates = validity_rate(spark.readStream.schema(events.schema).parquet(str(tmp_path / "in")), F.col("value") >= 50)
+    rates.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination(120)
+    got, want = ({tuple(r) for r in df.collect()} for df in (spark.read.parquet(str(tmp_path / "out")), validity_rate(events, F.col("value") >= 50)))
+    assert got and got <= want
