@@ -11,6 +11,7 @@ def validity_rate(items: DataFrame, valid: Column, time: str = "ts", group: str
 
     Rows without a time belong to no window. A null verdict counts as not valid.
     """
+    items = items.withColumn(time, F.col(time).cast("timestamp"))  # watermarks need a time zone
     if items.isStreaming:
         items = items.withWatermark(time, late)
     rates = items.where(F.col(time).isNotNull()).groupBy(F.window(time, every).alias("w"), group).agg(F.count("*").alias("n"), F.count_if(F.coalesce(valid, F.lit(False))).alias("n_valid"))
