@@ -37,7 +37,7 @@ def op6_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_ngram_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_model.run(table(spark, sf_dir, "documents"))
+    return ngram_model.run(table(spark, sf_dir, "documents"), order=3)
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -258,6 +258,45 @@ def test_ngram_model(docs, messy, none):
     assert ngram_model.run(none).count() == 0
 
 
+@pytest.mark.parametrize("order", [3, 4])
+def test_ngram_model_of_higher_order(spark, messy, none, order):
+    held = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 7 == 2
+    cut = lambda n, d: d[min(n, 3) - 1] if n else 0
+    rare = spark.createDataFrame([(1000 + i, " ".join(f"w{(i * j) % 97} x{j % 5}" for j in range(40)), "en", "a", 1, 1, "r") for i in range(30)], SCHEMA)
+    for df in (messy, messy.union(rare)):
+        data = [(r["doc_id"], ["<s>"] + WORD.findall((r["text"] or "").translate(LOWER)) + ["</s>"]) for r in df.collect()]
+        raw = [collections.Counter() for _ in range(order + 1)]
+        for i, t in data:
+            for k in range(1, order + 1) if not held(i) else ():
+                raw[k].update(tuple(t[j : j + k]) for j in range(len(t) - k + 1))
+        of = [collections.Counter() for _ in range(order + 1)]
+        of[order] = raw[order]
+        for k in range(1, order):
+            of[k].update(g[1:] for g in raw[k + 1])
+            of[k].update({g: n for g, n in raw[k].items() if g[0] == "<s>" and k > 1})
+        d = [None] + [ngram_model.discounts(np.array([sum(n == m for n in c.values()) for m in (1, 2, 3, 4)])) for c in of[1:]]
+        behind = collections.defaultdict(list)
+        for c in of[1:]:
+            for g, n in c.items():
+                behind[g[:-1]].append(n)
+        vocabulary = {w for (w,) in raw[1]} - {"<s>"}
+
+        def p(context, v):
+            g, k = (*context, v), len(context) + 1
+            low = p(context[1:], v) if context else 1 / (len(vocabulary) + 1)
+            ns = behind.get(tuple(context), [])
+            return (of[k][g] - cut(of[k][g], d[k]) + sum(cut(n, d[k]) for n in ns) * low) / sum(ns) if ns else low
+
+        for context in (("the", "of"), ("<s>", "one"), ("x1", "the")):
+            assert sum(p(context, v) for v in [*vocabulary, None]) == pytest.approx(1)
+        want = collections.defaultdict(list)
+        for i, t in data:
+            want[i].append((len(t) - 1, sum(math.log10(p(tuple(t[max(0, j - order + 1) : j]), t[j])) for j in range(1, len(t)))))
+        for r in ngram_model.run(df, order=order).collect():
+            assert any((r["n_tokens"], r["score"]) == pytest.approx(w) for w in want[r["doc_id"]])
+    assert ngram_model.run(none, order=order).count() == 0
+
+
 def test_near_dedup(spark, docs, messy, none):
     documents = docs.toPandas()  # noqa: F841  read by the SQL
     want = sorted(duckdb.sql("with documents as (select * from documents) select * from (" + near_dedup.LINKS_SQL + ")").fetchall())
