@@ -6,11 +6,12 @@ vector's components below each level amount to (their Euclidean norm). A block o
 segments from the highest level down and adds query weight times impact to its accumulators. After a
 segment, by Cauchy-Schwarz, a vector's score is within |query| * |rest of the vector| of what it has so far. A query
 stops when this proves that at most POSSIBLE vectors can be among its k best (or the segments end); these are scored anew in
-exact integers. Shards' best are merged per query by a window.
+exact integers. Shards' best are merged per query row by a window.
 
 Blocks of queries meet shards by an equi-join on the shard, every query block and shard being read by one task of bounded size.
 Vectors that are null, hold null or non-finite components, or have no vec_id take no part. Shorter vectors count as padded
 with zeros. A query never finds rows of its own vec_id; other repeated rows are found once each. Ties go to the smaller vec_id.
+Every query row is answered by itself: where a vec_id is repeated among the queries, each of its rows has its own k best, ranked from 1.
 """
 
 from __future__ import annotations
@@ -61,7 +62,7 @@ def _exact(x: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 
 def search(index: dict, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query_id, vec_id, score) of each query's k best of the shard."""
+    """(place among the queries, vec_id, score) of each query's k best of the shard."""
     ids, dims = index["ids"], max(index["dims"], queries.shape[1])
     m = len(ids)
     q = np.zeros((len(queries), dims), np.int64)
@@ -78,7 +79,7 @@ def search(index: dict, query_ids: np.ndarray, queries: np.ndarray, k: int) -> t
         possible = possible[(possible < first[i]) | (possible >= last[i])]
         s = _exact(whole[possible], q[i])
         best = sorted(range(len(s)), key=lambda j: (-s[j], ids[possible[j]]))[:k] if len(s) <= 4 * POSSIBLE or s.dtype == object else np.lexsort((ids[possible], -s))[:k]
-        out.append((np.full(len(best), query_ids[i]), ids[possible[best]], s[best]))
+        out.append((np.full(len(best), i), ids[possible[best]], s[best]))
 
     cuts = index["cuts"]
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
@@ -110,8 +111,8 @@ def search(index: dict, query_ids: np.ndarray, queries: np.ndarray, k: int) -> t
 
 
 def top_k(vectors: DataFrame, is_query, k: int = 10, vector: str = "embedding") -> DataFrame:
-    """query_id, rank, vec_id, score of each query's k best of all vectors."""
-    rows = written(integers(vectors, vector), "vectors")
+    """query_id, rank, vec_id, score of each query row's k best of all vectors."""
+    rows = written(integers(vectors, vector).withColumn("row", F.monotonically_increasing_id()), "vectors")
     n, n_queries = rows.agg(F.count("*"), F.count_if(is_query)).first()
     shards, blocks = max(1, -(-n // SHARD)), max(1, -(-n_queries // QUERY_BLOCK))
     deal = lambda parts, seed: F.pmod(F.xxhash64("vec_id", "x", F.lit(seed)), F.lit(parts)).cast("int")
@@ -121,19 +122,20 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, vector: str = "embedding")
         return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "segments": [pickle.dumps(build(pdf["vec_id"].to_numpy(), x))]})
 
     def pack_queries(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "queries": [pickle.dumps((pdf["vec_id"].to_numpy(), _matrix(pdf["x"])))]})
+        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "queries": [pickle.dumps((pdf["row"].to_numpy(), pdf["vec_id"].to_numpy(), _matrix(pdf["x"])))]})
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for segments, queries in zip(pdf["segments"], pdf["queries"], strict=True):
-                q, v, s = search(pickle.loads(segments), *pickle.loads(queries), k)
-                yield pd.DataFrame({"query_id": q, "vec_id": v, "score": s.astype(np.int64)})
+                row, ids, x = pickle.loads(queries)
+                q, v, s = search(pickle.loads(segments), ids, x, k)
+                yield pd.DataFrame({"row": row[q], "query_id": ids[q], "vec_id": v, "score": s.astype(np.int64)})
 
     index = written(rows.withColumn("shard", deal(shards, 1)).groupBy("shard").applyInPandas(pack, "shard int, segments binary"), "impact-index")
     asked = rows.where(is_query).withColumn("block", deal(blocks, 2)).groupBy("block").applyInPandas(pack_queries, "block int, queries binary")
     pairs = index.join(asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))), "shard").select("segments", "queries")
-    best = pairs.repartition(min(shards * blocks, 4096)).mapInPandas(find, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best = pairs.repartition(min(shards * blocks, 4096)).mapInPandas(find, "row long, query_id long, vec_id long, score long")
+    order = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

@@ -343,6 +343,17 @@ def test_impact_search(spark, monkeypatch):
     assert impact_search.top_k(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_impact_search_of_repeated_queries(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    vectors = [(i, (rng.normal(size=16) * 0.3).tolist()) for i in range(350)]
+    vectors += [vectors[0], (100, vectors[7][1]), (100, vectors[8][1])]
+    monkeypatch.setattr(impact_search, "SHARD", 100)
+    out = impact_search.top_k(spark.createDataFrame(vectors, "vec_id long, embedding array<float>"), F.col("vec_id") % 100 == 0)
+    x = [(i, np.floor(np.float32(v).astype(float) * 1024).astype(int)) for i, v in vectors]
+    want = [(q, k + 1, i, -s) for q, y in x if q % 100 == 0 for k, (s, i) in enumerate(sorted((-int(y @ v), i) for i, v in x if i != q)[:10])]
+    assert sorted(map(tuple, out.collect())) == sorted(want)
+
+
 def test_license_scan(spark, docs, messy, none):
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     for df in (docs, messy):
