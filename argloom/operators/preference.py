@@ -12,8 +12,13 @@ def draw(*parts: Column) -> Column:
 
 
 def metrics(solutions: DataFrame) -> DataFrame:
-    """Per problem: n_solutions, accuracy and how many solutions made each error."""
-    return solutions.groupBy("problem_id").agg(F.count("*").alias("n_solutions"), F.avg(F.col("is_valid").cast("double")).alias("accuracy"), *[F.count_if(F.array_contains("errors", e)).alias(f"{e[3:]}_counts") for e in ("01_quality", "02_toxic")])
+    """Per problem: n_solutions, accuracy and error_counts, how many solutions made each error that occurs."""
+    # one row for each solution (no error), one for each error it makes
+    errors = F.filter(F.array_distinct(F.coalesce("errors", F.array().cast("array<string>"))), lambda e: e.isNotNull())
+    rows = solutions.select("problem_id", "is_valid", F.explode(F.concat(F.array(F.lit(None).cast("string")), errors)).alias("error"))
+    counts = rows.groupBy("problem_id", "error").agg(F.count("*").alias("n"), F.avg(F.col("is_valid").cast("double")).alias("valid"))
+    whole = lambda c: F.max(F.when(F.col("error").isNull(), F.col(c)))
+    return counts.groupBy("problem_id").agg(whole("n").alias("n_solutions"), whole("valid").alias("accuracy"), F.map_from_entries(F.collect_list(F.when(F.col("error").isNotNull(), F.struct("error", "n")))).alias("error_counts"))
 
 
 def validity_pairs(solutions: DataFrame) -> DataFrame:

@@ -35,6 +35,12 @@ def _reco_results(s: SparkSession, d: str) -> DataFrame:
     return checks.verdicts(reconstructions(table(s, d, "lineitem")), "argument_id", checks.RECONSTRUCTION)
 
 
+def evaluator_metrics(s: SparkSession, d: str) -> DataFrame:
+    """The two errors of the made solutions as columns."""
+    of = lambda e: F.coalesce(F.element_at("error_counts", F.lit(e)), F.lit(0)).alias(f"{e[3:]}_counts")
+    return preference.metrics(_solutions(s, d)).select("problem_id", "n_solutions", "accuracy", of("01_quality"), of("02_toxic"))
+
+
 def _solutions(s: SparkSession, d: str) -> DataFrame:
     return solutions(table(s, d, "documents"), table(s, d, "labels"))
 
@@ -101,7 +107,7 @@ def queries() -> dict[str, Query]:
         out[f"map_{name}"] = lambda s, d, n=name: _checked(_maps(s, d), n, argdown.MAP)
     for name in ("parses", *argdown.RECONSTRUCTION):
         out[f"reco_{name}"] = lambda s, d, n=name: _checked(_arguments(s, d), n, argdown.RECONSTRUCTION)
-    out["evaluator_metrics"] = lambda s, d: preference.metrics(_solutions(s, d))
+    out["evaluator_metrics"] = evaluator_metrics
     out["pairs_validity"] = lambda s, d: preference.validity_pairs(_solutions(s, d))
     out["pairs_ask_invalid"] = lambda s, d: preference.asked_invalid_pairs(_solutions(s, d))
     out["pairs_virtue"] = lambda s, d: preference.virtue_pairs(_solutions(s, d), "n_chars")

@@ -56,3 +56,11 @@ def test_validity_rate_of_a_stream(spark, tmp_path):
     rates.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination(120)
     got, want = ({tuple(r) for r in df.collect()} for df in (spark.read.parquet(str(tmp_path / "out")), validity_rate(events, F.col("value") >= 50)))
     assert got and got <= want
+
+
+def test_metrics_count_every_error(spark):
+    from argloom.operators import preference
+
+    rows = [("p", 1, True, []), ("p", 2, False, ["03_other", "03_other", "01_quality"]), ("p", 3, None, ["03_other", None]), ("q", 1, True, None), (None, 1, False, ["04"])]
+    got = preference.metrics(spark.createDataFrame(rows, "problem_id string, sol_pos int, is_valid boolean, errors array<string>"))
+    assert {tuple(r)[:3] + (tuple(sorted(r["error_counts"].items())),) for r in got.collect()} == {("p", 3, 0.5, (("01_quality", 1), ("03_other", 2))), ("q", 1, 1.0, ()), (None, 1, 0.0, (("04", 1),))}
