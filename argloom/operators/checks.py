@@ -59,6 +59,12 @@ def verdicts(artifacts: DataFrame, key: str, checks: dict) -> DataFrame:
     return artifacts.select(key, F.inline(each))
 
 
+def has_block(requests: DataFrame, blocks: DataFrame, key: str, dtype: str, check_id: str) -> DataFrame:
+    """key, check_id, is_valid of every request: whether one of its blocks is of the type."""
+    found = blocks.where(F.col("dtype") == dtype).select(F.col(key).alias("k"), F.lit(True).alias("found")).distinct()
+    return requests.select(key).join(found, F.col(key).eqNullSafe(F.col("k")), "left").select(key, F.lit(check_id).alias("check_id"), F.coalesce("found", F.lit(False)).alias("is_valid"))
+
+
 def summary(results: DataFrame, requests: DataFrame, key: str) -> DataFrame:
     """key, is_valid, n_failed of every request; one without results is valid."""
     failed = results.groupBy(F.col(key).alias("k")).agg(F.count_if(~F.col("is_valid")).alias("n"))

@@ -31,6 +31,18 @@ def anno_accuracy(s: SparkSession, d: str) -> DataFrame:
     return checks.summary(_annotation_results(s, d), requests, "request_id")
 
 
+def _has(answers: DataFrame, dtype: str, check_id: str) -> DataFrame:
+    return checks.has_block(answers, extraction.blocks(answers), "request_id", dtype, check_id)
+
+
+def anno_has_annotations(s: SparkSession, d: str) -> DataFrame:
+    return _has(annotated_answers(table(s, d, "documents")), "xml", "has_annotations")
+
+
+def anno_has_argdown(s: SparkSession, d: str) -> DataFrame:
+    return _has(annotated_answers(table(s, d, "documents")), "argdown", "has_argdown")
+
+
 def _reco_results(s: SparkSession, d: str) -> DataFrame:
     return checks.verdicts(reconstructions(table(s, d, "lineitem")), "argument_id", checks.RECONSTRUCTION)
 
@@ -98,7 +110,7 @@ def stream_validity_rate(s: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    out: dict[str, Query] = {f.__name__: f for f in (extract_blocks, anno_accuracy, map_metrics, dialectics_indirect, dedup_answers, chat_assembly, map_scores, anno_scores, stream_validity_rate)}
+    out: dict[str, Query] = {f.__name__: f for f in (extract_blocks, anno_accuracy, anno_has_annotations, anno_has_argdown, map_metrics, dialectics_indirect, dedup_answers, chat_assembly, map_scores, anno_scores, stream_validity_rate)}
     for name in checks.ANNOTATION:
         out[f"anno_{name}"] = lambda s, d, n=name: _annotation_results(s, d).where(F.col("check_id") == n)
     for name in checks.RECONSTRUCTION:
@@ -143,6 +155,8 @@ SELECT doc_id AS request_id, 2 + (d IN (1, 3))::BIGINT AS n_propositions, CASE W
     out["stream_validity_rate"] = "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, count(*) FILTER (value >= 50) AS n_valid FROM events GROUP BY ALL"
     out["extract_blocks"] = """SELECT doc_id AS request_id, 0 AS block_pos, 'xml' AS dtype, '{filename="annotation.txt"}' AS header FROM documents WHERE doc_id % 9 != 8"""
     out["anno_accuracy"] = "SELECT doc_id AS request_id, doc_id % 9 IN (0, 8) AS is_valid, CAST(doc_id % 9 NOT IN (0, 8) AS BIGINT) AS n_failed FROM documents"
+    out["anno_has_annotations"] = "SELECT doc_id AS request_id, 'has_annotations' AS check_id, doc_id % 9 != 8 AS is_valid FROM documents"
+    out["anno_has_argdown"] = "SELECT doc_id AS request_id, 'has_argdown' AS check_id, false AS is_valid FROM documents"
     out["map_metrics"] = """
 SELECT c_custkey AS claim, count(o_orderkey) AS in_degree, count(*) FILTER (o_orderstatus = 'F') AS supports, count(*) FILTER (o_orderstatus = 'O') AS attacks,
   round(CASE WHEN count(*) FILTER (o_orderstatus IN ('F', 'O')) > 0 THEN abs(count(*) FILTER (o_orderstatus = 'F') - count(*) FILTER (o_orderstatus = 'O'))::DOUBLE / count(*) FILTER (o_orderstatus IN ('F', 'O')) ELSE 0 END, 6) AS imbalance

@@ -64,3 +64,13 @@ def test_metrics_count_every_error(spark):
     rows = [("p", 1, True, []), ("p", 2, False, ["03_other", "03_other", "01_quality"]), ("p", 3, None, ["03_other", None]), ("q", 1, True, None), (None, 1, False, ["04"])]
     got = preference.metrics(spark.createDataFrame(rows, "problem_id string, sol_pos int, is_valid boolean, errors array<string>"))
     assert {tuple(r)[:3] + (tuple(sorted(r["error_counts"].items())),) for r in got.collect()} == {("p", 3, 0.5, (("01_quality", 1), ("03_other", 2))), ("q", 1, 1.0, ()), (None, 1, 0.0, (("04", 1),))}
+
+
+def test_requests_without_blocks(spark):
+    from argloom.operators import checks
+
+    answers = spark.createDataFrame([(1, "```xml\na\n```\n```xml\nb\n```"), (2, "```xml never closed"), (3, "```argdown\n[A\n```"), (4, None), (None, "```xml\nc\n```")], "request_id long, answer string")
+    found = extraction.blocks(answers)
+    for dtype, name, want in (("xml", "has_annotations", {1, None}), ("argdown", "has_argdown", {3})):
+        got = [tuple(r) for r in checks.has_block(answers, found, "request_id", dtype, name).collect()]
+        assert sorted(got, key=str) == sorted(((k, name, k in want) for k in (1, 2, 3, 4, None)), key=str)
