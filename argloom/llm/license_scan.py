@@ -14,7 +14,8 @@ of the text. Equal words are told by 64-bit hashes.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ BROADCAST_SPANS = 50_000
 
 #: Base phrases and their labels.
 PHRASES = [("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl")]
-#: Sentences by which licenses announce themselves.
+#: Sentences by which licenses announce themselves, and clauses of their bodies; run() takes others, up to whole license texts.
 TEMPLATES = [
     ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "mit"),
     ("released under the mit license", "mit"),
@@ -42,9 +43,15 @@ TEMPLATES = [
     ("this source code form is subject to the terms of the mozilla public license", "mpl"),
     ("licensed under cc by nc 4 0", "cc-by-nc"),
     ("this work is licensed under a creative commons attribution 4 0 international license", "cc-by"),
+    ("the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "mit"),
+    ("the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement", "mit"),
+    ("in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software", "mit"),
+    ("redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", "bsd"),
+    ("redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution", "bsd"),
+    ("this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed", "bsd"),
+    ("unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied", "apache"),
+    ("this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose", "gpl"),
 ]
-_ALL = [p for p, _ in PHRASES] + [t for t, _ in TEMPLATES]
-_LABELS = [x for _, x in PHRASES] + [x for _, x in TEMPLATES]
 #: Stands in front of each text's hashes, so that texts without matches are in the result too.
 _ROW = 0
 
@@ -57,9 +64,22 @@ def _grams(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray,
         yield lo, hi, b, hashes.view(np.int64), np.bincount(b.doc[at], minlength=b.n)
 
 
-def template_table(spark) -> DataFrame:
+def template_words(text: str) -> str:
+    """The words of a template as the scan sees them, one space between."""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.translate({i: i + 32 for i in range(65, 91)}))
+    if len(words) < K:
+        raise ValueError(f"a template needs {K} words at least: {text!r}")
+    return " ".join(words)
+
+
+def _texts_labels(templates: Sequence[tuple[str, str]]) -> tuple[list[str], list[str]]:
+    """Of base phrases and templates."""
+    return [p for p, _ in PHRASES] + [template_words(t) for t, _ in templates], [x for _, x in PHRASES] + [x for _, x in templates]
+
+
+def template_table(spark, texts: list[str]) -> DataFrame:
     rows = [(_ROW, -1, 0)]
-    for i, text in enumerate(_ALL):
+    for i, text in enumerate(texts):
         for _, _, _, hashes, _ in _grams(pa.array([text])):
             rows += [(int(h), i, p) for p, h in enumerate(hashes)]
     return spark.createDataFrame(rows, "hash long, template int, at int")
@@ -81,10 +101,11 @@ def rolling(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select("doc_id", text).mapInArrow(run, "doc_id long, key long, n_words long, hashes array<long>")
 
 
-def _spans(docs: DataFrame, text: str) -> DataFrame:
+def _spans(docs: DataFrame, text: str, templates: Sequence[tuple[str, str]] = TEMPLATES) -> DataFrame:
     """Per distinct (doc_id, text): n_words, how many rows, base places and merged spans of templates."""
+    texts, labels = _texts_labels(templates)
     grams = rolling(docs, text).select("doc_id", "key", "n_words", F.posexplode("hashes").alias("pos", "hash"))
-    votes = grams.join(F.broadcast(template_table(docs.sparkSession)), "hash").withColumn("pos", F.col("pos") - 1)
+    votes = grams.join(F.broadcast(template_table(docs.sparkSession, texts)), "hash").withColumn("pos", F.col("pos") - 1)
     diagonal = votes.groupBy("doc_id", "key", "template", F.when(F.col("template") >= 0, F.col("pos") - F.col("at")).otherwise(0).alias("diagonal")).agg(
         F.max("n_words").alias("n_words"), F.count("*").alias("votes"), F.min("pos").alias("lo"), F.max("pos").alias("hi"))
     # A phrase's places and the row itself are diagonals of their own; only templates' diagonals are merged.
@@ -92,12 +113,12 @@ def _spans(docs: DataFrame, text: str) -> DataFrame:
     apart = (F.col("template") < len(PHRASES)) | F.lag("diagonal").over(own).isNull() | (F.col("diagonal") - F.lag("diagonal").over(own) > DRIFT) | (F.col("lo") - F.lag("hi").over(own) > NEAR) | (F.lag("lo").over(own) - F.col("hi") > NEAR)
     merged = diagonal.withColumn("first", apart.cast("int")).withColumn("group", F.sum("first").over(own.rowsBetween(Window.unboundedPreceding, 0)))
     merged = merged.groupBy("doc_id", "key", "template", "group").agg(F.max("n_words").alias("n_words"), F.sum("votes").alias("votes"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    need = F.element_at(F.array(*[F.lit(len(t.split()) - K + 1) for t in _ALL]), F.greatest(F.col("template"), F.lit(0)) + 1)
+    need = F.element_at(F.array(*[F.lit(len(t.split()) - K + 1) for t in texts]), F.greatest(F.col("template"), F.lit(0)) + 1)
 
     copies = F.max(F.when(F.col("template") == -1, F.col("votes"))).over(Window.partitionBy("doc_id", "key"))
     merged = merged.withColumn("rows", copies).where((F.col("template") == -1) | (F.col("template") < len(PHRASES)) & (F.col("votes") == need * F.col("rows")) | (F.col("template") >= len(PHRASES)) & (F.col("votes") >= F.ceil(need * MIN_VOTES) * F.col("rows")))
     base = (F.col("template") >= 0) & (F.col("template") < len(PHRASES))
-    label = F.element_at(F.array(*map(F.lit, _LABELS)), F.greatest(F.col("template"), F.lit(0)) + 1)
+    label = F.element_at(F.array(*map(F.lit, labels)), F.greatest(F.col("template"), F.lit(0)) + 1)
 
     return merged.groupBy("doc_id", "key").agg(
         F.max("n_words").alias("n_words"), F.max("rows").alias("rows"), F.count_if(base).alias("n_base"),
@@ -107,17 +128,20 @@ def _spans(docs: DataFrame, text: str) -> DataFrame:
 
 
 def _common(a: list[str], b: list[str]) -> int:
-    """Length of the longest common subsequence."""
-    row = [0] * (len(b) + 1)
-    for x in a:
-        last = 0
-        for j, y in enumerate(b):
-            last, row[j + 1] = row[j + 1], last + 1 if x == y else max(row[j], row[j + 1])
-    return row[-1]
-
-
-def verified(docs: DataFrame, found: DataFrame, text: str = "text") -> DataFrame:
+    """Length of the longest common subsequence; a bit for each place of a, so that whole licenses are quick."""
+    places: dict[str, int] = {}
+    for i, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << i
+    whole = row = (1 << len(a)) - 1
+    for y in b:
+        match = row & places.get(y, 0)
+        row = (row + match | row - match) & whole
+    return len(a) - row.bit_count()
+
+
+def verified(docs: DataFrame, found: DataFrame, text: str = "text", templates: Sequence[tuple[str, str]] = TEMPLATES) -> DataFrame:
     """doc_id, key, labels and score of the spans that hold on the text itself."""
+    texts, names = _texts_labels(templates)
     wanted = found.where(F.size("spans") > 0).select(F.col("doc_id").alias("d"), F.col("key").alias("k"), "spans")
     if wanted.limit(BROADCAST_SPANS + 1).count() <= BROADCAST_SPANS:
         wanted = F.broadcast(wanted)
@@ -132,10 +156,10 @@ def verified(docs: DataFrame, found: DataFrame, text: str = "text") -> DataFrame
                     keep.append(int(keys[i]) == batch.column(2)[lo + i].as_py())
                     for s in batch.column(3)[lo + i].as_py() if keep[-1] else []:
                         words = [b.word(w) for w in range(b.word_at[i] + s["lo"], min(b.word_at[i] + s["hi"] + K, b.word_at[i + 1]))]
-                        template = _ALL[s["template"]].split()
+                        template = texts[s["template"]].split()
                         cover = _common(template, words) / max(len(template), len(words))
                         if cover >= MIN_COVER:
-                            good.add(_LABELS[s["template"]])
+                            good.add(names[s["template"]])
                             best = max(best, cover)
                     labels.append(sorted(good)), scores.append(best)
             out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(labels, pa.list_(pa.string())), pa.array(scores, pa.float64())], names=["doc_id", "key", "added", "cover"])
@@ -145,9 +169,10 @@ def verified(docs: DataFrame, found: DataFrame, text: str = "text") -> DataFrame
     return pairs.mapInArrow(keyed, "doc_id long, key long, added array<string>, cover double").dropDuplicates(["doc_id", "key"])
 
 
-def run(docs: DataFrame, text: str = "text") -> DataFrame:
-    found = written(_spans(docs, text), "license-spans")
-    more = verified(docs, found, text).select(F.col("doc_id").alias("d"), F.col("key").alias("k"), "added", "cover")
+def run(docs: DataFrame, text: str = "text", templates: Sequence[tuple[str, str]] = TEMPLATES) -> DataFrame:
+    """Counts and labels of every row; templates are (text, label)."""
+    found = written(_spans(docs, text, templates), "license-spans")
+    more = verified(docs, found, text, templates).select(F.col("doc_id").alias("d"), F.col("key").alias("k"), "added", "cover")
     out = found.join(more, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")), "left")
     out = out.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.concat_ws(",", "base_labels").alias("base_labels"),
         F.concat_ws(",", F.array_sort(F.array_union("base_labels", F.coalesce("added", F.array().cast("array<string>"))))).alias("labels"),

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -371,6 +372,22 @@ def test_license_scan(spark, docs, messy, none):
     assert license_scan.run(none).count() == 0
 
 
+def test_license_templates(spark):
+    """Clauses of bodies are found, and whole texts passed as templates."""
+    rng = random.Random(5)
+    for _ in range(200):
+        a, b = ([rng.choice("abcd") for _ in range(rng.randrange(12))] for _ in "ab")
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, j in itertools.product(range(len(a)), range(len(b))):
+            table[i + 1][j + 1] = table[i][j] + 1 if a[i] == b[j] else max(table[i][j + 1], table[i + 1][j])
+        assert license_scan._common(a, b) == table[-1][-1]
+    mit = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.'
+    long = " ".join(f"Word{i * i % 1009}," for i in range(3000))
+    df = spark.createDataFrame([(1, "x = 1\n# " + mit), (2, "See: " + long + " End."), (3, "nothing here at all")], "doc_id long, text string")
+    assert [r["labels"] for _, r in sorted(rows(license_scan.run(df)).items())] == ["mit", "", ""]
+    assert [r["labels"] for _, r in sorted(rows(license_scan.run(df, templates=[(long, "own")])).items())] == ["", "own", ""]
+
+
 def test_pipeline_against_brute_force(spark, docs, labels, tmp_path):
     import corpus_pipeline
     import sentencepiece
