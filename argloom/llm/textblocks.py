@@ -7,6 +7,7 @@ Null texts count as empty. Words never cross texts.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,9 +15,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 BLOCK_BYTES = 1 << 20
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_BASE_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _STEP = np.uint64(0xD1342543DE82EF95)
+#: Spans up to so many bytes are hashed eight bytes at a time, all spans at once; longer ones by a cryptographic hash.
+LANE_BYTES = 64
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 #: Bytes that are not part of a word for `[^\x20\x09-\x0D]+`.
 SPACE = np.zeros(256, bool)
@@ -27,21 +29,6 @@ NOT_ALNUM[[*range(0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_powers: dict[int, np.ndarray] = {}
-
-
-def _power(base: np.uint64, n: int) -> np.ndarray:
-    """base**0 .. base**(n - 1) modulo 2**64, kept for blocks of the usual size."""
-    kept = _powers.get(int(base))
-    if kept is None or len(kept) < n:
-        kept = np.full(max(n, BLOCK_BYTES + 1), base, np.uint64)
-        kept[0] = 1
-        kept = np.multiply.accumulate(kept)
-        if n <= 4 * BLOCK_BYTES:
-            _powers[int(base)] = kept
-    return kept[:n]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (splitmix64)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -67,6 +54,7 @@ class Block:
         self.data = LOWER[data] if lower else data
         self.bounds = bounds
         self.n = len(bounds) - 1
+        self._eights: tuple[np.ndarray, np.ndarray] | None = None
         word = ~breaks[self.data]
         first = np.zeros(len(data) + 1, bool)
         first[bounds] = True
@@ -83,18 +71,51 @@ class Block:
         self.n_words = np.bincount(self.doc, minlength=self.n)
         self.word_at = np.concatenate([[0], np.cumsum(self.n_words)])
 
+    def _lanes(self) -> np.ndarray:
+        """The eight bytes from each place on, as one number; zeros follow the last one."""
+        if self._eights is None:
+            padded = np.concatenate([self.data, np.zeros(8, np.uint8)])
+            self._eights = np.lib.stride_tricks.as_strided(padded[:8].view("<u8"), (len(self.data) + 1,), (1,)), padded
+        return self._eights[0]
+
     def spans_hash(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """64-bit hash of the bytes of each span; equal bytes give equal hashes anywhere."""
-        sums = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * _power(_BASE, len(self.data)), out=sums[1:])
-        value = (sums[ends] - sums[starts]) * _power(_BASE_INV, len(self.data) + 1)[starts]
-        return mix(value + mix((ends - starts).astype(np.uint64)))
+        size, lanes = ends - starts, self._lanes()
+        out = mix(size.astype(np.uint64) + _STEP)
+        long = np.flatnonzero(size > LANE_BYTES)
+        todo = np.flatnonzero((size <= LANE_BYTES) & (size > 0))
+        at = 0
+        while len(todo):
+            left = size[todo] - at
+            out[todo] = mix(out[todo] * _STEP ^ lanes[starts[todo] + at] & _MASKS[np.minimum(left, 8)])
+            at += 8
+            todo = todo[left > 8]
+        for i in long.tolist():
+            out[i] = int.from_bytes(hashlib.blake2b(self.data[starts[i] : ends[i]], digest_size=8).digest(), "little")
+        return out
+
+    def same_words(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether words a and b, pair by pair, have the same bytes."""
+        (x, y), (n, m) = (self.starts[a], self.starts[b]), (self.ends[a] - self.starts[a], self.ends[b] - self.starts[b])
+        same, lanes = n == m, self._lanes()
+        todo, at = np.flatnonzero(same & (n <= LANE_BYTES) & (a != b)), 0
+        while len(todo):
+            left = n[todo] - at
+            same[todo] &= (lanes[x[todo] + at] ^ lanes[y[todo] + at]) & _MASKS[np.minimum(left, 8)] == 0
+            at += 8
+            todo = todo[left > 8]
+        for i in np.flatnonzero(same & (n > LANE_BYTES) & (a != b)).tolist():
+            same[i] = self.data[x[i] : x[i] + n[i]].tobytes() == self.data[y[i] : y[i] + n[i]].tobytes()
+        return same
 
     def word_hash(self) -> np.ndarray:
         return self.spans_hash(self.starts, self.ends)
 
+    def word_bytes(self, i: int) -> bytes:
+        return self.data[self.starts[i] : self.ends[i]].tobytes()
+
     def word(self, i: int) -> str:
-        return self.data[self.starts[i] : self.ends[i]].tobytes().decode("utf-8", "replace")
+        return self.word_bytes(i).decode("utf-8", "replace")
 
     def grams(self, hashes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of k consecutive words of one text, and the index of their first word."""
@@ -115,8 +136,9 @@ def as_strings(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     return pc.fill_null(column.cast(pa.large_string()), "")
 
 
-def blocks(column: pa.Array, breaks: np.ndarray = SPACE, lower: bool = False, size: int = BLOCK_BYTES) -> Iterator[tuple[int, int, Block]]:
-    """(first row, end row, Block) over a string column."""
+def blocks(column: pa.Array, breaks: np.ndarray = SPACE, lower: bool = False, size: int | None = None) -> Iterator[tuple[int, int, Block]]:
+    """(first row, end row, Block) over a string column; blocks of about `size` bytes (BLOCK_BYTES)."""
+    size = size or BLOCK_BYTES
     column = as_strings(column)
     if not len(column):
         return
