@@ -1,18 +1,21 @@
 """Token ids in shards of documents, each one file with a wavelet matrix.
 
-Texts are encoded through tables of distinct words: tokens never cross white space, so each distinct word (told by
-64-bit hash) is encoded once per table by the library and its ids joined by position. Documents, in order of doc_id, are dealt into
-shards by bounds on doc_id; END follows each document. A shard file holds doc_ids, document lengths, and the bit planes of
+Texts are encoded through tables of distinct words: tokens never cross white space, so each distinct word (found
+by hash, told by its bytes) is encoded once per table by the library and its ids joined by position; a file with other
+rules for words than the known ones is encoded text by text. Documents are sorted by ranges of
+(doc_id, hash of the text), so that a repeated or missing id may span many ranges; a range gives shards of about SHARD_TOKENS
+tokens (a longer document has one of its own), END following each document. A shard file holds doc_ids, document lengths, and the bit planes of
 a wavelet matrix with samples of their ranks, all compressed, in one binary cell of its own Parquet file, so that
 Spark commits it or not at all and any store can hold it. WaveletMatrix answers access, rank,
 count, select and occurrences from it, and gives back the whole sequence.
 
-Null texts are empty: only END. Null doc_ids come first. Rows that repeat a doc_id follow each other by their ids. An empty table gives no
-shards and no rows.
+Null texts are empty: only END. Null doc_ids come first. Rows that repeat a doc_id follow each other by a hash of the text. An empty table gives no
+shards and no rows. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
@@ -22,6 +25,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +34,12 @@ from .textblocks import Block, blocks
 
 #: Words, and parts of words, that a worker keeps before it begins anew.
 TABLE_WORDS, TABLE_PARTS, SAMPLE_BITS = 800_000, 400_000, 512
+#: And bytes of these words.
+TABLE_BYTES = 32 << 20
+#: Bytes of texts for each range (at least as many ranges as shuffle partitions), and tokens of a shard.
+PART_BYTES, SHARD_TOKENS = 32 << 20, 4 << 20
+#: Up to so many shards have their place sent to every task (16 bytes each); more are joined by a shuffle.
+BROADCAST_SHARDS = 1_000_000
 _MAGIC = b"WMX1"
 
 # In texts of Latin-1 alone, lower-casing goes letter by letter, nothing composes, and these are the letters,
@@ -38,6 +48,20 @@ _L, _N, _S = "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾", "\x09-\x0d\x20\x85\xa0"
 _LATIN_WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+")
 
 
+#: The normalizer and the pattern for which words can be cut at white space, as in the file.
+_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def _cuts_at_space(file: dict) -> bool:
+    """Whether the file's normalizer and pre-tokenizer are those that the word table is made for."""
+    first, *others = (file.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    split = first.get("type") == "Split" and first.get("pattern") == {"Regex": _PATTERN} and first.get("behavior") == "Removed" and first.get("invert")
+    level = [(x.get("type"), x.get("add_prefix_space"), x.get("use_regex")) for x in others] == [("ByteLevel", False, False)]
+    plain = all(x["content"].startswith("<|") and not re.search(r"\s", x["content"]) and not (x["lstrip"] or x["rstrip"] or x["single_word"]) for x in file.get("added_tokens") or [])
+    return bool((file.get("normalizer") or {}).get("normalizers") == _NORMALIZERS and split and level and plain)
+
+
 def _byte_letters() -> dict[int, str]:
     """The byte-level alphabet: printable bytes stand for themselves, the others for letters from U+0100 on."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -49,17 +73,19 @@ _LETTERS = _byte_letters()
 
 
 class WordTable:
-    """Hash of a word between white space -> its ids, in one flat array; and the ids of the parts words consist of."""
+    """A word between white space -> its ids, in one flat array; and the ids of the parts words consist of."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.by_word = _cuts_at_space(json.loads(self.tokenizer.to_str()))
         self.parts: dict[str, tuple[int, ...]] = {}
         self.clear()
 
     def clear(self) -> None:
-        self.at: dict[int, int] = {}
+        self.at: dict[bytes, int] = {}
+        self.chars = 0
         self.starts, self.sizes, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def _ids(self, words: list[str]) -> list[tuple[int, ...]]:
@@ -83,22 +109,38 @@ class WordTable:
             out[i] = tuple(e.ids)
         return out
 
+    def _places(self, b: Block) -> tuple[np.ndarray, np.ndarray]:
+        """(a word of each kind, the kind of every word) of a block; words of a kind have the same bytes."""
+        _, first, kind = np.unique(b.word_hash(), return_index=True, return_inverse=True)
+        if b.same_words(np.arange(len(kind)), first[kind]).all():
+            return first, kind
+        kinds: dict[bytes, int] = {}  # two words of this block have the same hash
+        kind = np.array([kinds.setdefault(b.word_bytes(i), len(kinds)) for i in range(len(kind))])
+        return np.unique(kind, return_index=True)[1], kind
+
     def encode(self, b: Block) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts of a block, how many of each text)."""
-        if len(self.at) > TABLE_WORDS:
+        if not self.by_word:
+            texts = [b.data[x:y].tobytes().decode("utf-8", "replace") for x, y in zip(b.bounds[:-1].tolist(), b.bounds[1:].tolist(), strict=True)]
+            ids = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+            return np.fromiter(chain.from_iterable(ids), np.uint32), np.array([len(x) for x in ids], np.int64)
+        if len(self.at) > TABLE_WORDS or self.chars > TABLE_BYTES:
             self.clear()
-        distinct, first, place = np.unique(b.word_hash(), return_index=True, return_inverse=True)
-        where = np.array([self.at.get(h, -1) for h in distinct.tolist()], np.int64)
+        first, kind = self._places(b)
+        words = [b.word_bytes(i) for i in first.tolist()]
+        where = np.array([self.at.get(w, -1) for w in words], np.int64)
         new = np.flatnonzero(where < 0)
         if len(new):
-            ids = self._ids([b.word(i) for i in first[new]])
+            new_words = [words[i] for i in new.tolist()]
+            ids = self._ids([w.decode("utf-8", "replace") for w in new_words])
             sizes = np.array([len(x) for x in ids], np.int64)
             where[new] = len(self.starts) + np.arange(len(new))
-            self.at.update(zip(distinct[new].tolist(), where[new].tolist(), strict=True))
+            self.at.update(zip(new_words, where[new].tolist(), strict=True))
+            self.chars += sum(map(len, new_words))
             self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
             self.sizes = np.concatenate([self.sizes, sizes])
             self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32)])
-        word = where[place]
+        word = where[kind]
         sizes = self.sizes[word]
         ends = np.cumsum(sizes)
         out = self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[word] - ends + sizes, sizes)]
@@ -228,39 +270,54 @@ def unpack(file: bytes) -> tuple[list[int | None], np.ndarray, WaveletMatrix]:
 
 
 def write(docs: DataFrame, tokenizer: str, end: int, path: str, text: str = "text") -> None:
-    """Shard files of all texts under path: Parquet with shard, n_tokens and file, one row each."""
-    shards = parts(docs.sparkSession)
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / shards for i in range(1, shards)] or [0.5], 10_000)).first()[0] or []
-    cuts = np.unique(np.array(cuts, np.int64))
+    """Shard files of all texts under path: Parquet with shard, n_tokens and file, one row each; shards are numbered in order."""
+    n_bytes = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    ranges = max(parts(docs.sparkSession), -(-n_bytes // PART_BYTES))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("tie")]
+    rows = docs.select("doc_id", text, F.xxhash64(text).alias("tie")).repartitionByRange(ranges, *order).sortWithinPartitions(*order, text)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _word_table(tokenizer)
+        words, part = _word_table(tokenizer), TaskContext.get().partitionId() << 32
+        held: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
+
+        def shard(number: int) -> pa.RecordBatch:
+            ids, lengths, values = (list(x) for x in zip(*held, strict=True))
+            held.clear()
+            lengths, values = np.concatenate(lengths), np.concatenate(values)
+            file = pack(pa.chunked_array(ids).to_pylist(), lengths, values)
+            return pa.RecordBatch.from_arrays([pa.array([part | number], pa.int64()), pa.array([len(values)], pa.int64()), pa.array([file], pa.binary())], names=["shard", "n_tokens", "file"])
+
+        number = size = 0
         for batch in batches:
             for lo, hi, b in blocks(batch.column(1)):
-                ids = batch.column(0).slice(lo, hi - lo)
-                shard = np.searchsorted(cuts, ids.fill_null(np.iinfo(np.int64).min).to_numpy(), "left").astype(np.int32)
                 found, n = words.encode(b)
-                tokens = np.insert(found, np.cumsum(n), np.uint32(end)).astype("<u4")
-                offsets = np.concatenate([[0], np.cumsum(4 * (n + 1))]).astype(np.int32)
-                packed = pa.Array.from_buffers(pa.binary(), b.n, [None, pa.py_buffer(offsets), pa.py_buffer(tokens)])
-                yield pa.RecordBatch.from_arrays([pa.array(shard), ids, packed], names=["shard", "doc_id", "ids"])
-
-    def shard_file(rows: pa.Table) -> pa.Table:
-        found = sorted(zip(rows.column("doc_id").to_pylist(), rows.column("ids").to_pylist(), strict=True), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
-        lengths = np.array([len(x) // 4 for _, x in found])
-        file = pack([d for d, _ in found], lengths, np.frombuffer(b"".join(x for _, x in found), np.uint32))
-        return pa.table({"shard": rows.column("shard")[:1], "n_tokens": pa.array([int(lengths.sum())], pa.int64()), "file": pa.array([file], pa.binary())})
-
-    files = docs.select("doc_id", text).mapInArrow(encode, "shard int, doc_id long, ids binary").groupBy("shard").applyInArrow(shard_file, "shard int, n_tokens long, file binary")
+                held.append((batch.column(0).slice(lo, hi - lo), n + 1, np.insert(found, np.cumsum(n), np.uint32(end))))
+                size += len(found)
+                if size > SHARD_TOKENS:
+                    yield shard(number)
+                    number, size = number + 1, 0
+        if held:
+            yield shard(number)
+
+    files = rows.select("doc_id", text).mapInArrow(encode, "shard long, n_tokens long, file binary")
     files.write.option("compression", "uncompressed").option("maxRecordsPerFile", 1).parquet(path)
 
 
+def _firsts(sizes: DataFrame) -> DataFrame:
+    """s, first: the tokens before each shard, summed by the range that the shard is of, then over the ranges."""
+    of = F.shiftright("s", 32)
+    ranges = sizes.groupBy(of.alias("range")).agg(F.sum("n_tokens").alias("n"))
+    ranges = ranges.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("before"))  # one row for PART_BYTES of texts
+    own = F.sum("n_tokens").over(Window.partitionBy(of).orderBy("s")) - F.col("n_tokens")
+    return sizes.withColumn("own", own).join(ranges, of == F.col("range")).select("s", (F.col("before") + F.col("own")).alias("first"))
+
+
 def read(spark, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the shard files."""
-    files = spark.read.parquet(path)
-    sizes = files.select(F.col("shard").alias("s"), "n_tokens")
-    before = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)  # one row for each shard
-    sizes = sizes.select("s", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("first"))
+    files = spark.read.schema("shard long, n_tokens long, file binary").parquet(path)
+    firsts = _firsts(files.select(F.col("shard").alias("s"), "n_tokens"))
+    if files.count() <= BROADCAST_SHARDS:
+        firsts = F.broadcast(firsts)
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -271,7 +328,7 @@ def read(spark, path: str) -> DataFrame:
                 crc = [zlib.crc32(values[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(first + ends - lengths), pa.array(lengths), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return files.select("shard", "file").join(sizes, F.col("shard") == F.col("s")).select("first", "file").mapInArrow(documents, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.select("shard", "file").join(firsts, F.col("shard") == F.col("s")).select("first", "file").mapInArrow(documents, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def run(docs: DataFrame, tokenizer: str, end: int = 2) -> DataFrame:
