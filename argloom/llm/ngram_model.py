@@ -32,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .shared import new_path, parts
 from .textblocks import Block, blocks, mix
@@ -39,6 +40,8 @@ from .textblocks import Block, blocks, mix
 FOLDS, HELD_OUT, HOT = 7, 2, 64
 #: N-grams a task keeps before it sends them on.
 TASK_GRAMS = 3_000_000
+#: Bytes of texts for each part of the arrays (at least as many parts as shuffle partitions).
+PART_BYTES = 64 << 20
 #: Contexts with more words behind them have their sums stored. Counts from MANY on are kept apart, so that one byte holds the others.
 LONG, MANY = 16, 255
 _END, _BEGIN = np.uint64(0x6A09E667F3BCC908), np.uint64(0xBB67AE8584CAA73B)
@@ -300,7 +303,8 @@ def train(docs: DataFrame, text: str = "text", order: int = 2) -> Model:
     if order < 2:
         raise ValueError(f"the order must be 2 at least, not {order}")
     spark = docs.sparkSession
-    model = Model(_local_folder(new_path(spark, "ngrams")), max(16, parts(spark)), order)
+    n_bytes = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    model = Model(_local_folder(new_path(spark, "ngrams")), max(16, parts(spark), -(-n_bytes // PART_BYTES)), order)
     os.makedirs(model.folder)
     rows = docs.select("doc_id", text)
     out_pair = pa.schema([("part", pa.int32()), ("packed", pa.binary())])
@@ -322,7 +326,7 @@ def train(docs: DataFrame, text: str = "text", order: int = 2) -> Model:
         for b in _training(batches):
             columns = of_block(b)
             k, (c,) = _summed(columns, [np.ones(len(columns[0]), np.uint32)])
-            kept.append((k, c.astype(np.uint32)))
+            kept.append((k, _small(c)))
             size += len(c)
             if size > TASK_GRAMS:
                 kept = [together(kept)]
@@ -354,6 +358,8 @@ def train(docs: DataFrame, text: str = "text", order: int = 2) -> Model:
     for p in np.flatnonzero(sizes == 0):
         _save(model.folder, f"words-{p}", np.empty(0, np.uint64)), _save(model.folder, f"counts-{p}", np.empty(0, np.uint32))
     model.first_id = np.concatenate([[0], np.cumsum(sizes)])
+    if model.first_id[-1] + 1 >= 1 << 32:
+        raise ValueError(f"ids have 32 bits, which {model.first_id[-1]} distinct words exceed")
     model.total, model.n_docs = sum(r["total"] for r in found), sum(r["n_docs"] for r in found)
     model.hot = np.array([model.first_id[r["part"]] + i for r in found for i, n in zip(r["top"], r["top_n"], strict=True) if n * HOT > model.total], np.int64)
 
