@@ -1,12 +1,12 @@
 """WARC archives with revisit records, and an external merge of their capture index.
 
-Pages are written as WARC/1.0 records by Spark's own text writer (gzip files, committed or not at all). Of pages with equal payloads
+Pages are written as WARC/1.0 records by Spark's own text writer (gzip files of bounded size, committed or not at all). Of pages with equal payloads
 of at least MIN_BYTES, the one with the smallest page_id is a response; the others are revisits that refer to it. Archives
 are read back as binary files and parsed by their Content-Length. Each archive gives a run of
 captures, sorted by URL key (reversed host, then path), timestamp and page_id. Runs are cut at bounds
-taken from a bounded sample of keys; the pieces of each range are merged by a loser tree. (part, pos) is the
-place in the global order. The bounds are of whole keys (URL key, timestamp, page_id), so one URL with a third of all captures
-spreads over many ranges.
+taken from a sample of keys; the pieces of each range are merged by a loser tree, which reads them one capture at a time.
+(part, pos) is the place in the global order. The bounds are of whole keys (URL key, timestamp, page_id), so one URL with a third of all captures
+spreads over many ranges; so do captures whose keys are wholly equal. Payloads move only where more of them are shared than can be sent to all tasks.
 
 Null html is an empty payload; a null url has an empty key. A page without page_id is a response and refers to
 nothing. Rows that repeat page_id and payload have one kind of record. Extra columns are ignored.
@@ -14,34 +14,53 @@ nothing. Rows that repeat page_id and payload have one kind of record. Extra col
 
 from __future__ import annotations
 
+import collections
 import hashlib
 import re
 import zlib
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterable, Iterator
 from datetime import datetime, timezone
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import new_path, parts
+from .shared import new_path, parts, written
 
 MIN_BYTES = 100
-#: Records of an archive file, and rows sampled for the bounds of the merge.
-FILE_RECORDS, SAMPLE, RANGE_ROWS = 5000, 4096, 200_000
+#: Records of an archive file at most, bytes of their payloads on average, and compressed bytes read at once.
+FILE_RECORDS, FILE_BYTES, STEP_BYTES = 5000, 64 << 20, 1 << 16
+#: Captures of a range of the merge, and rows sampled for each to find its bounds.
+RANGE_ROWS, OVERSAMPLE = 50_000, 20
+#: Up to so many payloads that several pages share have their first page sent to every task (some 100 bytes each).
+BROADCAST_FIRSTS = 200_000
 _EPOCH, _SPAN = 1_577_836_800, 1_000_000_000
 
 _CAPTURE = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, urlkey string, ts string"
 
 
+def _firsts(rows: DataFrame) -> DataFrame:
+    """d, first, n: the smallest page_id of each payload that several pages have; only digests move."""
+    long = rows.where((F.col("payload_bytes") >= MIN_BYTES) & F.col("page_id").isNotNull()).select("page_id", "payload_digest")
+    return written(long.groupBy(F.col("payload_digest").alias("d")).agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1"), "first-pages")
+
+
 def records(pages: DataFrame) -> DataFrame:
     """page_id, url, payload, payload_bytes, payload_digest, refers_to (null: a response)."""
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("payload"))
     rows = rows.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": F.sha2("payload", 256)})
-    long = rows.where((F.col("payload_bytes") >= MIN_BYTES) & F.col("page_id").isNotNull())
-    first = long.groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("payload_digest").alias("d"), "first")
-    rows = rows.join(first, (F.col("payload_digest") == F.col("d")) & F.col("page_id").isNotNull(), "left")
-    return rows.withColumn("refers_to", F.when(F.col("first") != F.col("page_id"), F.col("first"))).drop("d", "first")
+    firsts = _firsts(rows)
+    several, most = firsts.agg(F.count("*"), F.sum("n")).first()
+    refers = F.when((F.col("first") != F.col("page_id")) & (F.col("payload_bytes") >= MIN_BYTES), F.col("first"))
+    if several <= BROADCAST_FIRSTS:
+        return rows.join(F.broadcast(firsts.drop("n")), F.col("payload_digest") == F.col("d"), "left").withColumn("refers_to", refers).drop("d", "first")
+    # The payloads with the most pages, at most BROADCAST_FIRSTS of them, are sent to all tasks; pages of the others meet theirs by a shuffle.
+    hot = F.col("n") > most / BROADCAST_FIRSTS
+    rows = rows.join(F.broadcast(firsts.where(hot).select(F.col("d").alias("hot"), F.col("first").alias("hot_first"))), F.col("payload_digest") == F.col("hot"), "left")
+    rows = rows.withColumn("key", F.when(F.col("hot").isNull(), F.col("payload_digest")).otherwise(F.concat(F.lit("-"), F.coalesce(F.col("page_id").cast("string"), F.lit("")))))
+    rows = rows.join(firsts.where(~hot).drop("n"), F.col("key") == F.col("d"), "left").withColumn("first", F.coalesce("hot_first", "first"))
+    return rows.withColumn("refers_to", refers).drop("d", "first", "hot", "hot_first", "key")
 
 
 def write(pages: DataFrame, path: str) -> None:
@@ -57,23 +76,36 @@ def write(pages: DataFrame, path: str) -> None:
         line("WARC-Target-URI", F.regexp_replace(F.coalesce("url", F.lit("")), r"[\x00-\x20]", "%20")), line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), "payload_digest")), line("X-Page-Id", F.coalesce(F.col("page_id").cast("string"), F.lit(""))),
         F.when(revisit, F.concat(line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.0/revisit/identical-payload-digest")), line("WARC-Refers-To", uuid(F.col("refers_to"))), line("X-Refers-To-Page-Id", F.col("refers_to").cast("string")))).otherwise(""),
         F.lit("Content-Type: application/http; msgtype=response\r\n"), line("Content-Length", F.octet_length("block").cast("string")), F.lit("\r\n"))
+    n, size = pages.agg(F.count("*"), F.sum(F.octet_length("html"))).first()
+    per_file = max(1, min(FILE_RECORDS, FILE_BYTES * n // max(size or 0, 1)))
     out = records(pages).withColumn("block", block).select(F.concat(head, "block", F.lit("\r\n\r")).alias("value"))
-    out.write.option("lineSep", "\n").option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    out.write.option("lineSep", "\n").option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
 
 
 def parse(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers, block) of each record."""
-    at = 0
-    while at < len(archive):
-        end = archive.index(b"\r\n\r\n", at)
-        lines = archive[at:end].decode().split("\r\n")
+    """(headers, block) of each record of a gzip file, which is unpacked bit by bit: only one record is held."""
+    unpack, held, at = zlib.decompressobj(31), bytearray(), 0
+
+    def until(enough) -> bool:
+        """Unpack more until there is enough; False at the end of the file."""
+        nonlocal at
+        while not enough():
+            if at >= len(archive) and not unpack.unconsumed_tail:
+                return False
+            data = unpack.unconsumed_tail or archive[at : (at := at + STEP_BYTES)]
+            held.extend(unpack.decompress(data, 4 * STEP_BYTES))
+        return True
+
+    while until(lambda: len(held) > 0):
+        assert until(lambda: held.find(b"\r\n\r\n") >= 0), "a record is cut off"
+        start = held.find(b"\r\n\r\n") + 4
+        lines = held[: start - 4].decode().split("\r\n")
         assert lines[0] == "WARC/1.0", "not a WARC record"
         head = dict(x.split(": ", 1) for x in lines[1:])
-        start = end + 4
-        at = start + int(head["Content-Length"])
-        assert archive[at : at + 4] == b"\r\n\r\n", "a record is cut off"
-        yield head, archive[start:at]
-        at += 4
+        end = start + int(head["Content-Length"])
+        assert until(lambda: len(held) >= end + 4) and held[end : end + 4] == b"\r\n\r\n", "a record is cut off"
+        yield head, bytes(held[start:end])
+        del held[: end + 4]
 
 
 def urlkey(url: str | None) -> str:
@@ -102,17 +134,18 @@ def _order(x: dict) -> tuple[str, str, int]:
 
 
 class LoserTree:
-    """Merges sorted runs: inner nodes keep the loser of their match, so each item costs one path to the root."""
-
-    def __init__(self, runs: list[list[dict]]):
-        self.runs, self.at = runs, [0] * len(runs)
-        self.keys = [self._key(i) for i in range(len(runs))]
-        self.losers = [-1] * max(len(runs), 1)
-        for i in range(len(runs)):
+    """Merges sorted runs, of which it holds the heads: inner nodes keep the loser of their match, so each item costs one path to the root."""
+
+    def __init__(self, runs: Iterable[Iterable[dict]]):
+        self.runs = [iter(r) for r in runs]
+        self.heads = [next(r, None) for r in self.runs]
+        self.keys = [self._key(i) for i in range(len(self.runs))]
+        self.losers = [-1] * max(len(self.runs), 1)
+        for i in range(len(self.runs)):
             self._play(i)
 
     def _key(self, i: int):
-        return (0, *_order(self.runs[i][self.at[i]]), i) if self.at[i] < len(self.runs[i]) else (1,)
+        return (1,) if self.heads[i] is None else (0, *_order(self.heads[i]), i)
 
     def _play(self, i: int) -> None:
         node = (i + len(self.runs)) // 2
@@ -126,30 +159,55 @@ class LoserTree:
         self.losers[0] = i
 
     def __iter__(self) -> Iterator[dict]:
-        while self.runs and self.keys[i := self.losers[0]][0] == 0:
-            yield self.runs[i][self.at[i]]
-            self.at[i] += 1
+        while self.runs and self.heads[i := self.losers[0]] is not None:
+            yield self.heads[i]
+            self.heads[i] = next(self.runs[i], None)
             self.keys[i] = self._key(i)
             self._play(i)
 
 
+def _bounds(pages: DataFrame) -> list[tuple]:
+    """Keys that cut the captures into ranges of about RANGE_ROWS; the driver gets one row for each range."""
+    spark = pages.sparkSession
+    n = pages.count()
+    ranges = max(parts(spark), -(-n // RANGE_ROWS))
+    share = min(1.0, OVERSAMPLE * ranges / max(n, 1))
+    some = pages.select("page_id", "url").where(F.xxhash64("page_id", "url") <= F.lit(-(1 << 63) + min(int(share * (1 << 64)), (1 << 64) - 1)))
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            page, url = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            found = [(urlkey(re.sub(r"[\x00-\x20]", "%20", u or "")), stamp(p), -1 if p is None else p) for p, u in zip(page, url, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], names=["u", "t", "p"])
+
+    # OVERSAMPLE rows for each range, numbered in one task; in bytes' order, which is that of code points.
+    place = F.row_number().over(Window.orderBy("u", "t", "p"))
+    every = F.greatest(F.floor(F.count("*").over(Window.partitionBy()) / ranges), F.lit(1))
+    picked = some.mapInArrow(keys, "u string, t string, p long").withColumns({"place": place, "every": every}).where("place % every = 0")
+    return sorted((r["u"], r["t"], r["p"]) for r in picked.select("u", "t", "p").collect())
+
+
 def merged_index(spark: SparkSession, path: str, bounds: list[tuple]) -> DataFrame:
     """Captures of all archives under path in global order: the columns of _CAPTURE, part and pos."""
-    from bisect import bisect_right
-
     entry = pa.list_(pa.struct([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("urlkey", pa.string()), ("ts", pa.string())]))
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
-                run = sorted((_capture(*x) for x in parse(zlib.decompress(content.as_py(), 31))), key=_order)
-                pieces: dict[int, list[dict]] = {}
-                for x in run:
-                    pieces.setdefault(bisect_right(bounds, _order(x)), []).append(x)
+                file = content.as_py()
+                run = sorted((_capture(*x) for x in parse(file)), key=_order)
+                salt, pieces = zlib.crc32(file), collections.defaultdict(list)
+                for i, x in enumerate(run):
+                    # A key that is several bounds at once has all the ranges between them.
+                    least, most = bisect_left(bounds, _order(x)), bisect_right(bounds, _order(x))
+                    pieces[most if most - least < 2 else least + 1 + (salt + i) % (most - least)].append(x)
                 yield pa.RecordBatch.from_arrays([pa.array(pieces, pa.int32()), pa.array(list(pieces.values()), entry)], names=["part", "run"])
 
     def merge(table: pa.Table) -> pa.Table:
-        out = list(LoserTree(table.column("run").to_pylist()))
+        column = table.column("run").combine_chunks()
+        column = column if isinstance(column, pa.ListArray) else pa.concat_arrays(column.chunks)
+        rows = column.values
+        out = list(LoserTree((rows[j].as_py() for j in range(a, b)) for a, b in zip(column.offsets.to_pylist(), column.offsets.to_pylist()[1:], strict=False)))
         found = pa.Table.from_pylist(out, pa.schema(entry.value_type))
         return found.append_column("part", pa.array([table.column("part")[0].as_py()] * len(out), pa.int32())).append_column("pos", pa.array(range(len(out)), pa.int64()))
 
@@ -162,12 +220,7 @@ def run(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     path = new_path(spark, "warc")
     write(pages, path)
-    keyed = pages.select("page_id", "url")
-    n = keyed.count()
-    sample = sorted((urlkey(re.sub(r"[\x00-\x20]", "%20", r["url"] or "")), stamp(r["page_id"]), -1 if r["page_id"] is None else r["page_id"]) for r in keyed.orderBy(F.xxhash64("page_id"), "page_id").limit(SAMPLE).collect())
-    ranges = min(max(parts(spark), -(-n // RANGE_ROWS)), len(sample))
-    bounds = [sample[i * len(sample) // ranges] for i in range(1, ranges)]
-    return merged_index(spark, path, bounds)
+    return merged_index(spark, path, _bounds(pages))
 
 
 PAGES_SQL = f"""
