@@ -10,7 +10,7 @@ exact integers. Shards' best are merged per query row by a window.
 
 Blocks of queries meet shards by an equi-join on the shard, every query block and shard being read by one task of bounded size.
 Vectors that are null, hold null or non-finite components, or have no vec_id take no part. Shorter vectors count as padded
-with zeros. A query never finds rows of its own vec_id; other repeated rows are found once each. Ties go to the smaller vec_id.
+with zeros. Other columns are ignored, whatever their names. A query never finds rows of its own vec_id; other repeated rows are found once each. Ties go to the smaller vec_id.
 Every query row is answered by itself: where a vec_id is repeated among the queries, each of its rows has its own k best, ranked from 1.
 """
 
@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from .shared import written
 
 SCALE, SHARD, QUERY_BLOCK, POSSIBLE = 1024, 8192, 512, 64
+#: Pairs of a shard and a block of queries that a task may have (all of them are in memory at once, some 10 MB each).
+TASK_PAIRS = 16
 
 
 def integers(vectors: DataFrame, vector: str = "embedding") -> DataFrame:
@@ -83,10 +85,17 @@ def search(index: dict, query_ids: np.ndarray, queries: np.ndarray, k: int) -> t
 
     cuts = index["cuts"]
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        segment = np.zeros((m, dims))
         doc, dim, value = index["doc"][a:b], index["dim"][a:b], index["value"][a:b].astype(float)
-        segment[doc, dim] = value
-        scores[open_] += q[open_].astype(float) @ segment.T
+        # Only the vectors and dimensions that have a posting in the segment are touched.
+        own_docs, i = np.unique(doc, return_inverse=True)
+        own_dims, j = np.unique(dim, return_inverse=True)
+        segment = np.zeros((len(own_docs), len(own_dims)))
+        segment[i, j] = value
+        gain = q[np.ix_(open_, own_dims)].astype(float) @ segment.T
+        if len(own_docs) == m:
+            scores[open_] += gain
+        else:
+            scores[np.ix_(open_, own_docs)] += gain
         rest = np.maximum(rest - np.bincount(doc, weights=value**2, minlength=m), 0)
         left = np.sqrt(rest) + 1e-7 * norm
         if m <= POSSIBLE or b < len(index["doc"]) and left.mean() > norm.mean() / 3:
@@ -134,7 +143,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, vector: str = "embedding")
     index = written(rows.withColumn("shard", deal(shards, 1)).groupBy("shard").applyInPandas(pack, "shard int, segments binary"), "impact-index")
     asked = rows.where(is_query).withColumn("block", deal(blocks, 2)).groupBy("block").applyInPandas(pack_queries, "block int, queries binary")
     pairs = index.join(asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))), "shard").select("segments", "queries")
-    best = pairs.repartition(min(shards * blocks, 4096)).mapInPandas(find, "row long, query_id long, vec_id long, score long")
+    best = pairs.repartition(min(shards * blocks, max(4096, -(-shards * blocks // TASK_PAIRS)))).mapInPandas(find, "row long, query_id long, vec_id long, score long")
     order = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
