@@ -2,24 +2,25 @@
 
 Base spans are found by exact rules (leftmost, non-overlapping per kind; an e-mail address, an IPv4-like
 number, a card number passing Luhn, a phone number with country code) and always stay.
-Further candidates are looser forms of the same kinds: spelled-out addresses ("name at host dot org"),
-card-like digit groups that fail Luhn, phone numbers without country code, dotted quads with
-parts above 255. Three labelers vote on every candidate, each yes, no or silent:
-the strict rule (regex), lists of known endings, networks, issuers and area forms (gazetteer),
-and words next to the candidate (context). Votes of all candidates of all documents are counted per kind
+Further candidates are looser forms of the same kinds: spelled-out addresses ("name at host dot org", "name [at] host.org"), IPv6
+addresses, dotted quads with parts above 255, card-like digit groups that fail Luhn or stand between other marks, phone numbers
+without country code or with 00 for it. Three labelers vote on every candidate, each yes, no or silent:
+the strict rule (regex: yes where it holds, no where its form is there but a part fails, silent on other forms),
+lists of known endings, networks, issuers and area forms (gazetteer), and the words before the candidate (context). Votes of all candidates of all documents are counted per kind
 and pattern in Spark; expectation-maximisation over these few counts estimates how reliable each labeler is and
 how likely each pattern is personal data. A logistic classifier over the span's features is trained on
 those likelihoods, again on counts per feature pattern. A further candidate becomes a span if the classifier
 gives it more than CUT and it overlaps no base span of its kind.
 
-Null texts are empty and have no spans. Positions are code points of the whole text. Rows are judged
-one by one: repeats agree. Without candidates nothing is trained and nothing added.
+Null texts are empty and have no spans. Positions are code points of the whole text; long texts take time linear in their length
+and spans. Rows are judged one by one: repeats agree; null doc_ids too. report() ignores other columns, redact() keeps them. Without candidates nothing is trained and nothing added.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,14 +40,26 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _SPELLED = re.compile(r"(?<![\w.+-])[A-Za-z0-9._+-]{1,64} ?[\[(]? ?(?:at|AT) ?[\])]? ?[A-Za-z0-9-]{1,63} ?[\[(]? ?(?:dot|DOT) ?[\])]? ?[A-Za-z]{2,12}(?!\w)")
+_MARKED_AT = re.compile(r"(?<![\w.+-])[A-Za-z0-9._+-]{1,64} ?[\[({] ?(?:at|AT|@) ?[\])}] ?[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,4}(?![\w])")
+_IP6 = re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])")
+_MARKED_CARD = re.compile(r"(?<![\w./_])[0-9]{4}([./_])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![\w./_])")
+_ABROAD = re.compile(r"(?<![\w+.-])00[1-9](?:[\x20().-]?[0-9]){7,13}(?![\w-])")
 _LOCAL_PHONE = re.compile(r"(?<![\w+.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![\w-])")
 
 #: Endings of hosts, first digits of card issuers.
 _ENDINGS = frozenset("com org net edu gov mil int info biz io eu de fr es uk ch at it nl us ca au jp".split())
 _ISSUERS = ("34", "35", "36", "37", "38", "4", "51", "52", "53", "54", "55", "60", "62", "65")
 #: Words whose presence before a candidate speaks for its kind, and words that speak against any.
-_FOR = {"email": ("mail", "email", "e-mail", "contact", "write"), "ip": ("ip", "address", "host", "server", "addr"), "card": ("card", "visa", "credit", "debit", "payment"), "phone": ("phone", "call", "tel", "telephone", "mobile", "fax")}
-_AGAINST = frozenset(("version", "isbn", "issn", "order", "invoice", "serial", "id", "no", "figure", "section", "chapter", "v"))
+_FOR = {
+    "email": frozenset("mail email e-mail mailto contact write address reach inbox correo courriel adresse".split()),
+    "ip": frozenset("ip ips address host hosts server addr client node gateway dns subnet login from peer".split()),
+    "card": frozenset("card cards visa mastercard amex credit debit payment pay account tarjeta carte karte".split()),
+    "phone": frozenset("phone call calls tel telephone mobile fax cell dial number hotline whatsapp sms telefon teléfono téléphone".split()),
+}
+_AGAINST = frozenset("version versions release build isbn issn doi order invoice serial id no figure section chapter v page ref item part model sku".split())
+#: Characters before a candidate that are looked at, and words of them.
+_REACH, _WORDS = 80, 8
+_WORD = re.compile(r"[^\W\d_](?:[\w-]*[^\W\d_])?")
 
 
 def _luhn(digits: str) -> bool:
@@ -70,37 +83,58 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", max(at + 1, end))
 
 
-def _strict(text: str) -> list[tuple[int, int, int, bool]]:
-    """(kind, start, end, passes its rule) of every match of the four patterns."""
-    out = [(0, a, b, True) for a, b in _emails(text)]
-    out += [(1, m.start(), m.end(), all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split("."))) for m in _IP.finditer(text)]
+def _strict(text: str) -> list[tuple[int, int, int, int]]:
+    """(kind, start, end, vote of the rule) of every match of the four patterns."""
+    verdict = lambda good: YES if good else NO
+    out = [(0, a, b, YES) for a, b in _emails(text)]
+    out += [(1, m.start(), m.end(), verdict(all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split(".")))) for m in _IP.finditer(text)]
     for m in _CARD.finditer(text):
         d = _digits(m[0])
         if 13 <= len(d) <= 19:
-            out.append((2, m.start(), m.end(), _luhn(d)))
-    out += [(3, m.start(), m.end(), True) for m in _PHONE.finditer(text) if 9 <= len(_digits(m[0])) <= 15]
+            out.append((2, m.start(), m.end(), verdict(_luhn(d))))
+    out += [(3, m.start(), m.end(), YES) for m in _PHONE.finditer(text) if 9 <= len(_digits(m[0])) <= 15]
     return out
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
-    return sorted((k, a, b) for k, a, b, good in _strict(text) if good)
+    return sorted((k, a, b) for k, a, b, vote in _strict(text) if vote == YES)
+
+
+def _loose(text: str) -> list[tuple[int, int, int, int]]:
+    """(kind, start, end, SILENT) of other forms; the cheap tests in front spare most texts the patterns."""
+    out = []
+    if "dot" in text or "DOT" in text:
+        out += [(0, m.start(), m.end(), SILENT) for m in _SPELLED.finditer(text)]
+    if any(x in text for x in ("at]", "at)", "at}", "at ]", "at )", "AT]", "AT)", "@]", "@)")):
+        out += [(0, m.start(), m.end(), SILENT) for m in _MARKED_AT.finditer(text)]
+    if text.count(":") >= 7:
+        out += [(1, m.start(), m.end(), SILENT) for m in _IP6.finditer(text)]
+    out += [(2, m.start(), m.end(), SILENT if _luhn(_digits(m[0])) else NO) for m in _MARKED_CARD.finditer(text)]
+    if "00" in text:
+        out += [(3, m.start(), m.end(), SILENT) for m in _ABROAD.finditer(text)]
+    return out + [(3, m.start(), m.end(), SILENT) for m in _LOCAL_PHONE.finditer(text)]
 
 
 def candidates(text: str) -> list[tuple[int, int, int, int, int]]:
     """(kind, start, end, votes, features): base spans have bit 0 of features set."""
     found = _strict(text)
-    if "dot" in text or "DOT" in text:
-        found += [(0, m.start(), m.end(), False) for m in _SPELLED.finditer(text)]
-    found += [(3, m.start(), m.end(), False) for m in _LOCAL_PHONE.finditer(text)]
-    base = [(k, a, b) for k, a, b, good in found if good]
-    found = [x for x in found if x[3] or not any(k == x[0] and a < x[2] and x[1] < b for k, a, b in base)]
-    return [(k, a, b, *_votes(text, k, a, b, good)) for k, a, b, good in sorted(set(found))]
+    base = sorted((k, a, b) for k, a, b, vote in found if vote == YES)  # of one kind they don't overlap
+    starts = [x[:2] for x in base]
+
+    def free(k: int, a: int, b: int) -> bool:
+        last = bisect_left(starts, (k, b)) - 1
+        return last < 0 or base[last][0] != k or base[last][2] <= a
+
+    found = [x for x in found + _loose(text) if x[3] == YES or free(*x[:3])]
+    return [(k, a, b, *_votes(text, k, a, b, vote)) for k, a, b, vote in sorted(set(found))]
 
 
 def _gazetteer(kind: int, span: str) -> int:
     d = _digits(span)
     if kind == 0:
         return YES if re.split(r"[.\s\])]", span)[-1].lower() in _ENDINGS else SILENT
+    if kind == 1 and ":" in span:
+        return YES if span[:4].lower() in ("fe80", "2001", "2a00", "2600", "2a02") or span[:2].lower() in ("fc", "fd") else SILENT
     if kind == 1:
         return NO if d.startswith("0") or any(len(p) > 3 for p in span.split(".")) else YES
     if kind == 2:
@@ -108,16 +142,16 @@ def _gazetteer(kind: int, span: str) -> int:
     return NO if len(set(d)) < 3 else YES if 10 <= len(d) <= 13 else SILENT
 
 
-def _votes(text: str, kind: int, a: int, b: int, good: bool) -> tuple[int, int]:
-    before = re.findall(r"[a-z-]+", text[max(0, a - 40) : a].lower())[-4:]
-    context = NO if _AGAINST & set(before[-2:]) else YES if set(_FOR[KINDS[kind]]) & set(before) else SILENT
+def _votes(text: str, kind: int, a: int, b: int, rule: int) -> tuple[int, int]:
+    before = _WORD.findall(text[max(0, a - _REACH) : a].lower())[-_WORDS:]
+    context = NO if _AGAINST & set(before[-2:]) else YES if _FOR[KINDS[kind]] & set(before) else SILENT
     gazetteer = _gazetteer(kind, text[a:b])
     apart = (a == 0 or not text[a - 1].isalnum()) and (b == len(text) or not text[b].isalnum())
-    votes = (YES if good else NO) + 3 * gazetteer + 9 * context
-    return votes, good + 2 * (gazetteer == YES) + 4 * (gazetteer == NO) + 8 * (context == YES) + 16 * (context == NO) + 32 * apart
+    votes = rule + 3 * gazetteer + 9 * context
+    return votes, (rule == YES) + 64 * (rule == NO) + 2 * (gazetteer == YES) + 4 * (gazetteer == NO) + 8 * (context == YES) + 16 * (context == NO) + 32 * apart
 
 
-_FEATURES = 6
+_FEATURES = 7
 
 
 class Model:
@@ -162,7 +196,7 @@ def fit(counts: list[tuple[int, int, int, int]]) -> Model:
             patterns[v] = patterns.get(v, 0) + n
         reliability[kind], likely = expectation_maximisation(patterns)
         # Nothing known, or only a vote against, is no reason to call it personal data: PRIOR such candidates each.
-        doubtful = (0, 4, 16, 32, 36, 48)
+        doubtful = (0, 4, 16, 32, 36, 48, 64, 68, 80, 96, 100, 112)
         x = np.array([_vector(f) for _, f, _ in own] + [_vector(f) for f in doubtful])
         y = np.array([likely[v] for v, _, _ in own] + [0.0] * len(doubtful))
         n = np.array([c for *_, c in own] + [PRIOR] * len(doubtful), float)
