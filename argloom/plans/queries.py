@@ -7,8 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from argloom.operators import argdown, checks, extraction, preference
-from argloom.sources.synthetic import annotated_answers, argument_maps, reconstructions, solutions, table, written_reconstructions
+from argloom.functions.texts import edit_distance, shorten, word_count
+from argloom.operators import checks, coherence, extraction, preference, scores
+from argloom.plans import judging
+from argloom.plans.artifact_sql import artifact_sql
+from argloom.sources import artifacts
+from argloom.sources.synthetic import annotated_answers, solutions, table
 from argloom.streaming.validity import validity_rate
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,29 +26,112 @@ def extract_blocks(s: SparkSession, d: str) -> DataFrame:
     return _blocks(s, d).select("request_id", "block_pos", "dtype", "header")
 
 
-def _annotation_results(s: SparkSession, d: str) -> DataFrame:
-    return checks.verdicts(extraction.elements(_blocks(s, d)), "request_id", checks.ANNOTATION)
+#: Checks by the names of their queries.
+ANNOTATION = {
+    "source_integrity": "SourceTextIntegrityHandler", "nested_propositions": "NestedPropositionHandler", "id_presence": "PropositionIdPresenceHandler", "id_uniqueness": "PropositionIdUniquenessHandler",
+    "support_references": "SupportReferenceValidityHandler", "attack_references": "AttackReferenceValidityHandler", "attributes": "AttributeValidityHandler", "element_names": "ElementValidityHandler",
+}
+MAP = {"complete_claims": "CompleteClaimsHandler", "no_duplicate_labels": "NoDuplicateLabelsHandler", "no_pcs": "NoPCSHandler"}
+RECONSTRUCTION = {
+    "has_arguments": "HasArgumentsHandler", "has_unique_argument": "HasUniqueArgumentHandler", "has_pcs": "HasPCSHandler", "starts_with_premise": "StartsWithPremiseHandler", "ends_with_conclusion": "EndsWithConclusionHandler",
+    "not_multiple_gists": "NotMultipleGistsHandler", "unique_labels": "NoDuplicatePCSLabelsHandler", "has_label": "HasLabelHandler", "has_gist": "HasGistHandler", "inference_data": "HasInferenceDataHandler", "references_exist": "PropRefsExistHandler",
+    "uses_all": "UsesAllPropsHandler", "no_extra_propositions": "NoExtraPropositionsHandler", "only_grounded_relations": "OnlyGroundedDialecticalRelationsHandler", "no_prop_inline_data": "NoPropInlineDataHandler", "no_arg_inline_data": "NoArgInlineDataHandler",
+}
+LOGIC = {"well_formed": "WellFormedFormulasHandler", "globally_valid": "GlobalDeductiveValidityHandler", "locally_valid": "LocalDeductiveValidityHandler", "premises_relevant": "AllPremisesRelevantHandler", "premises_consistent": "PremisesConsistentHandler", "relations_grounded": "FormallyGroundedRelationsHandler"}
+
+
+def _annotations(s: SparkSession, d: str) -> DataFrame:
+    return artifacts.annotations(table(s, d, "lineitem"))
+
+
+def _maps(s: SparkSession, d: str) -> DataFrame:
+    return artifacts.maps(table(s, d, "customer"), table(s, d, "orders"))
+
+
+def _reconstructions(s: SparkSession, d: str) -> DataFrame:
+    return artifacts.reconstructions_of(table(s, d, "lineitem"))
+
+
+def _logical(s: SparkSession, d: str) -> DataFrame:
+    return artifacts.logical(table(s, d, "lineitem"))
+
+
+def _compounds(s: SparkSession, d: str, *kinds: str) -> DataFrame:
+    return artifacts.compounds(table(s, d, "customer"), table(s, d, "orders"), kinds)
+
+
+def _check(requests: DataFrame, check: checks.Check, check_id: str, dtype: str = "argdown", source: str | None = None, logic: bool = False, message: bool = False) -> DataFrame:
+    """request_id, check_id, is_valid of the last block of the type, where the check has something to say."""
+    read = extraction.read(requests, source=source, logic=logic).withColumn("b", extraction.last(dtype)).where("b is not null")
+    out = read.select("request_id", check(F.col("b")).alias("m")).where("m is not null")
+    own = [F.array_join("m", ", ").alias("message")] if message else []
+    return out.select("request_id", F.lit(check_id).alias("check_id"), (F.size("m") == 0).alias("is_valid"), *own)
+
+
+def _judged(requests: DataFrame, name: str, source: str | None = None) -> DataFrame:
+    failed = F.size(F.filter("metrics", lambda m: ~m["is_valid"])).cast("long").alias("n_failed")
+    return judging.judge(requests, name, "inputs", source, "request_id").select("request_id", "is_valid", failed)
 
 
 def anno_accuracy(s: SparkSession, d: str) -> DataFrame:
-    requests = table(s, d, "documents").select(F.col("doc_id").alias("request_id"))
-    return checks.summary(_annotation_results(s, d), requests, "request_id")
+    return _judged(_annotations(s, d), "annotation", "source")
 
 
-def _has(answers: DataFrame, dtype: str, check_id: str) -> DataFrame:
-    return checks.has_block(answers, extraction.blocks(answers), "request_id", dtype, check_id)
+def _has(s: SparkSession, d: str, verifier: str) -> DataFrame:
+    out = judging.verify(_annotations(s, d), verifier)
+    return out.select("request_id", F.lit(verifier).alias("check_id"), "is_valid", F.coalesce(F.get("results", F.lit(0))["message"], F.lit("")).alias("message"))
 
 
 def anno_has_annotations(s: SparkSession, d: str) -> DataFrame:
-    return _has(annotated_answers(table(s, d, "documents")), "xml", "has_annotations")
+    return _has(s, d, "has_annotations")
 
 
 def anno_has_argdown(s: SparkSession, d: str) -> DataFrame:
-    return _has(annotated_answers(table(s, d, "documents")), "argdown", "has_argdown")
+    return _has(s, d, "has_argdown")
+
+
+def _parses(requests: DataFrame) -> DataFrame:
+    read = extraction.read(requests).select("request_id", F.inline("blocks"))
+    return read.select("request_id", F.lit("parses").alias("check_id"), F.col("error").isNull().alias("is_valid"))
 
 
-def _reco_results(s: SparkSession, d: str) -> DataFrame:
-    return checks.verdicts(reconstructions(table(s, d, "lineitem")), "argument_id", checks.RECONSTRUCTION)
+def block_roles(s: SparkSession, d: str) -> DataFrame:
+    """Blocks of each request by type, name, and role."""
+    read = extraction.read(_compounds(s, d, "arganno", "argmap", "infreco"))
+    has = lambda dtype, *rules: F.size(F.filter("blocks", lambda b: extraction.in_role(b, dtype, list(rules)))).cast("long")
+    named = F.size(F.filter("blocks", lambda b: extraction.metadata_in(b, "filename", ["map.ad", "annotation.txt"]))).cast("long")
+    return read.select("request_id", F.size("blocks").cast("long").alias("n_blocks"), has("xml").alias("n_xml"), has("argdown", ("filename", "map", True)).alias("n_maps"), has("argdown", ("filename", "map", False)).alias("n_exact"), named.alias("n_named"), F.array_join(F.transform("blocks", lambda b: b["metadata"]["filename"]), ",").alias("files"))
+
+
+def _pair(s: SparkSession, d: str, kinds: tuple[str, str], check) -> DataFrame:
+    """request_id, n_messages of a check of two blocks."""
+    block = {"arganno": extraction.last("xml"), "argmap": extraction.last("argdown", [("filename", "map", True)]), "infreco": extraction.last("argdown", [("filename", "reconstructions", True)])}
+    read = extraction.read(_compounds(s, d, *kinds)).select("request_id", block[kinds[0]].alias("a"), block[kinds[1]].alias("b"))
+    return read.select("request_id", F.size(check(F.col("a"), F.col("b"))).cast("long").alias("n_messages"))
+
+
+COHERENCE = {
+    "arganno_argmap_elements": (("arganno", "argmap"), coherence.annotation_map_elements), "arganno_argmap_relations": (("arganno", "argmap"), coherence.annotation_map_relations),
+    "arganno_infreco_elements": (("arganno", "infreco"), coherence.annotation_reconstruction_elements), "arganno_infreco_relations": (("arganno", "infreco"), coherence.annotation_reconstruction_relations),
+    "argmap_infreco_elements": (("argmap", "infreco"), coherence.same_labels), "argmap_infreco_relations": (("argmap", "infreco"), coherence.map_reconstruction_relations),
+    "argmap_logreco_relations": (("argmap", "infreco"), coherence.map_logic_relations),
+}
+
+
+def logic_formulas(s: SparkSession, d: str) -> DataFrame:
+    """Each formula of the arguments in its syntaxes and in English."""
+    read = extraction.read(_logical(s, d), logic=True).select("request_id", F.inline(F.flatten(F.transform("blocks", lambda b: b["logic"]["formulas"]))))
+    return read.select("request_id", "proposition", "formula", "latex", "smt", "english", F.array_join("symbols", ",").alias("symbols"))
+
+
+def edit_distances(s: SparkSession, d: str) -> DataFrame:
+    c = table(s, d, "customer")
+    return c.select("c_custkey", edit_distance(F.col("c_mktsegment"), F.lit("AUTOMOBLIE"), restricted=False).alias("distance"))
+
+
+def text_functions(s: SparkSession, d: str) -> DataFrame:
+    t = table(s, d, "documents")
+    return t.select("doc_id", F.length(shorten(F.col("text"), 64)).cast("long").alias("short"), word_count(F.col("text")).cast("long").alias("words"))
 
 
 def evaluator_metrics(s: SparkSession, d: str) -> DataFrame:
@@ -84,25 +171,40 @@ def chat_assembly(s: SparkSession, d: str) -> DataFrame:
     return preference.chats(table(s, d, "conversations")).select("conv_id", F.size("messages").cast("long").alias("n_messages"), F.md5(said).alias("chat"))
 
 
-def _maps(s: SparkSession, d: str) -> DataFrame:
-    return argdown.parsed(extraction.blocks(argument_maps(table(s, d, "customer"), table(s, d, "orders"))))
+def map_scores(s: SparkSession, d: str) -> DataFrame:
+    read = extraction.read(_maps(s, d)).select("request_id", extraction.last("argdown").alias("b")).where("b is not null")
+    own = {n: f for n, f in scores.MAP_VIRTUES.items() if n.removeprefix("map_") in ("connectedness", "max_args", "balance", "max_supports", "max_attacks", "max_diameter", "min_diameter", "density", "max_in_degree", "max_out_degree", "min_leafs")}
+    return read.select("request_id", *[F.round(f(F.col("b")), 6).alias(n.removeprefix("map_")) for n, f in own.items()])
+
 
+def anno_scores(s: SparkSession, d: str) -> DataFrame:
+    read = extraction.read(_annotations(s, d)).select("request_id", extraction.last("xml").alias("b")).where("b is not null")
+    return read.select("request_id", *[F.round(f(F.col("b")), 6).alias(n.removeprefix("annotation_")) for n, f in scores.ANNOTATION_VIRTUES.items()])
 
-def _arguments(s: SparkSession, d: str) -> DataFrame:
-    return argdown.parsed(extraction.blocks(written_reconstructions(table(s, d, "lineitem"))))
 
+def reco_scores(s: SparkSession, d: str) -> DataFrame:
+    """Virtues and scores of the first argument."""
+    read = extraction.read(_reconstructions(s, d)).select("request_id", extraction.last("argdown").alias("b")).where("size(b.graph.arguments) > 0")
+    found = {n.removeprefix("reco_"): f for n, f in scores.RECO_VIRTUES.items() if "verbosity" not in n and "simplicity" not in n} | {"subarguments": scores.subarguments_scorer, "premises": scores.premises_scorer}
+    return read.select("request_id", *[F.round(f(F.col("b")), 6).alias(n) for n, f in found.items()])
 
-def _checked(found: DataFrame, name: str, checks: dict) -> DataFrame:
-    """The verdicts of one check; the others aren't computed."""
-    return argdown.verdicts(found, "request_id", {k: v for k, v in checks.items() if k == name}).where(F.col("check_id") == name)
 
+def logic_scores(s: SparkSession, d: str) -> DataFrame:
+    read = extraction.read(_logical(s, d), logic=True).select("request_id", extraction.last("argdown").alias("b"))
+    return read.select("request_id", F.round(scores.logic_predicate_logic(F.col("b")), 6).alias("predicate_logic"), scores.triviality_scorer(F.col("b")).alias("triviality"))
 
-def map_scores(s: SparkSession, d: str) -> DataFrame:
-    return argdown.map_scores(_maps(s, d), "request_id")
 
+def pair_scores(s: SparkSession, d: str) -> DataFrame:
+    """How much of a map is annotated, and how much of an annotation is in the map."""
+    read = extraction.read(_compounds(s, d, "arganno", "argmap")).select("request_id", extraction.last("xml").alias("a"), extraction.last("argdown").alias("b"))
+    return read.select("request_id", scores.map_graph_proximity(F.col("a"), F.col("b")).alias("map_graph_proximity"), scores.annotation_graph_proximity(F.col("a"), F.col("b")).alias("annotation_graph_proximity"))
 
-def anno_scores(s: SparkSession, d: str) -> DataFrame:
-    return checks.annotation_scores(extraction.elements(_blocks(s, d)), "request_id")
+
+def verified(s: SparkSession, d: str) -> DataFrame:
+    """Results and scores of requests by the map verifier."""
+    out = judging.Request("argmap").filter("argmap", "filename", r"map\.ad", True).option("enable_argmap_faithfulness_scorer", False).source("source").run(_maps(s, d))
+    score = lambda n: F.round(F.get(F.filter("scores", lambda x: x["name"] == n), F.lit(0))["score"], 6)
+    return out.select("request_id", "is_valid", F.size("results").cast("long").alias("n_results"), score("argmap_size_scorer").alias("size"), score("argmap_density_scorer").alias("density"))
 
 
 def stream_validity_rate(s: SparkSession, d: str) -> DataFrame:
@@ -110,53 +212,43 @@ def stream_validity_rate(s: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    out: dict[str, Query] = {f.__name__: f for f in (extract_blocks, anno_accuracy, anno_has_annotations, anno_has_argdown, map_metrics, dialectics_indirect, dedup_answers, chat_assembly, map_scores, anno_scores, stream_validity_rate)}
-    for name in checks.ANNOTATION:
-        out[f"anno_{name}"] = lambda s, d, n=name: _annotation_results(s, d).where(F.col("check_id") == n)
-    for name in checks.RECONSTRUCTION:
-        out[f"reco_{name}"] = lambda s, d, n=name: _reco_results(s, d).where(F.col("check_id") == n)
-    for name in argdown.MAP:
-        out[f"map_{name}"] = lambda s, d, n=name: _checked(_maps(s, d), n, argdown.MAP)
-    for name in ("parses", *argdown.RECONSTRUCTION):
-        out[f"reco_{name}"] = lambda s, d, n=name: _checked(_arguments(s, d), n, argdown.RECONSTRUCTION)
+    plain = (extract_blocks, block_roles, anno_accuracy, anno_has_annotations, anno_has_argdown, map_metrics, dialectics_indirect, dedup_answers, chat_assembly, map_scores, anno_scores, reco_scores, logic_scores, pair_scores, verified, logic_formulas, edit_distances, text_functions, stream_validity_rate)
+    out: dict[str, Query] = {f.__name__: f for f in plain}
+    for name, check in ANNOTATION.items():
+        out[f"anno_{name}"] = lambda s, d, n=name, c=check: _check(_annotations(s, d), checks.ANNOTATION[c], n, "xml", "source")
+    out["anno_argument_labels"] = lambda s, d: _check(_annotations(s, d), checks.argument_labels(["L0", "L1"]), "argument_labels", "xml")
+    out["anno_reference_labels"] = lambda s, d: _check(_annotations(s, d), checks.reference_labels(["R0", "R1"]), "reference_labels", "xml")
+    for name, check in MAP.items():
+        out[f"map_{name}"] = lambda s, d, n=name, c=check: _check(_maps(s, d), checks.MAP[c], n, message=True)
+    for name, check in RECONSTRUCTION.items():
+        out[f"reco_{name}"] = lambda s, d, n=name, c=check: _check(_reconstructions(s, d), checks.RECONSTRUCTION[c], n)
+    out["reco_at_least_two"] = lambda s, d: _check(_reconstructions(s, d), checks.at_least(2), "at_least_two")
+    out["reco_parses"] = lambda s, d: _parses(_reconstructions(s, d))
+    for name, check in LOGIC.items():
+        out[f"logic_{name}"] = lambda s, d, n=name, c=check: _check(_logical(s, d), checks.LOGIC[c], n, logic=True)
+    for name, (kinds, check) in COHERENCE.items():
+        out[f"coherence_{name}"] = lambda s, d, k=kinds, c=check: _pair(s, d, k, c)
+    out["judge_argmap"] = lambda s, d: _judged(_maps(s, d), "argmap")
+    out["judge_infreco"] = lambda s, d: _judged(_reconstructions(s, d), "infreco")
+    out["judge_logreco"] = lambda s, d: _judged(_logical(s, d), "logreco")
     out["evaluator_metrics"] = evaluator_metrics
     out["pairs_validity"] = lambda s, d: preference.validity_pairs(_solutions(s, d))
     out["pairs_ask_invalid"] = lambda s, d: preference.asked_invalid_pairs(_solutions(s, d))
     out["pairs_virtue"] = lambda s, d: preference.virtue_pairs(_solutions(s, d), "n_chars")
     out["pairs_failure_type"] = lambda s, d: preference.failure_pairs(_solutions(s, d))
+    out["pairs_failure_diff"] = lambda s, d: preference.failure_diff_pairs(_solutions(s, d)).withColumns({c: F.array_join(c, ",") for c in ("avoided", "common")})
+    out["pairs_routes"] = lambda s, d: preference.routes(_solutions(s, d))
     return out
 
 
-#: Which defect (doc_id % 9) each annotation check finds.
-_ANNOTATION_DEFECT = {"nested_propositions": 1, "id_presence": 2, "id_uniqueness": 3, "support_references": 4, "attack_references": 5, "attributes": 6, "element_names": 7}
-#: When each reconstruction check finds something: d is the defect, n the number of lines.
-_RECO_FINDS = {"has_pcs": "false", "starts_with_premise": "d = 6", "ends_with_conclusion": "d = 6", "unique_labels": "d = 5", "inference_data": "d IN (3, 4) OR d = 2 AND n = 1", "references_exist": "d IN (1, 6)", "uses_all": "d IN (2, 3, 4, 6)"}
-#: When each check of a whole block finds something, by key % 5 and key % 11; blocks that don't parse (10) have no other verdict.
-_MAP_FINDS = {"complete_claims": 1, "no_duplicate_labels": 2, "no_pcs": 3}
-_BLOCK_FINDS = {"parses": "d = 10", "has_arguments": "d = 1", "has_unique_argument": "d IN (1, 2)", "not_multiple_gists": "d = 3", "has_label": "d = 4", "has_gist": "d IN (4, 5)", "no_extra_propositions": "d IN (6, 7)", "only_grounded_relations": "d = 7", "no_prop_inline_data": "d = 8", "no_arg_inline_data": "d = 9"}
 _SOLUTIONS = "WITH s AS (SELECT source AS problem_id, doc_id AS sol_pos, n_chars, quality = 1 AS is_valid, quality = 0 AS e1, toxic = 1 AS e2 FROM documents JOIN labels USING (doc_id))"
 _DRAW = "CAST('0x' || substr(md5({}), 1, 12) AS BIGINT) / 281474976710656.0::DOUBLE"
 
 
 def oracle_sql() -> dict[str, str]:
-    out = {f"anno_{n}": f"SELECT doc_id AS request_id, '{n}' AS check_id, doc_id % 9 != {k} AS is_valid FROM documents WHERE doc_id % 9 != 8" for n, k in _ANNOTATION_DEFECT.items()}
-    out |= {f"reco_{n}": f"SELECT argument_id, '{n}' AS check_id, NOT ({sql}) AS is_valid FROM (SELECT l_orderkey AS argument_id, l_orderkey % 7 AS d, count(DISTINCT l_linenumber) AS n FROM lineitem GROUP BY l_orderkey)" for n, sql in _RECO_FINDS.items()}
-    out |= {f"map_{n}": f"SELECT c_custkey AS request_id, '{n}' AS check_id, c_custkey % 5 != {k} AS is_valid FROM customer" for n, k in _MAP_FINDS.items()}
-    out |= {f"reco_{n}": f"SELECT k AS request_id, '{n}' AS check_id, NOT ({sql}) AS is_valid FROM (SELECT DISTINCT l_orderkey AS k, l_orderkey % 11 AS d FROM lineitem)" + " WHERE d != 10" * (n != "parses") for n, sql in _BLOCK_FINDS.items()}
-    out["map_scores"] = """
-WITH e AS (SELECT c_custkey AS k, c_custkey % 5 AS d, count(*) FILTER (o_orderstatus = 'F') AS s, count(*) FILTER (o_orderstatus = 'O') AS a FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey),
-m AS (SELECT *, 1 + s + a + CASE d WHEN 1 THEN 1 WHEN 3 THEN 3 ELSE 0 END AS n FROM e)
-SELECT k AS request_id, s + a + (d = 3)::BIGINT AS max_args, s AS supports, a AS attacks, round(CASE WHEN s + a > 0 THEN 1 - abs(s - a)::DOUBLE / (s + a) ELSE 0 END, 6) AS balance,
-  round(CASE WHEN n > 1 THEN 2.0::DOUBLE * (s + a) / (n * (n - 1)) ELSE 1 END, 6) AS density, round(CASE WHEN s + a > 0 THEN 1.0::DOUBLE / n ELSE 0 END, 6) AS min_leafs FROM m"""
-    out["anno_scores"] = """
-WITH t AS (SELECT doc_id, doc_id % 9 AS d, replace(text, '```', '') AS x FROM documents WHERE doc_id % 9 != 8)
-SELECT doc_id AS request_id, 2 + (d IN (1, 3))::BIGINT AS n_propositions, CASE WHEN d = 4 THEN 2 ELSE 1 END::BIGINT AS n_supports, (d = 5)::BIGINT AS n_attacks,
-  round(1 / (1 + (d = 5)::DOUBLE), 6) AS no_attacks, length(x) - contains(x, ' ')::BIGINT + CASE d WHEN 1 THEN 10 WHEN 3 THEN 1 ELSE 0 END AS coverage FROM t"""
+    out = artifact_sql()
     out["stream_validity_rate"] = "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, count(*) FILTER (value >= 50) AS n_valid FROM events GROUP BY ALL"
     out["extract_blocks"] = """SELECT doc_id AS request_id, 0 AS block_pos, 'xml' AS dtype, '{filename="annotation.txt"}' AS header FROM documents WHERE doc_id % 9 != 8"""
-    out["anno_accuracy"] = "SELECT doc_id AS request_id, doc_id % 9 IN (0, 8) AS is_valid, CAST(doc_id % 9 NOT IN (0, 8) AS BIGINT) AS n_failed FROM documents"
-    out["anno_has_annotations"] = "SELECT doc_id AS request_id, 'has_annotations' AS check_id, doc_id % 9 != 8 AS is_valid FROM documents"
-    out["anno_has_argdown"] = "SELECT doc_id AS request_id, 'has_argdown' AS check_id, false AS is_valid FROM documents"
     out["map_metrics"] = """
 SELECT c_custkey AS claim, count(o_orderkey) AS in_degree, count(*) FILTER (o_orderstatus = 'F') AS supports, count(*) FILTER (o_orderstatus = 'O') AS attacks,
   round(CASE WHEN count(*) FILTER (o_orderstatus IN ('F', 'O')) > 0 THEN abs(count(*) FILTER (o_orderstatus = 'F') - count(*) FILTER (o_orderstatus = 'O'))::DOUBLE / count(*) FILTER (o_orderstatus IN ('F', 'O')) ELSE 0 END, 6) AS imbalance
@@ -176,4 +268,11 @@ SELECT problem_id, chosen, sol_pos AS rejected FROM b WHERE n_chars < top QUALIF
     out["pairs_failure_type"] = f"""{_SOLUTIONS}, e AS (SELECT problem_id, count(*) AS n, [(count(*) FILTER (e1), '01_quality', 1), (count(*) FILTER (e2), '02_toxic', 2)] AS c FROM s GROUP BY problem_id),
 x AS (SELECT problem_id, unnest(c) AS u, n FROM e), y AS (SELECT problem_id, u[2] AS error FROM x WHERE u[1] BETWEEN 1 AND n - 1 QUALIFY row_number() OVER (PARTITION BY problem_id ORDER BY u[1] DESC, u[2]) = 1)
 SELECT problem_id, error, min(sol_pos) FILTER (NOT CASE error WHEN '01_quality' THEN e1 ELSE e2 END) AS chosen, min(sol_pos) FILTER (CASE error WHEN '01_quality' THEN e1 ELSE e2 END) AS rejected FROM s JOIN y USING (problem_id) GROUP BY problem_id, error"""
+    out["pairs_failure_diff"] = f"""{_SOLUTIONS}, m AS (SELECT *, list_filter([CASE WHEN e1 THEN '01_quality' END, CASE WHEN e2 THEN '02_toxic' END], lambda x: x IS NOT NULL) AS made FROM s),
+e AS (SELECT problem_id, error, count(*) AS c FROM (SELECT problem_id, unnest(made) AS error FROM m) GROUP BY ALL), n AS (SELECT problem_id, count(*) AS n FROM m GROUP BY problem_id),
+y AS (SELECT problem_id, error FROM e JOIN n USING (problem_id) WHERE c < n QUALIFY row_number() OVER (PARTITION BY problem_id ORDER BY c DESC, error) = 1),
+x AS (SELECT problem_id, error, sol_pos, made, list_contains(made, error) AS bad, row_number() OVER (PARTITION BY problem_id, list_contains(made, error) ORDER BY {_DRAW.format("problem_id || '|' || sol_pos")}, sol_pos) AS r FROM m JOIN y USING (problem_id)),
+z AS (SELECT g.problem_id, g.error, g.sol_pos AS chosen, b.sol_pos AS rejected, g.made AS gm, b.made AS bm FROM x g JOIN x b ON g.problem_id = b.problem_id AND NOT g.bad AND b.bad AND g.r = 1 AND b.r = 1)
+SELECT problem_id, error, chosen, rejected, array_to_string(list_sort(list_filter(bm, lambda x: NOT list_contains(gm, x))), ',') AS avoided, array_to_string(list_sort(list_filter(bm, lambda x: list_contains(gm, x))), ',') AS common FROM z"""
+    out["pairs_routes"] = f"{_SOLUTIONS}, a AS (SELECT problem_id, avg(is_valid::INT::DOUBLE) AS accuracy FROM s GROUP BY problem_id) SELECT problem_id, accuracy, CASE WHEN accuracy = 0 THEN 'self_critique' WHEN {_DRAW.format("problem_id || '|route'")} < pow(accuracy, 4) THEN 'virtue' ELSE 'validity' END AS route FROM a"
     return out

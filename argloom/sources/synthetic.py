@@ -24,48 +24,8 @@ def annotated_answers(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").alias("request_id"), F.concat(F.lit('Here it is.\n```xml {filename="annotation.txt"}\n'), one, F.lit(" "), two, end, F.lit("\n")).alias("answer"))
 
 
-def reconstructions(lineitem: DataFrame) -> DataFrame:
-    """argument_id, pcs: one argument per order, its line numbers as premises, a conclusion inferred from them; defect = l_orderkey % 7."""
-    d = F.pmod("argument_id", F.lit(7))
-    lines = lineitem.groupBy(F.col("l_orderkey").alias("argument_id")).agg(F.array_sort(F.collect_set(F.col("l_linenumber").cast("string"))).alias("labels"))
-    refs = F.when(d == 1, F.concat("labels", F.array(F.lit("99")))).when(d == 2, F.slice("labels", 2, F.size("labels"))).when(d == 3, F.array().cast("array<string>")).when(d != 4, F.col("labels"))
-    item = lambda label, conclusion, of: F.struct(label.alias("label"), F.lit(conclusion).alias("is_conclusion"), of.cast("array<string>").alias("from"))
-    premises = F.transform("labels", lambda x: item(x, False, F.lit(None)))
-    label = F.when(d == 5, F.col("labels")[0]).otherwise(F.lit("C"))
-    pcs = F.when(d == 6, F.concat(F.array(item(label, True, refs)), premises)).otherwise(F.concat(premises, F.array(item(label, True, refs))))
-    return lines.select("argument_id", pcs.alias("pcs"))
-
-
 def solutions(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """problem_id, sol_pos, raw_answer, is_valid, errors: one problem per source, judged by the labels."""
     known = labels.select(F.col("doc_id").alias("d"), "quality", "toxic")
     errors = F.filter(F.array(F.when(F.col("quality") == 0, "01_quality"), F.when(F.col("toxic") == 1, "02_toxic")), lambda x: x.isNotNull())
     return documents.join(known, F.col("doc_id") == F.col("d")).select(F.col("source").alias("problem_id"), F.col("doc_id").alias("sol_pos"), F.col("text").alias("raw_answer"), "n_chars", (F.col("quality") == 1).alias("is_valid"), errors.alias("errors"))
-
-
-def _fence(body, name: str):
-    return F.concat(F.lit(f'```argdown {{filename="{name}"}}\n'), body, F.lit("\n```\n"))
-
-
-def argument_maps(customer: DataFrame, orders: DataFrame) -> DataFrame:
-    """request_id, answer: each customer a claim, supported (F) or attacked (O) by orders; defect = c_custkey % 5."""
-    sign = F.when(F.col("o_orderstatus") == "F", "<+").when(F.col("o_orderstatus") == "O", "<-")
-    line = F.concat(F.lit("\n    "), sign, F.format_string(" <Order %d>: Priority %s.", "o_orderkey", "o_orderpriority"))
-    below = orders.where("o_orderstatus in ('F', 'O')").groupBy("o_custkey").agg(F.concat_ws("", F.array_sort(F.collect_list(line))).alias("below"))
-    d = F.pmod("c_custkey", F.lit(5))
-    more = F.when(d == 1, "\nA claim without a label.").when(d == 2, F.format_string("\n[Customer %d]: Another text.", "c_custkey")).when(d == 3, '\n<Reco>: Gist.\n\n(1) Premise.\n-- {from: ["1"]} --\n(2) Conclusion.').when(d == 4, "\n// a comment").otherwise("")
-    body = F.concat(F.format_string("[Customer %d]: In %s.", "c_custkey", "c_mktsegment"), F.coalesce("below", F.lit("")), more)
-    return customer.join(below, F.col("c_custkey") == F.col("o_custkey"), "left").select(F.col("c_custkey").alias("request_id"), _fence(body, "map.ad").alias("answer"))
-
-
-def written_reconstructions(lineitem: DataFrame) -> DataFrame:
-    """request_id, answer: each order an argument with its line numbers as premises; defect = l_orderkey % 11."""
-    lines = lineitem.groupBy("l_orderkey").agg(F.array_sort(F.collect_set("l_linenumber")).alias("numbers"))
-    d = F.pmod("l_orderkey", F.lit(11))
-    head = F.when(d == 4, "").otherwise(F.concat(F.format_string("<Order %d>", "l_orderkey"), F.when(d == 5, "").otherwise(": The gist."), F.when(d == 9, " {rank: 1}").otherwise("")))
-    more = F.when(d == 3, F.concat(F.lit("\n"), F.format_string("<Order %d>: Another gist.", "l_orderkey"))).otherwise("")
-    items = F.array_join(F.transform("numbers", lambda n: F.format_string("(%d) Line %d holds.", n, n)), "\n")
-    refs = F.array_join(F.transform("numbers", lambda n: F.format_string('"%d"', n)), ", ")
-    end = F.when(d == 2, "\n\n<Other>: A second gist.").when(d == 6, "\n\n[Extra]: Not used.").when(d == 7, "\n\n[A]: One.\n    <+ [B]: Two.").when(d == 8, ' {key: "value"}').when(d == 10, "\n\n[A]: One.\n    <+ [B]: Two.\n  <+ [C]: Three.").otherwise("")
-    body = F.when(d == 1, "// nothing").otherwise(F.concat(head, more, F.lit("\n\n"), items, F.lit("\n-- {from: ["), refs, F.lit("]} --\n(C) It follows."), end))
-    return lines.select(F.col("l_orderkey").alias("request_id"), _fence(body, "reconstructions.ad").alias("answer"))

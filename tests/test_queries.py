@@ -1,9 +1,16 @@
-"""Every query that has SQL gives the same rows."""
+"""Every query that has SQL gives the same rows, and the operators give what is written down for small cases."""
+
+import itertools
+import random
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
-from argloom.operators import argdown, extraction
+from argloom.functions import formulas, reading, texts
+from argloom.functions.graphs import shape
+from argloom.operators import checks, coherence, extraction, preference, problems, scores
+from argloom.plans import judging
 from argloom.plans.queries import oracle_sql, queries
 
 SF = "/root/testdata/sf0.001"
@@ -22,32 +29,231 @@ def test_query(spark, db, name):
     got, want = queries()[name](spark, SF).toPandas(), db.sql(oracle_sql()[name]).df()
     columns = sorted(got.columns)
     assert columns == sorted(want.columns) and len(got) > 0
-    plain = lambda df: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df[columns].itertuples(index=False))
+    plain = lambda df: sorted(str([None if x != x else round(x, 9) if isinstance(x, float) else x for x in r]) for r in df[columns].itertuples(index=False))
     assert plain(got) == plain(want)
 
 
-def test_blocks_and_elements(spark):
+def requests(spark, *inputs, source=None):
+    return spark.createDataFrame([(i, x, source) for i, x in enumerate(inputs)], "request_id long, inputs string, source string")
+
+
+def fenced(*bodies):
+    return "\n".join(f"```argdown {{filename=\"{name}\"}}\n{body}\n```" for name, body in bodies) + "\n"
+
+
+def test_blocks(spark):
     answer = 'a\n```xml\n<proposition id="1" supports="2 3">x <b>y</proposition>z\n```\n```argdown {k=1}\n[A]: b\n```\n```xml never closed'
     df = extraction.blocks(spark.createDataFrame([(1, answer), (2, ""), (3, None)], "request_id long, answer string"))
     found = [tuple(r) for r in df.orderBy("block_pos").collect()]
     assert found == [(1, 0, "argdown", "{k=1}", "[A]: b"), (1, 1, "xml", "", '<proposition id="1" supports="2 3">x <b>y</proposition>z')]
-    (row,) = extraction.elements(df.where("dtype = 'xml'")).collect()
-    assert [(e["name"], e["parent"], e["supports"], e["text"]) for e in row["elements"]] == [("proposition", None, ["2", "3"], "x y"), ("b", 0, [], "y")]
+    rows = extraction.read(requests(spark, answer, "", None, "```argdown foo\n[A\n```\n```argdown\n[B]\n```")).orderBy("request_id").collect()
+    assert [(b["dtype"], b["metadata"], b["error"]) for b in rows[0]["blocks"]] == [("argdown", {"k": "1"}, None), ("xml", {}, None)]
+    assert [(e["name"], e["parent"], e["supports"], e["text"]) for e in rows[0]["blocks"][1]["elements"]] == [("proposition", None, ["2", "3"], "x y"), ("b", 0, [], "y")]
+    assert rows[1]["blocks"] == [] and rows[2]["blocks"] == []
+    assert [(b["metadata_kind"], b["error"], b["graph"] is None) for b in rows[3]["blocks"]] == [("scalar", "a label is not closed", True), ("null", None, False)]
+
+
+def test_headers_and_data():
+    assert reading.header('{filename="map.ad", n=2}') == ("dict", {"filename": "map.ad", "n": "2"}) and reading.header("filename=map.ad") == ("dict", {"filename": "map.ad"})
+    assert reading.header("foo")[0] == "scalar" and reading.header("") == ("null", {}) and reading.header("[1, 2]")[0] == "list" and reading.header("{a")[0] == "null"
+    assert reading.data("""{a: [1, "2", 'it''s', true, ~], b: {c: x y, "d e": -1.5}}""") == {"a": [1, "2", "it's", True, None], "b": {"c": "x y", "d e": -1.5}}
+    for bad in ("{a: 1", "[1", "{a: 1} b", "{: 1}"):
+        with pytest.raises(ValueError):
+            reading.data(bad)
+
+
+def test_argdown():
+    g = reading.argdown('[A]: x // note\n  goes on\n    <- <B>: y {k: 1}\n        +> [C]\n\n(1) [D]: p\n-- with rule {from: ["1", 2]} --\n(2) q')
+    assert [(p["label"], p["unlabeled"], p["texts"]) for p in g["propositions"]] == [("A", False, ["x goes on"]), ("C", False, []), ("D", False, ["p"]), ("UNLABELED_PROPOSITION_4", True, ["q"])]
+    assert [(a["label"], a["unlabeled"], a["data"], [(x["label"], x["is_conclusion"], x["refs"] and [(r["label"], r["is_text"]) for r in x["refs"]]) for x in a["pcs"]]) for a in g["arguments"]] == [("B", False, "dict", []), ("UNLABELED_ARGUMENT_2", True, None, [("1", False, None), ("2", True, [("1", True), ("2", False)])])]
+    assert [(r["source"], r["target"], r["valence"], r["dialectics"]) for r in g["relations"]] == [("B", "A", "ATTACK", ["SKETCHED"]), ("B", "C", "SUPPORT", ["SKETCHED"]), ("D", "UNLABELED_ARGUMENT_2", "SUPPORT", ["GROUNDED"])]
+    for bad in ("[A\n", "[A]\n    + [B]\n  + [C]", "(1) a\n-- {from: [1]} --\nno number", "(1) a\n-----"):
+        with pytest.raises(ValueError):
+            reading.argdown(bad)
+    assert reading.argdown("- <Argument2")["propositions"][0]["texts"] == ["<Argument2"] and reading.argdown("") == {"propositions": [], "arguments": [], "relations": []}
+    again = reading.argdown('<A>: g\n\n(1) a\n-- {from: ["1"]} --\n(2) b\n\n<A> ')
+    assert again["arguments"][0]["texts"] == ["g", ""]
+    contra = reading.argdown('<A>\n\n(1) [P]\n-- {from: ["1"]} --\n(2) [Q]\n    >< [R]\n\n<B>\n\n(1) [R]\n-- {from: ["1"]} --\n(2) [S]')
+    assert {(r["source"], r["target"], r["valence"]) for r in contra["relations"] if r["dialectics"] == ["GROUNDED"]} == {("A", "Q", "SUPPORT"), ("A", "R", "ATTACK"), ("A", "B", "ATTACK"), ("P", "A", "SUPPORT"), ("B", "S", "SUPPORT"), ("R", "B", "SUPPORT"), ("Q", "B", "ATTACK")}
+
+
+def holds(f, m):
+    kind = f[0]
+    if kind == "pred":
+        return m[f[1]]
+    if kind == "not":
+        return not holds(f[1], m)
+    a, b = holds(f[1], m), holds(f[2], m)
+    return {"and": a and b, "or": a or b, "imp": not a or b, "iff": a == b}[kind]
+
+
+def test_entailment():
+    rng = random.Random(1)
+
+    def make(depth):
+        if not depth or rng.random() < 0.2:
+            return ("pred", rng.choice("PQRS"))
+        kind = rng.choice(["and", "or", "imp", "iff", "not"])
+        return (kind, make(depth - 1)) if kind == "not" else (kind, make(depth - 1), make(depth - 1))
+
+    for _ in range(1000):
+        premises, end = [make(3) for _ in range(rng.randrange(1, 3))], make(3)
+        worlds = [dict(zip("PQRS", b, strict=True)) for b in itertools.product([False, True], repeat=4)]
+        assert formulas.entails(premises, end) == all(holds(end, m) for m in worlds if all(holds(p, m) for p in premises))
+        assert formulas.read(formulas.plain(end)) == end
+    read, yes = formulas.read, [(["all x.(F(x) -> G(x))", "F(a)"], "G(a)"), (["exists x.all y.R(x,y)"], "all y.exists x.R(x,y)"), (["all x.(F(x)->exists y.R(x,y))", "F(a)"], "exists y.R(a,y)"), (["a = b", "F(a)"], "F(b)"), (["a=b", "b=c", "R(a,d)"], "R(c,d)"), (["all x.(F(x) -> G(x))", "all x.(G(x) -> H(x))"], "all x.(F(x) -> H(x))")]
+    no = [(["all x.(F(x) -> G(x))", "G(a)"], "F(a)"), (["all y.exists x.R(x,y)"], "exists x.all y.R(x,y)"), (["F(a)"], "F(b)")]
+    assert all(formulas.entails([read(p) for p in ps], read(c)) for ps, c in yes) and not any(formulas.entails([read(p) for p in ps], read(c)) for ps, c in no)
+
+
+def test_wording_of_formulas():
+    f = formulas.read("all x.(P(x) -> exists y.(R(x,y) & Q(y)))")
+    assert formulas.scheme(f) == "for every {x} it holds that if {x} is {P}, then there exists a {y} such that {x} stands in relation {R} to {y} and {y} is {Q}"
+    assert formulas.sentence(formulas.read("all x.(H(x) -> M(x))"), {"H": "human", "M": "mortal", "x": "being"}) == "for every being it holds that if being is human, then being is mortal"
+    assert formulas.latex(formulas.read("all x.exists y.(R(x,y) -> -Q(y) & P & S)")) == r"\forall x \exists y: (R(x,y) \rightarrow (\lnot Q(y) \land P \land S))"
+    assert formulas.smt(formulas.read("all x y.(R(x,y) -> Q(y) | P)")) == "(forall ((x UNIVERSAL) (y UNIVERSAL)) (=> (R x y) (or (Q y) P)))"
+    assert formulas.symbols(f) == ["P", "R", "Q"] and formulas.arities(f) == {"P": 1, "R": 2, "Q": 1} and formulas.propositional(formulas.read("P & Q(a)")) == ["P"]
+    with pytest.raises(ValueError):
+        formulas.arities(formulas.read("P(a) & P(a,b)"))
+    for bad in ("P &", "(P", "P Q", "all x P(x)", "", "%"):
+        with pytest.raises(ValueError):
+            formulas.read(bad)
+    program = formulas.smt_program({"1": formulas.read("F(a)")}, {"C": formulas.read("G(a)")}, {"F": "f", "G": "g", "a": "x"}, {"B": formulas.read("F(a)")}, {"C": ["1", "B"]})
+    assert "(declare-const a UNIVERSAL) ;; x" in program and "(=> (and premise1 conclusionB) conclusionC)" in program and program.count("(push)") == 1
+
+
+def test_distances():
+    rng = random.Random(1)
+    for _ in range(300):
+        a, b = ("".join(rng.choice("abc") for _ in range(rng.randrange(9))) for _ in "ab")
+        table = {}
+        for i, j in itertools.product(range(-1, len(a)), range(-1, len(b))):
+            if min(i, j) < 0:
+                table[i, j] = max(i, j) + 1
+                continue
+            swap = table[i - 2, j - 2] + 1 if i and j and a[i] == b[j - 1] and a[i - 1] == b[j] else 99
+            table[i, j] = min(table[i - 1, j] + 1, table[i, j - 1] + 1, table[i - 1, j - 1] + (a[i] != b[j]), swap)
+        assert texts.distance(a, b) == table[len(a) - 1, len(b) - 1]
+        assert texts.distance(a, b, False) == duckdb.sql(f"select damerau_levenshtein('{a}', '{b}')").fetchall()[0][0]
+    assert texts.altered("one two three", "one <proposition>two</proposition> three", ["two"]) == [] and "Diff" in texts.altered("one two three", "four", [])[0] and texts.altered(None, "x", []) is None
+    long = " ".join(f"w{i}" for i in range(300))
+    assert texts.altered(long, "", ["w5 w6", "w9"]) == [] and "missing" in texts.altered(long, "", ["zz"])[0] and "mixup" in texts.altered(long, "", ["w299" * 1, "w298 w299", "w1 w2"])[-1]
+
+
+def test_repetitions():
+    head = [f"line {i}" for i in range(14)]
+    assert texts.without_repetitions("\n".join(head + ["again"] * 9 + ["aga"])) == "\n".join(head + ["again"] * 3 + ["again"])
+    assert texts.without_repetitions("\n".join(head)) == "\n".join(head) and texts.without_repetitions("a\na\na") == "a\na\na"
 
 
-def test_argdown_lines(spark):
-    body = '[A]: x // note\n    <- <B>: y {k: 1}\n        +> [C]\n\n(1) [D]: p\n-- with rule {from: ["1", 2]} --\n(2) q'
-    rows = [(1, body), (2, "[A\n"), (3, "[A]\n    + [B]\n  + [C]"), (4, None), (5, "- <Argument2")]
-    got = {r["k"]: r["lines"] for r in argdown.parsed(spark.createDataFrame(rows, "k long, body string")).collect()}
-    assert [(x["kind"], x["label"], x["text"], x["relation"], x["parent"]) for x in got[1]] == [("claim", "A", "x", None, None), ("argument", "B", "y", "<-", 0), ("claim", "C", "", "+>", 1), ("argument", None, "", None, None), ("item", "1", "p", None, None), ("item", "2", "q", None, None)]
-    assert [(x["argument"], x["is_conclusion"], x["refs"]) for x in got[1][4:]] == [(3, False, None), (3, True, ["1", "2"])]
-    assert got[2] is None and got[3] is None and got[4] == [] and [x["kind"] for x in got[5]] == ["text"]
+def test_shapes():
+    assert shape(["a", "b", "c", "d"], [("a", "b"), ("b", "c")]) == {"components": 2, "longest": 2} and shape([], []) == {"components": 0, "longest": 0}
+    assert shape(["a", "b", "c"], [("a", "b"), ("b", "c"), ("c", "a")]) == {"components": 1, "longest": 1} and shape(["a", "b", "c"], [("a", "b"), ("b", "a")]) == {"components": 2, "longest": None}
+
+
+MAP = ("map.ad", "[A1]: First claim.\n[A2]: Second claim.\n[A3]: Third claim.\n\n<Argument1>\n    + [A1]\n    +> [A2] // Support\n<Argument2>\n    + [A3]\n    -> [A2]")
+RECO = (
+    "reconstructions.ad",
+    '<Argument1>: First.\n\n(P1) [A1]: First claim. {formalization: "P", declarations: {"P": "one"}}\n-- {from: ["P1"]} --\n(C1) [A2]: Second claim. {formalization: "Q", declarations: {"Q": "two"}}\n\n'
+    '<Argument2>: Second.\n\n(P1) [A3]: Third claim. {formalization: "R", declarations: {"R": "three"}}\n(P2) Implicit premise. {formalization: "R -> -Q", declarations: {}}\n-- {from: ["P1", "P2"]} --\n(C1) NOT: Second claim. {formalization: "-Q"}\n    -> [A2] // Attack',
+)
+
+
+def verdicts(df):
+    return {(r["request_id"], r["verifier_id"]): r["is_valid"] for r in judging.rows_of(df).collect()}
+
+
+def test_map_and_logical_reconstruction(spark):
+    wrong = (RECO[0], RECO[1].replace("    -> [A2] // Attack", ""))
+    got = verdicts(judging.verify(requests(spark, fenced(MAP, RECO), fenced(MAP, wrong), fenced(RECO, MAP), fenced(MAP)), "argmap_logreco"))
+    assert got[0, "ArgmapLogreco.ElemCohereHandler"] and got[0, "ArgmapLogreco.RelationCohereHandler"] and got[0, "ArgmapInfreco.RelationCohereHandler"]
+    assert got[0, "LogReco.WellFormedFormulasHandler"] and not got[0, "LogReco.GlobalDeductiveValidityHandler"] and got[0, "LogReco.PremisesConsistentHandler"] and got[0, "LogReco.FormallyGroundedRelationsHandler"]
+    assert not got[1, "ArgmapLogreco.RelationCohereHandler"] and (2, "ArgmapLogreco.RelationCohereHandler") not in got and not got[3, "HasArgdownHandler.reco"]
+
+
+def test_steps_of_inference_and_dialectics(spark):
+    body = '<A>: g\n\n(1) [P]: p\n(2) [Q]: q\n-- {from: ["1"]} --\n(3) [R]: r\n-- {from: ["3", "2"]} --\n(4) [S]: NOT: p\n    +> [T]\n\n[T]: t\n    -> [U]\n\n[V]: p'
+    b = extraction.read(requests(spark, fenced(("x", body)))).select(extraction.last("argdown").alias("b"))
+    claim = lambda x: F.get(F.filter(F.col("b.graph.propositions"), lambda p: p["label"] == x), F.lit(0))
+    b, argument = b, F.col("b.graph.arguments")[0]
+    g, lit = F.col("b"), F.lit
+    row = b.select(
+        F.array_sort(coherence.used_for(argument, lit("4"))), F.array_sort(coherence.used_for(argument, lit("3"))), coherence.identical(claim("P"), claim("V")), coherence.identical(claim("P"), claim("Q")), coherence.contradictory(claim("S"), claim("P"), g), coherence.contradictory(claim("Q"), claim("P"), g),
+        coherence.indirectly(lit("S"), lit("T"), g, "SUPPORT"), coherence.indirectly(lit("S"), lit("U"), g, "ATTACK"), coherence.indirectly(lit("S"), lit("U"), g, "SUPPORT"), coherence.strictly_identical(claim("S"), claim("T"), g), coherence.strictly_contradictory(claim("T"), claim("U"), g), coherence.indirectly(lit("S"), lit("S"), g, "ATTACK"),
+    ).first()
+    assert list(row) == [["1", "2", "3"], ["1"], True, False, True, False, True, True, False, False, False, False]
+
+
+def test_annotation_and_reconstruction(spark):
+    xml = '```xml {filename="annotation.txt"}\n<proposition id="1" argument_label="A" ref_reco_label="1" supports="2">x</proposition><proposition id="2" argument_label="A" ref_reco_label="2">y</proposition>\n```\n'
+    body = '<A>: g\n\n(1) [P]: x {annotation_ids: ["1"]}\n-- {from: ["1"]} --\n(2) [Q]: y {annotation_ids: ["2"]}'
+    bad = body.replace('["2"]}', '["1"]}')
+    got = verdicts(judging.verify(requests(spark, xml + fenced(("r", body)), xml.replace('supports="2"', 'attacks="2"') + fenced(("r", bad)), xml.replace('id="1" a', 'id="1" supports="1" a').replace('supports="2"', "") + fenced(("r", body))), "arganno_infreco"))
+    assert got[0, "ArgannoInfreco.ElemCohereHandler"] and got[0, "ArgannoInfreco.RelationCohereHandler"]
+    assert not got[1, "ArgannoInfreco.ElemCohereHandler"] and not got[1, "ArgannoInfreco.RelationCohereHandler"] and not got[2, "ArgannoInfreco.RelationCohereHandler"]
+
+
+def test_text_scores(spark):
+    read = extraction.read(requests(spark, fenced(MAP, RECO), source="First claim. Second claim."), source="source", logic=True)
+    g, r, src = extraction.last("argdown", [("filename", "map.ad", False)]), extraction.last("argdown", [("filename", "rec", True)]), F.col("source")
+    got = read.select(scores.map_diverse_labels(g), scores.map_long_claims(g), scores.map_short_claims(g), scores.map_independent_wording(g, src), scores.source_text_proximity(g, src), scores.logic_faithfulness(r), scores.reco_verbosity(r), scores.logic_predicate_logic(r), scores.snippet_proximity(g, r), scores.map_argument_claim_size(g)).first()
+    claims = ["First claim.", "Second claim.", "Third claim."]
+    mean = sum(texts.relative("First claim. Second claim.", c) for c in claims) / 3
+    assert list(got)[:4] == [round(texts.relative("Argument1", "Argument2"), 2), 10.0, 0.1, round(mean, 1)] and got[5] == round(sum(1 - texts.relative(a, b) for a, b in (("one", claims[0]), ("two", claims[1]))) / 2, 1) and got[6:8] == (10.0, 0.0) and got[9] == 0.0
+
+
+def test_registry(spark):
+    assert {"arganno", "argmap", "infreco", "logreco", "arganno_argmap_logreco"} <= {r["name"] for r in judging.list_verifiers(spark).collect()}
+    df = requests(spark, fenced(("m.ad", "[A]: x\n\nno label"), ("n.ad", "[A]: x")))
+    for action, error in ((lambda: judging.verify(df, "nothing"), judging.VerifierNotFoundError), (lambda: judging.verify(df, "argmap", {"size": 1}), judging.InvalidConfigError), (lambda: judging.verify(df, "argmap", {"from_key": 1}), judging.InvalidConfigError), (lambda: judging.verify(df, "argmap", filters={"arganno": []}), judging.InvalidFilterError), (lambda: judging.verify(df, "argmap", filters={"argmap": [{"key": "a", "value": "(", "regex": True}]}), judging.InvalidFilterError), (lambda: judging.judge(df, "argmap"), judging.InvalidConfigError)):
+        with pytest.raises(error):
+            action()
+    assert not judging.verify(df, "argmap").first()["is_valid"] and judging.verify(df, "argmap", filters={"argmap": {"filename": "n.ad"}}).first()["is_valid"]
+    assert judging.Request("argmap").filter("argmap", "filename", "n", True).run(df).first()["is_valid"]
+    judging.register_check("has_argdown", "Own", lambda b: checks.one(F.size(checks.claims(b)) > 0, "There are claims."), "argmap")
+    judging.register_score("has_annotations", "own", lambda blocks, source: F.lit(0.5))
+    try:
+        assert verdicts(judging.verify(df, "has_argdown")) == {(0, "HasArgdownHandler"): True, (0, "Own"): False}
+        assert judging.verify(requests(spark, "```xml\nx\n```"), "has_annotations").first()["scores"][0]["score"] == 0.5
+        assert judging.verifier_info("has_annotations")["scorers"] == ["own"]
+    finally:
+        judging.VERIFIERS.update(judging._verifiers())
+
+
+def test_judged_metrics_and_prompts(spark):
+    rows = [("p", 1, fenced(("m", "[A]: x")), "Q"), ("p", 2, fenced(("m", "x\n\n[A]: y\n\n[A]: z")), "Q"), ("p", 3, None, "Q")]
+    judged = judging.judge(spark.createDataFrame(rows, "problem_id string, sol_pos int, raw_answer string, prompt string"), "argmap")
+    got = {r["sol_pos"]: r for r in judged.collect()}
+    assert [m["key"] for m in got[1]["metrics"]] == ["01_HasArgdownHandler", "02_ArgMap.CompleteClaimsHandler", "03_ArgMap.NoDuplicateLabelsHandler", "04_ArgMap.NoPCSHandler"] and got[1]["is_valid"] and not got[3]["is_valid"]
+    asked = {r["sol_pos"]: r["feedback_prompt"] for r in problems.feedback_requests(judged).collect()}
+    assert set(asked) == {2, 3} and "- **03_ArgMap.NoDuplicateLabelsHandler**: Duplicate labels: A" in asked[2]
+    out = judged.select("sol_pos", problems.asking_for_invalid(F.col("prompt"), F.col("metrics")).alias("a"), problems.with_hints(F.col("prompt"), F.array(F.lit("h"), F.lit("i"))).alias("h"), problems.rendered(F.col("artifacts"), F.col("raw_answer"), ("argmap",)).alias("r"), preference.bare_errors(F.col("metrics")).alias("e")).orderBy("sol_pos").collect()
+    assert out[1]["a"].count(problems.WARNING) == 2 and "- ArgMap.CompleteClaimsHandler: Missing labels" in out[1]["a"] and out[0]["h"] == "Q\n\nHints: h - i" and out[2]["r"] == "None" and out[1]["e"] == ["ArgMap.CompleteClaimsHandler", "ArgMap.NoDuplicateLabelsHandler"]
+    nexts = problems.sequential_problems(judged, "arganno_from_argmap").collect()
+    assert len(nexts) == 1 and "[A]: x" in nexts[0]["prompt"] and "imperfect" not in nexts[0]["prompt"]
+    made = problems.problems(spark.createDataFrame([("p", ["<b>a</b> ", "b"])], "problem_id string, sources array<string>"), "annotation").first()
+    assert made["sources"] == "a \n\n-----\n\nb" and made["sources"] in made["prompt"]
+    kept = problems.ingested(spark.createDataFrame([("p", 1, "x"), ("p", 2, "x"), ("p", 3, " "), ("p", 4, None), ("q", 1, "x")], "problem_id string, sol_pos int, raw_answer string"))
+    assert {(r["problem_id"], r["sol_pos"]) for r in kept.collect()} == {("p", 1), ("q", 1)}
+    chat = judged.select(problems.as_chat(F.col("prompt"), F.lit("new"), F.col("raw_answer"), F.lit("how?"), F.lit("so")).alias("c"), "sol_pos").collect()
+    assert {r["sol_pos"]: len(r["c"]) for r in chat} == {1: 6, 2: 6, 3: 2}
+
+
+def test_self_critique(spark):
+    solutions = spark.createDataFrame([("p", 1, "a1", False, ["e"]), ("p", 2, "a2", False, ["f"]), ("q", 1, "b1", True, []), ("q", 2, "b2", False, ["e"]), ("r", 1, "c1", False, ["e"]), ("r", 2, "c2", False, [])], "problem_id string, sol_pos int, raw_answer string, is_valid boolean, errors array<string>")
+    feedbacks = spark.createDataFrame([("p", 1, 1, "f1"), ("p", 1, 2, "f2"), ("p", 1, 3, "f3"), ("p", 2, 1, "g1")], "problem_id string, sol_pos int, feedback_pos int, feedback string")
+    revisions = spark.createDataFrame([("p", 1, 1, 1, "x1", False), ("p", 1, 2, 1, "x2", True), ("p", 1, 2, 2, "x3", False), ("p", 1, 3, 1, "x4", True), ("p", 2, 1, 1, "y1", True), ("p", 2, 1, 2, "y2", True)], "problem_id string, sol_pos int, feedback_pos int, rev_pos int, raw_answer string, is_valid boolean")
+    got = {tuple(r) for r in preference.self_critique_pairs(solutions, feedbacks, revisions).collect()}
+    assert got == {("p", 1, 2, "revision", "x2", "x3"), ("p", 1, 2, "feedback", "f2", "f1"), ("p", 2, 1, "original_revision", "y1", "a2")}
+    every = {(r["problem_id"], r["kind"], r["chosen"], r["rejected"]) for r in preference.all_pairs(solutions, feedbacks, revisions).collect()}
+    assert ("q", "validity", "b1", "b2") in every and ("r", "failure", "c2", "c1") in every and len(every) == 5
+    scored = spark.createDataFrame([(f"p{i}", j, f"a{j}", j < 3, [], float(j), 1.0) for i in range(40) for j in range(3 + i % 2)], "problem_id string, sol_pos int, raw_answer string, is_valid boolean, errors array<string>, u double, v double")
+    pairs = {r["problem_id"]: r for r in preference.solution_pairs(scored, ["u", "v"]).collect()}
+    assert all(pairs[f"p{i}"]["kind"] == "u" and pairs[f"p{i}"]["chosen"] == 2 for i in range(0, 40, 2)) and {pairs[f"p{i}"]["kind"] for i in range(1, 40, 2)} == {"u", "validity"}
 
 
 def test_validity_rate_of_a_stream(spark, tmp_path):
     """Finished windows of a stream are those of the table."""
-    from pyspark.sql import functions as F
-
     from argloom.streaming.validity import validity_rate
 
     events = spark.read.parquet(f"{SF}/events.parquet")
@@ -59,16 +265,12 @@ def test_validity_rate_of_a_stream(spark, tmp_path):
 
 
 def test_metrics_count_every_error(spark):
-    from argloom.operators import preference
-
     rows = [("p", 1, True, []), ("p", 2, False, ["03_other", "03_other", "01_quality"]), ("p", 3, None, ["03_other", None]), ("q", 1, True, None), (None, 1, False, ["04"])]
     got = preference.metrics(spark.createDataFrame(rows, "problem_id string, sol_pos int, is_valid boolean, errors array<string>"))
     assert {tuple(r)[:3] + (tuple(sorted(r["error_counts"].items())),) for r in got.collect()} == {("p", 3, 0.5, (("01_quality", 1), ("03_other", 2))), ("q", 1, 1.0, ()), (None, 1, 0.0, (("04", 1),))}
 
 
 def test_requests_without_blocks(spark):
-    from argloom.operators import checks
-
     answers = spark.createDataFrame([(1, "```xml\na\n```\n```xml\nb\n```"), (2, "```xml never closed"), (3, "```argdown\n[A\n```"), (4, None), (None, "```xml\nc\n```")], "request_id long, answer string")
     found = extraction.blocks(answers)
     for dtype, name, want in (("xml", "has_annotations", {1, None}), ("argdown", "has_argdown", {3})):
