@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 KINDS = ("email", "ip", "card", "phone")
-CUT, EM_ROUNDS, FIT_ROUNDS, PRIOR = 0.9, 50, 300, 2.0
+CUT, EM_ROUNDS, FIT_ROUNDS, PRIOR, DOUBT = 0.9, 50, 300, 2.0, 0.05
 YES, NO, SILENT = 1, 0, 2
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -195,11 +195,11 @@ def fit(counts: list[tuple[int, int, int, int]]) -> Model:
         for v, _, n in own:
             patterns[v] = patterns.get(v, 0) + n
         reliability[kind], likely = expectation_maximisation(patterns)
-        # Nothing known, or only a vote against, is no reason to call it personal data: PRIOR such candidates each.
-        doubtful = (0, 4, 16, 32, 36, 48, 64, 68, 80, 96, 100, 112)
+        # Nothing known is no reason to call it personal data: PRIOR such candidates each. Nor are words that speak against it: each weighs as much as DOUBT of all.
+        doubtful = (0, 4, 16, 18, 32, 36, 48, 50, 64, 68, 80, 96, 100, 112)
         x = np.array([_vector(f) for _, f, _ in own] + [_vector(f) for f in doubtful])
         y = np.array([likely[v] for v, _, _ in own] + [0.0] * len(doubtful))
-        n = np.array([c for *_, c in own] + [PRIOR] * len(doubtful), float)
+        n = np.array([c for *_, c in own] + [max(PRIOR, DOUBT * sum(patterns.values())) if f & 16 else PRIOR for f in doubtful], float)
         n /= n.sum()
         w = np.zeros(x.shape[1])
         for _ in range(FIT_ROUNDS):  # Newton steps with a small ridge
