@@ -80,6 +80,15 @@ _COHERENCE = {
 }
 
 
+#: Failed checks of judges of several blocks; a is how many reconstructed arguments there are, w whether the customer is a premise or conclusion.
+_COMPOUND_FAILED = {
+    "argmap_plus_arganno": "(am > 0)::INT + (ar > 0)::INT", "arganno_plus_infreco": "(a = 0)::INT + (im > 0)::INT + (ir > 0)::INT",
+    "arganno_plus_logreco": "(a = 0)::INT + (a > 0)::INT + (im > 0)::INT + (ir > 0)::INT", "argmap_plus_infreco": "(a = 0)::INT + (lm > 0)::INT + (lr > 0)::INT",
+    "argmap_plus_logreco": "(a < 2)::INT + (NOT w)::INT + (a > 0)::INT + 2 * (lm > 0)::INT + 2 * (lr > 0)::INT",
+    "argmap_plus_arganno_plus_logreco": "(a < 2)::INT + (NOT w)::INT + (a > 0)::INT + (am > 0)::INT + (ar > 0)::INT + (im > 0)::INT + (ir > 0)::INT + (lm > 0)::INT + (lr > 0)::INT",
+}
+
+
 def _one(relations: str, source: str, check_id: str, valid: str, more: str = "") -> str:
     return f"{relations} SELECT k AS request_id, '{check_id}' AS check_id, {valid} AS is_valid{more} FROM {source}"
 
@@ -115,6 +124,10 @@ SELECT k AS request_id, {real("1.0::DOUBLE / (1 + loose + pcs)")} AS connectedne
     n_logic += " + (k % 6 IN (2, 4))::INT + (k % 13 = 0 AND n > 1)::INT"
     out["judge_logreco"] = f"{_truth()} SELECT k AS request_id, {n_logic} = 0 AS is_valid, ({n_logic})::BIGINT AS n_failed FROM v"
     out |= {f"coherence_{n}": f"{_COMPOUND} SELECT k AS request_id, ({v})::BIGINT AS n_messages FROM o GROUP BY k" for n, v in _COHERENCE.items()}
+    short = {"am": "arganno_argmap_elements", "ar": "arganno_argmap_relations", "im": "arganno_infreco_elements", "ir": "arganno_infreco_relations", "lm": "argmap_infreco_elements", "lr": "argmap_infreco_relations"}
+    counts = ", ".join(f"{_COHERENCE[n]} AS {s}" for s, n in short.items())
+    for name, failed in _COMPOUND_FAILED.items():
+        out[f"judge_{name}"] = f"{_COMPOUND}, c AS (SELECT k, count(*) FILTER (NOT missing) AS a, coalesce(bool_or(f AND NOT elsewhere AND NOT missing), false) AS w, {counts} FROM o GROUP BY k) SELECT k AS request_id, {failed} = 0 AS is_valid, ({failed})::BIGINT AS n_failed FROM c"
     out["block_roles"] = f"{_COMPOUND} SELECT DISTINCT k AS request_id, 3::BIGINT AS n_blocks, 1::BIGINT AS n_xml, 1::BIGINT AS n_maps, 0::BIGINT AS n_exact, 2::BIGINT AS n_named, 'map.ad,reconstructions.ad,annotation.txt' AS files FROM o"
     matched, annotated = "count(*) FILTER (NOT unrelated AND NOT nobody)", "count(*) FILTER (NOT unrelated)"
     named = "count(*) FILTER (NOT unrelated AND ids = 'own')"

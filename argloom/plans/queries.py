@@ -118,6 +118,12 @@ COHERENCE = {
 }
 
 
+COMPOUND_JUDGES = {
+    "argmap_plus_arganno": ("arganno", "argmap"), "arganno_plus_infreco": ("arganno", "infreco"), "arganno_plus_logreco": ("arganno", "infreco"), "argmap_plus_infreco": ("argmap", "infreco"),
+    "argmap_plus_logreco": ("argmap", "infreco"), "argmap_plus_arganno_plus_logreco": ("arganno", "argmap", "infreco"),
+}
+
+
 def logic_formulas(s: SparkSession, d: str) -> DataFrame:
     """Each formula of the arguments in its syntaxes and in English."""
     read = extraction.read(_logical(s, d), logic=True).select("request_id", F.inline(F.flatten(F.transform("blocks", lambda b: b["logic"]["formulas"]))))
@@ -231,6 +237,8 @@ def queries() -> dict[str, Query]:
     out["judge_argmap"] = lambda s, d: _judged(_maps(s, d), "argmap")
     out["judge_infreco"] = lambda s, d: _judged(_reconstructions(s, d), "infreco")
     out["judge_logreco"] = lambda s, d: _judged(_logical(s, d), "logreco")
+    for name, kinds in COMPOUND_JUDGES.items():
+        out[f"judge_{name}"] = lambda s, d, n=name, k=kinds: _judged(_compounds(s, d, *k), n)
     out["evaluator_metrics"] = evaluator_metrics
     out["pairs_validity"] = lambda s, d: preference.validity_pairs(_solutions(s, d))
     out["pairs_ask_invalid"] = lambda s, d: preference.asked_invalid_pairs(_solutions(s, d))

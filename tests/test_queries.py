@@ -276,3 +276,20 @@ def test_requests_without_blocks(spark):
     for dtype, name, want in (("xml", "has_annotations", {1, None}), ("argdown", "has_argdown", {3})):
         got = [tuple(r) for r in checks.has_block(answers, found, "request_id", dtype, name).collect()]
         assert sorted(got, key=str) == sorted(((k, name, k in want) for k in (1, 2, 3, 4, None)), key=str)
+
+
+def test_plans_from_configuration(spark):
+    from argloom.plans import factory
+
+    assert factory.pairs_from_config({"judge": "nothing"}) is None and factory.pairs_from_config({}) is None and factory.evaluator_from_config({"judge": 1}) is None
+    with pytest.raises(ValueError):
+        factory.get_part("virtue.none")
+    good, better, bad = fenced(("m", "[A]: x")), fenced(("m", "[A]: x\n    + <B>: y")), fenced(("m", "x"))
+    solutions = spark.createDataFrame([("p", 1, good), ("p", 2, bad), ("q", 1, bad), ("q", 2, None), ("r", 1, good), ("r", 2, better)], "problem_id string, sol_pos int, raw_answer string")
+    feedbacks = spark.createDataFrame([("q", 1, 1, "f")], "problem_id string, sol_pos int, feedback_pos int, feedback string")
+    revisions = spark.createDataFrame([("q", 1, 1, 1, good), ("q", 1, 1, 2, bad)], "problem_id string, sol_pos int, feedback_pos int, rev_pos int, raw_answer string")
+    made = factory.pairs_from_config({"judge": "argmap", "virtues": ["map_max_args"]})(solutions, feedbacks, revisions)
+    got = {(r["problem_id"], r["kind"]): (r["chosen"], r["rejected"]) for r in made.collect()}
+    assert got[("p", "validity")] == (good, bad) and got[("q", "revision")] == (good, bad) and got[("r", "map_max_args")] == (better, good)
+    counts = {r["problem_id"]: (r["n_solutions"], r["accuracy"], r["error_counts"]) for r in factory.evaluator_from_config({"judge": "argmap"})(solutions).collect()}
+    assert counts["p"] == (2, 0.5, {"ArgMap.CompleteClaimsHandler": 1}) and counts["r"] == (2, 1.0, {})
