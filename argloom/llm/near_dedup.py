@@ -10,8 +10,12 @@ agree in a band meet (at similarity 0.75 one of 48 bands of 4 fails to join them
 SMALL shingles also meet by the prefixes that two sets of similarity 0.75 must share, so small sets miss nothing.
 Where classes meet, similarity is estimated from equal registers, less the collisions to be expected; pairs within
 SLACK standard errors of the limit connect classes to clusters. Only then are full sets fetched, once for
-each block of a cluster, and every pair in a cluster that no link joins yet is decided exactly. Buckets and clusters of any size are cut into
-blocks, each pair of blocks being a task's unit of bounded size; what leaves a unit is at most one link per class.
+a cluster, and every pair in a cluster that nothing joins yet is decided exactly; what leaves a unit of work is at most one link per class.
+
+A bucket or cluster beyond a block first meets one pivot of its own, up to PIVOTS times: rows linked with the pivot are joined
+through it and never meet each other, so a group of near copies costs as much as it has rows. Rows that aren't linked with it stay, and meet the
+linked ones where the triangle inequality of Jaccard distances allows a link (in clusters: similarity 0.5 to the pivot). What stays after that is cut into
+blocks, each pair of blocks being a task's unit of bounded size.
 
 Null texts are empty. A null doc_id is linked with nothing and has no component. Rows that repeat a doc_id count as one document
 with the links of all of them. Long texts are hashed whole.
@@ -20,6 +24,7 @@ with the links of all of them. Long texts are hashed whole.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +39,8 @@ SHINGLE, PERCENT = 5, 75
 REGISTERS, BAND, MANTISSA, SMALL, SLACK = 192, 4, 10, 24, 5.0
 #: Classes of a bucket compared at once, and classes of a cluster whose sets are compared at once.
 BUCKET_BLOCK, CLUSTER_BLOCK = 512, 128
+#: So many times the rows of a larger group meet one of them before pairs of blocks do.
+PIVOTS = 4
 #: Up to so many classes are sent to all tasks to fetch their texts (24 bytes each); more are joined by a shuffle.
 BROADCAST_CLASSES = 100_000
 _A, _B, _C = (np.uint64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3))
@@ -228,10 +235,61 @@ def _units(rows: DataFrame, key: str, n: str, block: int) -> DataFrame:
     return rows.select(unit, *kept)
 
 
+def _near_pivot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of buckets with nearness 2 where they may be near their pivot, else 1."""
+    for batch in batches:
+        own, pivot = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, REGISTERS) for c in ("regs", "p_regs"))
+        n, m = batch.column("n_shingles").to_numpy(), batch.column("p_n_shingles").to_numpy()
+        collide = (_level_shares(n) * _level_shares(m)).sum(1) / (1 << MANTISSA)
+        near = 1 + _near((own == pivot).mean(1), n, m, collide)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(near, pa.int32())], names=["key", "rep", "n_shingles", "regs", "p", "nearness"])
+
+
+def _linked_pivot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of clusters with nearness 2 where they are linked with their pivot, 1 where they may be linked with one that is, else 0."""
+    for batch in batches:
+        near = []
+        for own, pivot in zip(batch.column("shingles"), batch.column("p_shingles"), strict=True):
+            x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (own, pivot))
+            common = len(np.intersect1d(x, y, assume_unique=True))
+            union = len(x) + len(y) - common
+            near.append(2 if 100 * common >= PERCENT * union else int(100 * common >= (2 * PERCENT - 100) * union))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(near, pa.int32())], names=["key", "rep", "shingles", "p", "nearness"])
+
+
 def _by_unit(rows: DataFrame, *more: str) -> DataFrame:
     return rows.repartition(parts(rows.sparkSession), "unit").sortWithinPartitions("unit", *more)
 
 
+def _split(left: DataFrame, block: int, judge: Callable) -> tuple[DataFrame, DataFrame]:
+    """Groups beyond a block (key, rep, more columns; a stored table): links with pivots, and the units that remain."""
+    kept = left.columns[1:]
+    types = {f.name: f.dataType.simpleString() for f in left.schema}
+    schema = ", ".join(f"{c} {types[c]}" for c in left.columns) + ", p long, nearness int"
+    links, units = [], []
+    for turn in range(PIVOTS):
+        sizes = left.groupBy("key").agg(F.min("rep").alias("p"), F.count("*").alias("n"))
+        if sizes.where(F.col("n") > block).isEmpty():
+            break
+        first = left.join(sizes.select(F.col("key").alias("k"), "p"), (F.col("key") == F.col("k")) & (F.col("rep") == F.col("p")))
+        first = first.select("k", "p", *[F.col(c).alias(f"p_{c}") for c in kept[1:]]).dropDuplicates(["k"])  # a doc_id with equal texts
+        met = left.join(first, F.col("key") == F.col("k")).select(*left.columns, "p", *[f"p_{c}" for c in kept[1:]])
+        judged = written(met.mapInArrow(judge, schema), "pivots")
+        links.append(judged.where("nearness = 2 and rep != p").select(F.col("rep").alias("a"), F.col("p").alias("b")))
+        blocks_of = lambda n: F.ceil(F.count_if(F.col("nearness") == n) / block).cast("int")
+        both = judged.groupBy(F.col("key").alias("k")).agg(blocks_of(2).alias("n_near"), blocks_of(1).alias("n_far")).where("n_far > 0")
+        both = judged.where("nearness > 0").join(both, F.col("key") == F.col("k"))
+        near = F.col("nearness") == 2
+        both = both.withColumn("own", F.pmod(F.xxhash64("rep", "key"), F.when(near, F.col("n_near")).otherwise(F.col("n_far"))).cast("int"))
+        both = both.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(near, F.col("n_far")).otherwise(F.col("n_near")) - 1)))
+        unit = F.xxhash64("key", F.lit(turn), F.when(near, F.col("own")).otherwise(F.col("other")), F.when(near, F.col("other")).otherwise(F.col("own")))
+        units.append(both.select(unit.alias("unit"), *kept))
+        left = judged.where("nearness < 2").select("key", *kept)
+    sizes = left.groupBy(F.col("key").alias("k")).agg(F.count("*").alias("n"))
+    units.append(_units(left.join(sizes, F.col("key") == F.col("k")).drop("k"), "key", "n", block))
+    return reduce(DataFrame.unionByName, links), reduce(DataFrame.unionByName, units)
+
+
 def _band_keys():
     return F.array(*[F.xxhash64(F.substring("regs", 1 + 2 * BAND * i, 2 * BAND), F.lit(i)) for i in range(REGISTERS // BAND)])
 
@@ -240,15 +298,18 @@ def link_classes(docs: DataFrame, classes: DataFrame, text: str = "text") -> Dat
     """Links (a, b) that connect classes just as all links do; classes: rep, n_shingles, s1, s2, regs, small."""
     keys = classes.select("rep", F.explode(F.concat(_band_keys(), "small")).alias("key")).distinct()
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").withColumnRenamed("key", "k")
-    met = _units(keys.join(shared, F.col("key") == F.col("k")).drop("k"), "key", "n", BUCKET_BLOCK)
-    met = met.join(classes.select(F.col("rep").alias("r"), "n_shingles", "regs"), F.col("rep") == F.col("r")).select("unit", "rep", "n_shingles", "regs")
-    near = _by_unit(met, "n_shingles", "rep").mapInArrow(lambda it: _whole_groups(it, _meet), "a long, b long").distinct()
+    met = written(keys.join(shared, F.col("key") == F.col("k")).select("key", "rep", "n"), "buckets")
+    own = classes.select(F.col("rep").alias("r"), "n_shingles", "regs")
+    units = _units(met.where(F.col("n") <= BUCKET_BLOCK), "key", "n", BUCKET_BLOCK).join(own, F.col("rep") == F.col("r")).drop("r")
+    hot, pivots = met.where(F.col("n") > BUCKET_BLOCK), None
+    if not hot.isEmpty():
+        pivots, more = _split(written(hot.join(own, F.col("rep") == F.col("r")).select("key", "rep", "n_shingles", "regs"), "large-buckets"), BUCKET_BLOCK, _near_pivot)
+        units = units.unionByName(more)
+    near = _by_unit(units, "n_shingles", "rep").mapInArrow(lambda it: _whole_groups(it, _meet), "a long, b long")
+    near = (near.unionByName(pivots) if pivots else near).distinct()
     clusters = components(near).withColumnRenamed("node", "rep").withColumnRenamed("component", "cluster")
     sizes = clusters.groupBy("cluster").agg(F.count("*").alias("n")).withColumnRenamed("cluster", "c")
     wanted = written(clusters.join(sizes, F.col("cluster") == F.col("c")).drop("c").join(classes.select(F.col("rep").alias("r"), "s1", "s2"), F.col("rep") == F.col("r")).drop("r"), "clusters")
-    few = wanted.limit(BROADCAST_CLASSES + 1).count() <= BROADCAST_CLASSES
-    texts = docs.select("doc_id", text).join(F.broadcast(wanted) if few else wanted, F.col("doc_id") == F.col("rep")).select("rep", "cluster", "n", "s1", "s2", text)
-
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, b in blocks(batch.column(5), lower=True):
@@ -262,8 +323,18 @@ def link_classes(docs: DataFrame, classes: DataFrame, text: str = "text") -> Dat
                 out = pa.RecordBatch.from_arrays([*part.columns, pa.array([hashes[x:y].tobytes() for x, y in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["rep", "cluster", "n", "shingles"])
                 yield out.filter(pa.array(same))
 
-    sets = texts.mapInArrow(fetch, "rep long, cluster long, n long, shingles binary")
-    return _by_unit(_units(sets, "cluster", "n", CLUSTER_BLOCK)).select("unit", "rep", "shingles").mapInArrow(lambda it: _whole_groups(it, _confirm), "a long, b long")
+    def sets(part: DataFrame) -> DataFrame:
+        few = part.limit(BROADCAST_CLASSES + 1).count() <= BROADCAST_CLASSES
+        texts = docs.select("doc_id", text).join(F.broadcast(part) if few else part, F.col("doc_id") == F.col("rep")).select("rep", "cluster", "n", "s1", "s2", text)
+        return texts.mapInArrow(fetch, "rep long, cluster long, n long, shingles binary")
+
+    units = _units(sets(wanted.where(F.col("n") <= CLUSTER_BLOCK)), "cluster", "n", CLUSTER_BLOCK)
+    hot, pivots = wanted.where(F.col("n") > CLUSTER_BLOCK), None
+    if not hot.isEmpty():
+        pivots, more = _split(written(sets(hot).select(F.col("cluster").alias("key"), "rep", "shingles"), "large-clusters"), CLUSTER_BLOCK, _linked_pivot)
+        units = units.unionByName(more)
+    links = _by_unit(units).select("unit", "rep", "shingles").mapInArrow(lambda it: _whole_groups(it, _confirm), "a long, b long")
+    return links.unionByName(pivots) if pivots else links
 
 
 def run(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -308,26 +308,53 @@ def test_near_dedup(spark, docs, messy, none):
     assert near_dedup.run(none).count() == 0
 
 
-def test_near_dedup_of_a_large_family(spark, monkeypatch):
-    rng = random.Random(8)
-    base = [f"w{i}" for i in range(150)]
-    texts = []
+def _family(rng):
+    base, texts = [f"w{i}" for i in range(150)], []
     for _ in range(300):
         w = list(base)
         for _ in range(rng.randrange(6)):
             w[rng.randrange(150)] = f"z{rng.randrange(10**6)}"
         texts.append(" ".join(w))
-    sets = [{tuple(w[i : i + 5]) for i in range(146)} for w in map(str.split, texts)]
-    root = list(range(300))
-    for i in range(300):
+    return texts
+
+
+def _chain(rng):
+    """Each text is near the one before, and far from those much earlier."""
+    w, texts = [f"w{i}" for i in range(150)], []
+    for i in range(160):
+        w = w[:]
+        w[i * 3 % 150] = f"z{rng.randrange(10**6)}"
+        texts.append(" ".join(w))
+    return texts
+
+
+def _passage(rng):
+    """A long passage with ends of their own; some of these come twice, a little changed."""
+    texts = []
+    for i in range(140):
+        own = [f"y{rng.randrange(10**6)}" for _ in range(70)]
+        texts += [" ".join([f"w{j}" for j in range(90)] + own)] + [" ".join([f"w{j}" for j in range(90)] + own[:-1] + ["end"])] * (i % 3 == 0)
+    return texts
+
+
+@pytest.mark.parametrize("make", [_family, _chain, _passage])
+@pytest.mark.parametrize("pivots", [1, 4])
+def test_near_dedup_of_large_groups(spark, monkeypatch, make, pivots):
+    texts = make(random.Random(8))
+    random.Random(9).shuffle(texts)
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
         for j in range(i):
-            if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+            if root[i] != root[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
                 a, b = root[i], root[j]
                 root = [min(a, b) if r in (a, b) else r for r in root]
     monkeypatch.setattr(near_dedup, "BUCKET_BLOCK", 40)
     monkeypatch.setattr(near_dedup, "CLUSTER_BLOCK", 32)
-    out = rows(near_dedup.run(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
-    assert [out[i]["component_id"] for i in range(300)] == root
+    monkeypatch.setattr(near_dedup, "PIVOTS", pivots)
+    twice = [*enumerate(texts), *list(enumerate(texts))[:5]]
+    out = rows(near_dedup.run(spark.createDataFrame(twice, "doc_id long, text string")))
+    assert [out[i]["component_id"] for i in range(len(texts))] == root
 
 
 def test_impact_search(spark, monkeypatch):
