@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import impact_search, license_scan, mixing, near_dedup, ngram_model, pii, quality_rules, sentencepiece_codec, token_shards, warc
+from . import impact_search, license_scan, mixing, near_dedup, ngram_model, packing, pii, quality_rules, sentencepiece_codec, token_shards, warc
 from .shared import table
 
 
@@ -52,8 +52,12 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.run(table(spark, sf_dir, "documents"))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.run(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_quality_rules, op3_mixing, op4_pii, op5_warc, op6_token_shards, op7_ngram_model, op8_near_dedup, op9_impact_search, op10_license_scan)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_quality_rules, op3_mixing, op4_pii, op5_warc, op6_token_shards, op7_ngram_model, op8_near_dedup, op9_impact_search, op10_license_scan, op11_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
