@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import impact_search, license_scan, mixing, near_dedup, ngram_model, packing, pii, quality_rules, sentencepiece_codec, token_shards, vector_codes, warc
+from . import collocations, impact_search, license_scan, mixing, near_dedup, ngram_model, packing, pii, quality_rules, sentencepiece_codec, token_shards, vector_codes, warc
 from .shared import table
 
 
@@ -60,9 +60,13 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.run(table(spark, sf_dir, "embeddings"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_quality_rules, op3_mixing, op4_pii, op5_warc, op6_token_shards, op7_ngram_model, op8_near_dedup, op9_impact_search, op10_license_scan, op11_packing, op12_vector_codes)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_quality_rules, op3_mixing, op4_pii, op5_warc, op6_token_shards, op7_ngram_model, op8_near_dedup, op9_impact_search, op10_license_scan, op11_packing, op12_vector_codes, op13_collocations)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": mixing.PLAN_SQL, "op5_warc": warc.PAGES_SQL, "op8_near_dedup": near_dedup.LINKS_SQL, "op9_impact_search": impact_search.TOP_SQL, "op12_vector_codes": vector_codes.CODES_SQL}
+    return {"op3_mixing": mixing.PLAN_SQL, "op5_warc": warc.PAGES_SQL, "op8_near_dedup": near_dedup.LINKS_SQL, "op9_impact_search": impact_search.TOP_SQL, "op12_vector_codes": vector_codes.CODES_SQL, "op13_collocations": collocations.PHRASES_SQL}
