@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from html.parser import HTMLParser
 from textwrap import shorten
+from typing import NamedTuple
 
 _SCALAR = re.compile(r"[^,\[\]{}\n]*")
 _QUOTED = re.compile(r"\"((?:[^\"\\]|\\.)*)\"|'((?:[^']|'')*)'")
@@ -257,10 +258,22 @@ def _strings(x) -> list[str]:
     return [str(v) for v in x] if isinstance(x, list) else []
 
 
+class Keys(NamedTuple):
+    """Names of what data in braces say: what an item is inferred from, a proposition's formula, and what its symbols mean."""
+
+    inference: str = "from"
+    formalization: str = "formalization"
+    declarations: str = "declarations"
+
+
+KEYS = Keys()
+
+
 class _Graph:
     """Propositions, arguments and relations of a body."""
 
-    def __init__(self):
+    def __init__(self, keys: Keys = KEYS):
+        self.keys = keys
         self.propositions: dict[str, dict] = {}
         self.arguments: dict[str, dict] = {}
         self.relations: dict[tuple, list[str]] = {}
@@ -277,9 +290,9 @@ class _Graph:
             if isinstance(given, dict):
                 if "annotation_ids" in given:
                     node["annotation_ids"] = _strings(given["annotation_ids"])
-                if given.get("formalization") is not None:
-                    node["formalization"] = str(given["formalization"])
-                declared = given.get("declarations")
+                if given.get(self.keys.formalization) is not None:
+                    node["formalization"] = str(given[self.keys.formalization])
+                declared = given.get(self.keys.declarations)
                 node["declarations_kind"] = "dict" if isinstance(declared, dict) else "none" if declared is None else "other"
                 node["declarations"] = [{"symbol": str(k), "meaning": str(v)} for k, v in declared.items()] if isinstance(declared, dict) else None
         return key
@@ -319,12 +332,12 @@ class _Graph:
                         self.relate(source, False, key, True, valence, "GROUNDED")
 
 
-def argdown(body: str, from_key: str = "from") -> dict:
+def argdown(body: str, keys: Keys = KEYS) -> dict:
     """The graph of a body; ValueError if it can't be read: a dedent to a level never opened, an unclosed square bracket, an inference without item.
 
     Lines without mark or label right below another one go on with it. Comments, headings and front matter are left out.
     A bare declaration of an argument behind its own items counts as a further, empty gist."""
-    graph, levels, current = _Graph(), [], None
+    graph, levels, current = _Graph(keys), [], None
     rows = _raw_lines(body)
     for place, row in enumerate(rows):
         indent, left = row["indent"], None
@@ -343,7 +356,7 @@ def argdown(body: str, from_key: str = "from") -> dict:
             if current is None:
                 current = graph.node("argument", None, "", None)
             key, is_argument = graph.node("proposition", m["claim"], text, given), False
-            graph.arguments[current]["pcs"].append(_item(m["item"], key, row["inference"], from_key))
+            graph.arguments[current]["pcs"].append(_item(m["item"], key, row["inference"], keys.inference))
         elif m["argument"]:
             key, is_argument = graph.node("argument", m["argument"], text, given), True
             below = place + 1 < len(rows) and rows[place + 1]["indent"] > indent

@@ -242,15 +242,6 @@ RECONSTRUCTION: dict[str, Check] = {
     "NoArgInlineDataHandler": lambda b: one(F.exists(arguments(b), lambda a: a["data"].isNotNull()), "Some arguments contain yaml inline data."),
 }
 
-LOGIC: dict[str, Check] = {
-    "WellFormedFormulasHandler": lambda b: b["logic"]["wellformed"],
-    "GlobalDeductiveValidityHandler": lambda b: b["logic"]["global"],
-    "LocalDeductiveValidityHandler": lambda b: b["logic"]["local"],
-    "AllPremisesRelevantHandler": lambda b: b["logic"]["relevant"],
-    "PremisesConsistentHandler": lambda b: b["logic"]["consistent"],
-    "FormallyGroundedRelationsHandler": lambda b: b["logic"]["grounded"],
-}
-
 
 # Whole requests
 

@@ -1,21 +1,27 @@
 """Fenced code blocks of answers, with what they hold: elements of xml blocks, graphs of argdown blocks.
 
 Blocks are found by a pattern; a small reader goes through each body once, for all of a row's blocks, which stay an array in the row:
-nothing is moved between tasks.
+nothing is moved between tasks, unless answers that repeat, or their formulas, are to be read once (`read`).
 """
 
 from __future__ import annotations
 
-import hashlib
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
+from pyspark import Accumulator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 from argloom.functions import reading
-from argloom.functions.logic import LOGIC, logic_of
 from argloom.functions.texts import altered
 
+from . import inference
+from .inference import _kept
+from .logic import LOGIC, cases_of, declared_in, denied_in, found_in, texts_of, with_items, worded_in
+
 LANGUAGES = ("argdown", "xml")
 ELEMENTS = "array<struct<pos:int,parent:int,depth:int,name:string,id:string,supports:array<string>,attacks:array<string>,argument_label:string,ref_reco_label:string,attributes:array<string>,nested:boolean,text:string,shown:string,brief:string>>"
 GRAPH = (
@@ -41,36 +47,76 @@ def blocks(answers: DataFrame, key: str = "request_id", text: str = "answer") ->
     return out.select(key, "block_pos", "b.dtype", header.alias("header"), body.alias("body"))
 
 
-def _read_one(key: str | None, pos: int, dtype: str, raw: str, source: str | None, from_key: str, logic: bool) -> dict:
+def _read_one(pos: int, dtype: str, raw: str, source: str | None, keys: reading.Keys) -> dict:
     head, _, body = raw.partition("\n")
-    name = f"{dtype}_{hashlib.sha256(f'{key}|{pos}'.encode()).hexdigest()[:16]}"
-    out = {"pos": pos, "id": name, "dtype": dtype, "snippet": f"```{dtype}{raw}\n```", "metadata_kind": "null", "metadata": {}, "elements": None, "graph": None, "error": None, "altered": None, "logic": None}
+    out = {"pos": pos, "dtype": dtype, "snippet": f"```{dtype}{raw}\n```", "metadata_kind": "null", "metadata": []}
     try:
-        out["metadata_kind"], out["metadata"] = reading.header(head.strip())
+        out["metadata_kind"], metadata = reading.header(head.strip())
+        out["metadata"] = list(metadata.items())
         if dtype == "xml":
             out["elements"] = reading.elements(body)
             out["altered"] = altered(source, body, [e["text"] for e in out["elements"] if e["name"] == "proposition"])
         else:
-            out["graph"] = reading.argdown(body, from_key)
-            out["logic"] = logic_of(out["graph"]) if logic else None
+            out["graph"] = reading.argdown(body, keys)
     except (ValueError, RecursionError) as error:
         out["error"] = str(error) or type(error).__name__
     return out
 
 
-def read(requests: DataFrame, key: str = "request_id", text: str = "inputs", source: str | None = None, from_key: str = "from", logic: bool = False) -> DataFrame:
-    """requests with `blocks`: pos, id, dtype, snippet, metadata_kind, metadata, elements, graph, error, altered, logic of each block.
+def _with_blocks(answers: DataFrame, text: str, source: str | None, keys: reading.Keys, counter: Accumulator | None) -> DataFrame:
+    """answers with `blocks`, read in one stage that no filter is pushed below."""
+    kind = to_arrow_type(_parse_datatype_string(f"array<{BLOCK}>"))
 
-    A block that can't be read has an error and neither elements nor graph; it doesn't stop the others. `altered` is what an annotation changed
-    in its source (null without one), `logic` what the formulas of a reconstruction say (only if asked for)."""
-    @F.pandas_udf(f"array<{BLOCK}>")
-    def parse(keys: pd.Series, dtypes: pd.Series, raws: pd.Series, sources: pd.Series) -> pd.Series:
-        rows = zip(keys, dtypes, raws, sources, strict=True)
-        return pd.Series([[_read_one(k, i, d, r, s, from_key, logic) for i, (d, r) in enumerate(zip(ds, rs, strict=True))] if rs is not None else [] for k, ds, rs, s in rows], dtype=object)
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            *given, dtypes, raws, sources = batch.columns
+            found = [[_read_one(i, d, r, s, keys) for i, (d, r) in enumerate(zip(ds, rs, strict=True))] if rs is not None else [] for ds, rs, s in zip(dtypes.to_pylist(), raws.to_pylist(), sources.to_pylist(), strict=True)]
+            if counter is not None:
+                counter.add(len(found))
+            yield pa.RecordBatch.from_arrays([*given, pa.array(found, kind)], names=[*batch.schema.names[:-3], "blocks"])
 
     found = F.concat(*[_fenced(text, x) for x in LANGUAGES])
-    given = F.col(source) if source else F.lit(None).cast("string")
-    return requests.withColumn("blocks", parse(F.col(key).cast("string"), F.transform(found, lambda b: b["dtype"]), F.transform(found, lambda b: b["raw"]), given))
+    rows = answers.select("*", F.transform(found, lambda b: b["dtype"]).alias("_dtypes"), F.transform(found, lambda b: b["raw"]).alias("_raws"), (F.col(source) if source else F.lit(None).cast("string")).alias("_source"))
+    return rows.mapInArrow(parse, StructType([*answers.schema.fields, StructField("blocks", _parse_datatype_string(f"array<{BLOCK}>"))]))
+
+
+def read(requests: DataFrame, key: str = "request_id", text: str = "inputs", source: str | None = None, keys: reading.Keys = reading.KEYS, logic: bool = False, once: bool = False, counter: Accumulator | None = None) -> DataFrame:
+    """requests with `blocks`: pos, id, dtype, snippet, metadata_kind, metadata, elements, graph, error, altered, logic of each block.
+
+    A block that can't be read has an error and neither elements nor graph; it doesn't stop the others. `altered` is what an annotation changed
+    in its source (null without one), `logic` what the formulas of a reconstruction say (only if asked for). With `once` (always for logic) rows with the same
+    text and source share one reading, found by a hash of both: answers move, but each is read a single time. `counter` adds up the texts read."""
+    shared = [text, *([source] if source else [])]
+    if not (once or logic):
+        out = _with_blocks(requests, text, source, keys, counter)
+    else:
+        digest = F.sha2(F.concat_ws("|", *[F.coalesce(F.sha2(F.col(c), 256), F.lit("-")) for c in shared]), 256)
+        named = requests.withColumn("_digest", digest)
+        answers = _with_blocks(named.select("_digest", *shared).dropDuplicates(["_digest"]), text, source, keys, counter).select(F.col("_digest").alias("_d"), "blocks")
+        if logic:
+            answers = with_logic(_kept(answers))
+        out = named.join(answers, F.col("_digest") == F.col("_d")).select(*requests.columns, "blocks")
+    name = lambda b: F.concat(b["dtype"], F.lit("_"), F.substring(F.sha2(F.concat_ws("|", F.coalesce(F.col(key).cast("string"), F.lit("None")), b["pos"]), 256), 1, 16))
+    return out.withColumn("blocks", F.transform("blocks", lambda b: b.withField("id", name(b))))
+
+
+def with_logic(answers: DataFrame, key: str = "_d") -> DataFrame:
+    """answers (by key) with the logic of their blocks: each distinct formula read once, each distinct argument judged once, and both joined back."""
+    texts = answers.select(F.col(key).alias("_t"), F.explode(F.array_distinct(F.flatten(F.transform("blocks", texts_of)))).alias("t"))
+    formulas = inference.described(texts, "t")
+    own = texts.join(formulas, F.col("t") == F.col("text")).groupBy("_t").agg(F.map_from_entries(F.collect_list(F.struct("text", "formula"))).alias("known"))  # the formulas of one answer
+    out = answers.join(own, F.col(key) == F.col("_t"), "left").withColumn("known", F.coalesce("known", F.map_from_entries(F.array().cast(f"array<struct<text:string,formula:{inference.FORMULA}>>"))))
+    out = out.withColumn("_i", F.transform("blocks", lambda b: with_items(b, F.col("known")))).withColumn("_m", F.transform("_i", declared_in)).withColumn("_g", F.transform("_i", found_in))
+    at = lambda c, i: F.get(F.col(c), i)
+    logic = lambda b, i: F.struct(at("_i", i).alias("items"), at("_m", i).alias("declared"), at("_g", i).alias("found"), denied_in(b, at("_g", i), F.col("known")).alias("denied"), F.lit(None).cast(f"map<string,{inference.VERDICT}>").alias("verdicts"), worded_in(at("_g", i), at("_m", i)).alias("formulas"))
+    out = _kept(out.select(key, F.transform("blocks", lambda b, i: b.withField("logic", F.when(b["graph"].isNotNull(), logic(b, i)).cast(LOGIC))).alias("blocks")))
+    cases = out.select(F.col(key).alias("_c"), F.explode(F.flatten(F.transform(F.filter("blocks", lambda b: b["graph"].isNotNull()), cases_of))).alias("c"))
+    cases = _kept(cases.select("_c", inference.key_of(F.col("c.premises"), F.col("c.conclusion")).alias("key"), "c.premises", "c.conclusion"))
+    verdicts = inference.judged(cases.select("key", "premises", "conclusion")).withColumnRenamed("key", "v_key")
+    own = cases.select("_c", "key").distinct().join(verdicts, F.col("key") == F.col("v_key")).groupBy("_c").agg(F.map_from_entries(F.collect_list(F.struct("key", "verdict"))).alias("verdicts"))  # those of one answer
+    out = out.join(own, F.col(key) == F.col("_c"), "left")
+    filled = lambda b: b.withField("logic", F.when(b["logic"].isNotNull(), b["logic"].withField("verdicts", F.coalesce(F.col("verdicts"), b["logic"]["verdicts"]))))
+    return out.select(key, F.transform("blocks", filled).alias("blocks"))
 
 
 def in_role(block: Column, dtype: str, rules: list[tuple[str, str, bool]] = ()) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from argloom.sources.artifacts import CONCLUSIONS, PREMISES
+from argloom.sources.artifacts import CONCLUSIONS, PREDICATE_KEYS, PREMISES
 
 _LINES = "l AS (SELECT l_orderkey AS k, l_linenumber AS n, min(l_partkey) AS p, min(l_suppkey) AS s FROM lineitem GROUP BY ALL)"
 #: Elements of annotations, those inside others too, and per annotation what its propositions amount to.
@@ -132,25 +132,25 @@ SELECT k AS request_id, {real("1.0::DOUBLE / (1 + loose + pcs)")} AS connectedne
     matched, annotated = "count(*) FILTER (NOT unrelated AND NOT nobody)", "count(*) FILTER (NOT unrelated)"
     named = "count(*) FILTER (NOT unrelated AND ids = 'own')"
     out["pair_scores"] = f"{_COMPOUND} SELECT k AS request_id, round_even({matched}::DOUBLE / count(*), 1) AS map_graph_proximity, CASE WHEN {annotated} > 0 THEN round_even({named}::DOUBLE / {annotated}, 1) END AS annotation_graph_proximity FROM o GROUP BY k"
-    out["logic_scores"] = f"""{_truth()} SELECT k AS request_id, 0.0::DOUBLE AS predicate_logic, CASE WHEN NOT flawed THEN CASE k % 3 WHEN 0 THEN 1 WHEN 1 THEN CASE WHEN k % 5 = 0 THEN 0 ELSE 1 END ELSE 1 END::DOUBLE END AS triviality FROM v"""
+    out["logic_scores"] = f"""{_truth()} SELECT k AS request_id, CASE WHEN {PREDICATE_KEYS} THEN 1.0 ELSE 0.0 END::DOUBLE AS predicate_logic, CASE WHEN NOT flawed THEN CASE k % 3 WHEN 0 THEN 1 WHEN 1 THEN CASE WHEN k % 5 = 0 THEN 0 ELSE 1 END ELSE 1 END::DOUBLE END AS triviality FROM v"""
     out["edit_distances"] = "SELECT c_custkey, damerau_levenshtein(c_mktsegment, 'AUTOMOBLIE') AS distance FROM customer"
     out["text_functions"] = """WITH t AS (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS x, len(regexp_extract_all(text, '\\S+')) AS words FROM documents), c AS (SELECT *, regexp_extract(x, '^(.{0,58})(?: |$)', 1) AS head FROM t)
 SELECT doc_id, CASE WHEN x IS NULL THEN NULL WHEN length(x) <= 64 THEN length(x) WHEN head = '' THEN 5 ELSE length(head) + 6 END::BIGINT AS short, words::BIGINT AS words FROM c"""
-    formulas = [("'First'", "'(-R | Q)'", r"'\lnot R \lor Q'", "'(or (not R) Q)'", "'it is false that ' || {R} || ' or else ' || {Q}", "'R,Q'", "true")]
     shapes = {"P": ("P", "P", "P", "{P}", "P"), "P -> Q": ("(P -> Q)", r"P \rightarrow Q", "(=> P Q)", "'if ' || {P} || ', then ' || {Q}", "P,Q"), "-P": ("-P", r"\lnot P", "(not P)", "'it is false that ' || {P}", "P"), "R": ("R", "R", "R", "{R}", "R"),
-              "Q | R": ("(Q | R)", r"Q \lor R", "(or Q R)", "{Q} || ' or ' || {R}", "Q,R"), "Q": ("Q", "Q", "Q", "{Q}", "Q"), "P & Q": ("(P & Q)", r"P \land Q", "(and P Q)", "{P} || ' and ' || {Q}", "P,Q")}
-    quoted = lambda x: "'" + x + "'"
-    for i, (f, m, rest, _) in enumerate(PREMISES, 2):
-        a, b, c, e, y = shapes[f]
-        formulas.append((f"'Premise {i}'", quoted(a), quoted(b), quoted(c), e, quoted(y), f"k % {m} = {rest}"))
-    for i, (f, _) in enumerate(CONCLUSIONS):
-        a, b, c, e, y = shapes[f]
-        formulas.append(("'End'", quoted(a), quoted(b), quoted(c), e, quoted(y), f"k % 3 = {i} AND k % 17 != 0"))
-    meaning = {"{P}": "'it rains'", "{Q}": "CASE WHEN k % 11 = 0 THEN 'Q' ELSE 'streets are wet' END", "{R}": "CASE WHEN k % 11 = 0 THEN 'R' ELSE 'it snows' END"}
+              "Q | R": ("(Q | R)", r"Q \lor R", "(or Q R)", "{Q} || ' or ' || {R}", "Q,R"), "Q": ("Q", "Q", "Q", "{Q}", "Q"), "P & Q": ("(P & Q)", r"P \land Q", "(and P Q)", "{P} || ' and ' || {Q}", "P,Q"), "-R | Q": ("(-R | Q)", r"\lnot R \lor Q", "(or (not R) Q)", "'it is false that ' || {R} || ' or else ' || {Q}", "R,Q")}
+    about = {"P": ("F(a)", "F(a)", "(F a)", "{a} || ' is ' || {F}", "F,a"), "P -> Q": ("all x.(F(x) -> G(x))", r"\forall x: (F(x) \rightarrow G(x))", "(forall ((x UNIVERSAL)) (=> (F x) (G x)))", "'for every x it holds that if x is ' || {F} || ', then x is ' || {G}", "F,G"),
+             "-P": ("-F(a)", r"\lnot F(a)", "(not (F a))", "{a} || ' is not ' || {F}", "F,a"), "R": ("H(a)", "H(a)", "(H a)", "{a} || ' is ' || {H}", "H,a"), "Q | R": ("(G(a) | H(a))", r"G(a) \lor H(a)", "(or (G a) (H a))", "{a} || ' is ' || {G} || ' or ' || {a} || ' is ' || {H}", "G,a,H"),
+             "Q": ("G(a)", "G(a)", "(G a)", "{a} || ' is ' || {G}", "G,a"), "P & Q": ("(F(a) & G(a))", r"F(a) \land G(a)", "(and (F a) (G a))", "{a} || ' is ' || {F} || ' and ' || {a} || ' is ' || {G}", "F,a,G"),
+             "-R | Q": ("all x.(H(x) -> G(x))", r"\forall x: (H(x) \rightarrow G(x))", "(forall ((x UNIVERSAL)) (=> (H x) (G x)))", "'for every x it holds that if x is ' || {H} || ', then x is ' || {G}", "H,G")}
+    bare = lambda x, said: f"CASE WHEN k % 11 = 0 THEN '{x}' ELSE '{said}' END"
+    meaning = {"{P}": "'it rains'", "{Q}": bare("Q", "streets are wet"), "{R}": bare("R", "it snows"), "{F}": "'rainy'", "{G}": bare("G", "wet"), "{H}": bare("H", "snowy"), "{a}": bare("a", "the street")}
+    places = [("First", "-R | Q", "true"), *((f"Premise {i}", f, f"k % {m} = {rest}") for i, (f, m, rest, _) in enumerate(PREMISES, 2)), *(("End", f, f"k % 3 = {i} AND k % 17 != 0") for i, (f, _) in enumerate(CONCLUSIONS))]
     rows = []
-    for p, a, b, c, e, y, when in formulas:
-        for k, v in meaning.items():
-            e = e.replace(k, v)
-        rows.append(f"SELECT k AS request_id, {p} AS proposition, {a} AS formula, {b} AS latex, {c} AS smt, {e} AS english, {y} AS symbols FROM ({orders}) WHERE {when}")
+    for place, f, when in places:
+        for forms, own in ((shapes, f"NOT {PREDICATE_KEYS}"), (about, PREDICATE_KEYS)):
+            a, b, c, e, y = forms[f]
+            for k, v in meaning.items():
+                e = e.replace(k, v)
+            rows.append(f"SELECT k AS request_id, '{place}' AS proposition, '{a}' AS formula, '{b}' AS latex, '{c}' AS smt, {e} AS english, '{y}' AS symbols FROM ({orders}) WHERE {when} AND {own}")
     out["logic_formulas"] = " UNION ALL ".join(rows)
     return out

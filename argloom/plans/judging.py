@@ -13,8 +13,10 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from argloom.functions.reading import KEYS, Keys
 from argloom.operators import checks, coherence, extraction, scores
 from argloom.operators.checks import RESULT, result
+from argloom.operators.logic import LOGIC_CHECKS, well_formed
 
 Rule = tuple[str, str, bool]
 
@@ -94,7 +96,7 @@ def _switched(check: Callable[[Column, Column], Column]) -> Callable[[Column, Co
 ANNO_STEPS = _blocks("Arganno", checks.ANNOTATION, "arganno")
 MAP_STEPS = _blocks("ArgMap", checks.MAP, "argmap")
 RECO_STEPS = _blocks("InfReco", checks.RECONSTRUCTION, "infreco")
-LOGIC_STEPS = [replace(s, between=" - " if "WellFormed" in s.verifier_id else " ") for s in _blocks("LogReco", checks.LOGIC, "infreco")]
+LOGIC_STEPS = [replace(s, between=" - " if "WellFormed" in s.verifier_id else " ") for s in _blocks("LogReco", LOGIC_CHECKS, "infreco")]
 #: The reconstruction checks that compound tasks use.
 NINE = ("HasArgumentsHandler", "HasPCSHandler", "StartsWithPremiseHandler", "EndsWithConclusionHandler", "NoDuplicatePCSLabelsHandler", "HasLabelHandler", "HasInferenceDataHandler", "PropRefsExistHandler", "UsesAllPropsHandler")
 NINE_STEPS = _blocks("InfReco", checks.RECONSTRUCTION, "infreco", only=NINE)
@@ -140,7 +142,7 @@ class Verifier:
     steps: list[Step]
     scorers: dict[str, Callable[[dict[str, Column], Column], Column]] = field(default_factory=dict)
     logic: bool = False
-    options: dict[str, object] = field(default_factory=lambda: {"from_key": "from"})
+    options: dict[str, object] = field(default_factory=lambda: {"from_key": "from", "formalization_key": "formalization", "declarations_key": "declarations"})
 
     def results(self, inputs: str = "inputs") -> Column:
         return F.concat(parse_results(), *[s.results(self.roles, inputs) for s in self.steps])
@@ -293,12 +295,21 @@ def _with_filters(plan: Verifier, filters: dict[str, object]) -> Verifier:
     return replace(plan, roles={n: Role(r.dtype, rules.get(n, r.rules)) for n, r in plan.roles.items()})
 
 
+def _with_keys(plan: Verifier, keys: Keys) -> Verifier:
+    """The plan whose messages name these keys."""
+    own = {"HasInferenceDataHandler": lambda: checks.inference_data(keys.inference), "WellFormedFormulasHandler": lambda: well_formed(keys)}
+    made = lambda s: next((replace(s, check=f()) for n, f in own.items() if s.verifier_id.endswith(n)), s)
+    return plan if keys == KEYS else replace(plan, steps=[made(s) for s in plan.steps])
+
+
 def verify(requests: DataFrame, name: str, config: dict[str, object] | None = None, filters: dict[str, object] | None = None, key: str = "request_id", inputs: str = "inputs", source: str | None = None) -> DataFrame:
     """key, verifier, is_valid, results, scores (name, score) of every request; only valid requests are scored."""
     plan, config = get_verifier(name), config or {}
     validate_config(plan, config)
     plan = _with_filters(plan, filters or {})
-    read = extraction.read(requests, key, inputs, source, str(config.get("from_key", "from")), plan.logic)
+    keys = Keys(*[str(config.get(o, k)) for o, k in zip(("from_key", "formalization_key", "declarations_key"), KEYS, strict=True)])
+    plan = _with_keys(plan, keys)
+    read = extraction.read(requests, key, inputs, source, keys, plan.logic)
     out = read.withColumn("results", plan.results(inputs)).withColumn("is_valid", is_valid(F.col("results")))
     last, given = {r: role.last() for r, role in plan.roles.items()}, F.col(source) if source else F.lit(None).cast("string")
     wanted = {n: s for n, s in plan.scorers.items() if config.get(f"enable_{n}", True)}

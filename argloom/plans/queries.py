@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from argloom.functions.texts import edit_distance, shorten, word_count
 from argloom.operators import checks, coherence, extraction, preference, scores
+from argloom.operators.logic import LOGIC_CHECKS
 from argloom.plans import judging
 from argloom.plans.artifact_sql import artifact_sql
 from argloom.sources import artifacts
@@ -231,7 +232,7 @@ def queries() -> dict[str, Query]:
     out["reco_at_least_two"] = lambda s, d: _check(_reconstructions(s, d), checks.at_least(2), "at_least_two")
     out["reco_parses"] = lambda s, d: _parses(_reconstructions(s, d))
     for name, check in LOGIC.items():
-        out[f"logic_{name}"] = lambda s, d, n=name, c=check: _check(_logical(s, d), checks.LOGIC[c], n, logic=True)
+        out[f"logic_{name}"] = lambda s, d, n=name, c=check: _check(_logical(s, d), LOGIC_CHECKS[c], n, logic=True)
     for name, (kinds, check) in COHERENCE.items():
         out[f"coherence_{name}"] = lambda s, d, k=kinds, c=check: _pair(s, d, k, c)
     out["judge_argmap"] = lambda s, d: _judged(_maps(s, d), "argmap")

@@ -87,21 +87,29 @@ def reconstructions_of(lineitem: DataFrame) -> DataFrame:
 #: Formulas of premises and of the conclusion, by what the key leaves over; each is also SQL over truth values of p, q and r.
 PREMISES = [("P", 2, 0, "p"), ("P -> Q", 3, 0, "NOT p OR q"), ("-P", 7, 0, "NOT p"), ("R", 5, 0, "r"), ("Q | R", 4, 1, "q OR r")]
 CONCLUSIONS = [("Q", "q"), ("R", "r"), ("P & Q", "p AND q")]
+#: The same formulas on one thing, a, or on all things: what they say of a is what the others say.
+PREDICATES = {"P": "F(a)", "P -> Q": "all x.(F(x) -> G(x))", "-P": "-F(a)", "R": "H(a)", "Q | R": "G(a) | H(a)", "Q": "G(a)", "P & Q": "F(a) & G(a)", "-R | Q": "all x.(H(x) -> G(x))"}
+#: Keys whose arguments are written with predicates.
+PREDICATE_KEYS = "k % 9 IN (2, 5)"
 
 
 def logical(lineitem: DataFrame) -> DataFrame:
-    """request_id, inputs: each order an argument with formulas; (1) is always -R | Q, then those of PREMISES that its key has. P is declared wherever it is used."""
+    """request_id, inputs: each order an argument with formulas; (1) is always -R | Q, then those of PREMISES that its key has. P (or F) is declared wherever it is used."""
     k = F.col("k")
-    declared, rain = 'declarations: {Q: "streets are wet", R: "it snows"}', 'P: "it rains"'
     rows = lineitem.groupBy(F.col("l_orderkey").alias("k")).agg(F.count("*").alias("n"))
-    lines = [F.concat(F.lit('(1) [First]: Snow makes streets wet. {formalization: "-R | Q"'), _if(k % 11 == 0, "", f", {declared}"), F.lit("}"))]
-    lines += [F.when(k % m == rest, F.lit(f'({i}) [Premise {i}]: Premise {i} holds. {{formalization: "{f}"' + f", declarations: {{{rain}}}" * ("P" in f) + "}")) for i, (f, m, rest, _) in enumerate(PREMISES, 2)]
+    of = lambda f: F.when(F.expr(PREDICATE_KEYS), PREDICATES[f]).otherwise(f)
+    declared = F.when(F.expr(PREDICATE_KEYS), 'declarations: {G: "wet", H: "snowy"}').otherwise('declarations: {Q: "streets are wet", R: "it snows"}')
+    rain = F.when(F.expr(PREDICATE_KEYS), 'F: "rainy"').otherwise('P: "it rains"')
+    lines = [F.concat(F.lit('(1) [First]: Snow makes streets wet. {formalization: "'), of("-R | Q"), F.lit('"'), _if(k % 11 == 0, "", F.concat(F.lit(", "), declared)), F.lit("}"))]
+    lines += [F.when(k % m == rest, F.concat(F.lit(f'({i}) [Premise {i}]: Premise {i} holds. {{formalization: "'), of(f), F.lit('"'), F.concat(F.lit(", declarations: {"), rain, F.lit("}")) if "P" in f else F.lit(""), F.lit("}"))) for i, (f, m, rest, _) in enumerate(PREMISES, 2)]
     refs = F.array_join(F.concat(F.array(F.lit('"1"')), *[F.when(k % m == rest, F.array(F.lit(f'"{i}"'))).otherwise(F.array().cast("array<string>")) for i, (_, m, rest, _) in enumerate(PREMISES, 2)]), ", ")
     refs = F.when(k % 13 == 0, '"1"').otherwise(refs)
-    end = F.element_at(F.array(*[F.lit(f) for f, _ in CONCLUSIONS]), (k % len(CONCLUSIONS) + 1).cast("int"))
+    end = F.element_at(F.array(*[of(f) for f, _ in CONCLUSIONS]), (k % len(CONCLUSIONS) + 1).cast("int"))
     end = F.when(k % 17 == 0, F.concat(end, F.lit(" &"))).otherwise(end)
     relation = F.when(k % 6 == 2, "\n    <+ [First]").when(k % 6 == 4, "\n    <- [First]").otherwise("")
-    body = F.concat(F.lit("<Weather>: On streets.\n\n"), F.concat_ws("\n", *lines), F.lit("\n-- {from: ["), refs, F.lit(']} --\n(C) [End]: It follows. {formalization: "'), end, F.lit('"'), F.when((k % 3 == 2) & (k % 19 == 0), f', declarations: {{{rain}, Z: "unused"}}').when(k % 3 == 2, f", declarations: {{{rain}}}").when(k % 19 == 0, ', declarations: {Z: "unused"}').otherwise(""), F.lit("}"), relation)
+    own = F.concat_ws(", ", F.when(k % 3 == 2, rain), F.when(F.expr(PREDICATE_KEYS) & (k % 11 != 0), 'a: "the street"'), F.when(k % 19 == 0, 'Z: "unused"'))
+    more = _if(own != "", F.concat(F.lit(", declarations: {"), own, F.lit("}")))
+    body = F.concat(F.lit("<Weather>: On streets.\n\n"), F.concat_ws("\n", *lines), F.lit("\n-- {from: ["), refs, F.lit(']} --\n(C) [End]: It follows. {formalization: "'), end, F.lit('"'), more, F.lit("}"), relation)
     return rows.select(k.alias("request_id"), _fence("argdown", "reconstructions.ad", body).alias("inputs"))
 
 
