@@ -15,25 +15,51 @@ from pyspark.sql import functions as F
 from .reading import plain
 
 
-def distance(a: str, b: str, restricted: bool = True) -> int:
-    """Damerau-Levenshtein distance; restricted: nothing is edited twice (optimal string alignment), a row of the table at a time."""
+def _core(a: str, b: str) -> tuple[str, str]:
+    """Two texts without what they begin and end with in common."""
+    lo, most = 0, min(len(a), len(b))
+    step = most
+    while step:  # the common beginning, by halves
+        if a[lo : lo + step] == b[lo : lo + step] and lo + step <= most:
+            lo += step
+        step //= 2
+    while lo < most and a[lo] == b[lo]:
+        lo += 1
+    a, b = a[lo:], b[lo:]
+    hi, most = 0, min(len(a), len(b))
+    while hi < most and a[-1 - hi] == b[-1 - hi]:
+        hi += 1
+    return a[: len(a) - hi], b[: len(b) - hi]
+
+
+def distance(a: str, b: str, restricted: bool = True, most: int | None = None) -> int:
+    """Damerau-Levenshtein distance; restricted: nothing is edited twice (optimal string alignment), a column of the table at a time.
+
+    A column is two numbers with a bit for each row, where the table rises and where it falls (Hyyrö's recurrence), so a step costs a few
+    operations on long integers. With `most` it ends, with a larger number, once the distance can't be within it."""
     if not restricted:
         return _unrestricted(a, b)
-    x, y = (np.frombuffer(s.encode("utf-32-le"), np.uint32) for s in (a, b))
-    if len(x) > len(y):
-        x, y = y, x
-    steps = np.arange(len(y) + 1)
-    before, last = None, steps.copy()
-    for i in range(len(x)):
-        row = np.empty(len(y) + 1, np.int64)
-        row[0] = i + 1
-        row[1:] = np.minimum(last[1:] + 1, last[:-1] + (y != x[i]))
-        if before is not None and len(y) > 1:
-            swap = (y[1:] == x[i - 1]) & (y[:-1] == x[i])
-            row[2:][swap] = np.minimum(row[2:], before[:-2] + 1)[swap]
-        row = np.minimum.accumulate(row - steps) + steps
-        before, last = last, row
-    return int(last[-1])
+    a, b = _core(a, b)
+    if len(a) > len(b):
+        a, b = b, a
+    if not a or most is not None and len(b) - len(a) > most:
+        return len(b)
+    where: dict[str, int] = {}
+    for i, c in enumerate(a):
+        where[c] = where.get(c, 0) | 1 << i
+    full, top = (1 << len(a)) - 1, 1 << len(a) - 1
+    rises, falls, same, last, out = full, 0, 0, 0, len(a)
+    for j, c in enumerate(b):
+        here = where.get(c, 0)
+        swapped = (~same & here) << 1 & last
+        same = ((here & rises) + rises ^ rises | here | falls | swapped) & full
+        up, down = (falls | ~(same | rises)) & full, same & rises
+        out += bool(up & top) - bool(down & top)
+        if most is not None and out - (len(b) - 1 - j) > most:
+            return most + 1
+        up, down = up << 1 | 1, down << 1
+        rises, falls, last = (down | ~(same | up)) & full, up & same & full, here
+    return out
 
 
 def _unrestricted(a: str, b: str) -> int:
@@ -62,7 +88,7 @@ def relative(a: str, b: str) -> float:
 
 def _within(a: str, b: str, most: int) -> bool:
     """Whether the distance is at most so much; texts far apart in length aren't compared."""
-    return abs(len(a) - len(b)) <= most and (a == b or distance(a, b) <= most)
+    return abs(len(a) - len(b)) <= most and (a == b or distance(a, b, most=most) <= most)
 
 
 #: What a text may differ by, and the words from which on it may be shortened.
@@ -93,20 +119,19 @@ def altered(source: str | None, body: str, propositions: list[str]) -> list[str]
     return out
 
 
+def _stuck(lines: list[str], size: int, times: int) -> bool:
+    """Whether the last line, perhaps cut off, begins what the `size` lines before it have said so many times; blank lines say nothing."""
+    said = {"".join(lines[-1 - size * (i + 1) : -1 - size * i]) for i in range(times)}
+    block = lines[-1 - size : -1]
+    return len(said) == 1 and block[0].startswith(lines[-1]) and any(x.strip() for x in (block if size == 1 else block[1:]))
+
+
 def without_repetitions(answer: str, keep: int = 3, least: int = 16) -> str:
-    """An answer whose end repeats one, two or three lines over and over (the last time perhaps cut off), with `keep` of the repeats."""
+    """An answer whose end repeats one, two or three lines over and over, with `keep` of the repeats and `least` lines at least."""
     lines = answer.split("\n")
-    if len(lines) < least:
-        return answer
     for size in (1, 2, 3):
-        while True:
-            block = lines[-1 - size : -1]
-            repeats = 0
-            while repeats <= keep and lines[-1 - size * (repeats + 1) : -1 - size * repeats] == block:
-                repeats += 1
-            if len(block) < size or repeats <= keep or not block[0].startswith(lines[-1]):
-                break
-            lines.pop()
+        while len(lines) > least and _stuck(lines, size, keep + 1):
+            del lines[-1 - size : -1]
     return "\n".join(lines)
 
 

@@ -110,14 +110,15 @@ def annotation_reconstruction_elements(anno: Column, reco: Column) -> Column:
     return F.concat(every(propositions(anno), of_element), every(arguments(reco), of_argument), F.flatten(F.transform(claims(reco), shared)))
 
 
-#: Steps of an inference that a reference may be away from a conclusion.
-STEPS = 16
-
-
 def used_for(argument: Column, label: Column) -> Column:
-    """Labels of items that the conclusion with the label is inferred from, directly or over other conclusions (STEPS at most; cycles end)."""
-    direct = lambda goals: F.flatten(F.transform(F.filter(argument["pcs"], lambda x: among(x["label"], goals)), lambda x: labels(references(x))))
-    return F.aggregate(F.sequence(F.lit(1), F.least(F.size(argument["pcs"]), F.lit(STEPS))), F.array_distinct(direct(strings(label))), lambda found, _: F.array_distinct(F.concat(found, direct(found))))
+    """Labels of items that the conclusion with the label is inferred from, directly or over other conclusions; cycles end.
+
+    Every turn looks at what the last one found; an argument needs at most as many turns as it has items, and turns with nothing new do nothing."""
+    direct = lambda goals: F.array_distinct(F.flatten(F.transform(F.filter(argument["pcs"], lambda x: among(x["label"], goals)), lambda x: labels(references(x)))))
+    turn = lambda s, _: F.struct(F.concat(s["found"], s["last"]).alias("found"), F.when(F.size(s["last"]) > 0, F.array_except(direct(s["last"]), F.concat(s["found"], s["last"]))).otherwise(strings()).alias("last"))
+    start = F.struct(strings().alias("found"), direct(strings(label)).alias("last"))
+    end = F.aggregate(F.sequence(F.lit(1), F.greatest(F.coalesce(F.size(argument["pcs"]), F.lit(1)), F.lit(1))), start, turn)
+    return F.concat(end["found"], end["last"])
 
 
 def annotation_reconstruction_relations(anno: Column, reco: Column) -> Column:

@@ -29,7 +29,7 @@ GRAPH = (
     "arguments:array<struct<label:string,unlabeled:boolean,texts:array<string>,data:string,annotation_ids:array<string>,pcs:array<struct<label:string,proposition:string,is_conclusion:boolean,inference:string,refs:array<struct<label:string,is_text:boolean>>>>>>,"
     "relations:array<struct<source:string,source_argument:boolean,target:string,target_argument:boolean,valence:string,dialectics:array<string>>>>"
 )
-BLOCK = f"struct<pos:int,id:string,dtype:string,snippet:string,metadata_kind:string,metadata:map<string,string>,elements:{ELEMENTS},graph:{GRAPH},error:string,altered:array<string>,logic:{LOGIC}>"
+BLOCK = f"struct<pos:int,id:string,dtype:string,snippet:string,metadata_kind:string,metadata:map<string,string>,elements:{ELEMENTS},content:string,graph:{GRAPH},error:string,altered:array<string>,logic:{LOGIC}>"
 
 
 def _fenced(text: str, language: str) -> Column:
@@ -54,7 +54,7 @@ def _read_one(pos: int, dtype: str, raw: str, source: str | None, keys: reading.
         out["metadata_kind"], metadata = reading.header(head.strip())
         out["metadata"] = list(metadata.items())
         if dtype == "xml":
-            out["elements"] = reading.elements(body)
+            out["elements"], out["content"] = reading.elements(body), reading.plain(body)
             out["altered"] = altered(source, body, [e["text"] for e in out["elements"] if e["name"] == "proposition"])
         else:
             out["graph"] = reading.argdown(body, keys)
@@ -80,12 +80,13 @@ def _with_blocks(answers: DataFrame, text: str, source: str | None, keys: readin
     return rows.mapInArrow(parse, StructType([*answers.schema.fields, StructField("blocks", _parse_datatype_string(f"array<{BLOCK}>"))]))
 
 
-def read(requests: DataFrame, key: str = "request_id", text: str = "inputs", source: str | None = None, keys: reading.Keys = reading.KEYS, logic: bool = False, once: bool = False, counter: Accumulator | None = None) -> DataFrame:
+def read(requests: DataFrame, key: str = "request_id", text: str = "inputs", source: str | None = None, keys: reading.Keys = reading.KEYS, logic: bool = False, once: bool = False, counter: Accumulator | None = None, verdicts: bool = True) -> DataFrame:
     """requests with `blocks`: pos, id, dtype, snippet, metadata_kind, metadata, elements, graph, error, altered, logic of each block.
 
-    A block that can't be read has an error and neither elements nor graph; it doesn't stop the others. `altered` is what an annotation changed
+    A block that can't be read has an error and neither elements nor graph; it doesn't stop the others. `content` is the text of an annotation without its tags, `altered` is what an annotation changed
     in its source (null without one), `logic` what the formulas of a reconstruction say (only if asked for). With `once` (always for logic) rows with the same
-    text and source share one reading, found by a hash of both: answers move, but each is read a single time. `counter` adds up the texts read."""
+    text and source share one reading, found by a hash of both: answers move, but each is read a single time. `counter` adds up the texts read; without
+    `verdicts` formulas are read, but arguments not judged."""
     shared = [text, *([source] if source else [])]
     if not (once or logic):
         out = _with_blocks(requests, text, source, keys, counter)
@@ -94,13 +95,13 @@ def read(requests: DataFrame, key: str = "request_id", text: str = "inputs", sou
         named = requests.withColumn("_digest", digest)
         answers = _with_blocks(named.select("_digest", *shared).dropDuplicates(["_digest"]), text, source, keys, counter).select(F.col("_digest").alias("_d"), "blocks")
         if logic:
-            answers = with_logic(_kept(answers))
+            answers = with_logic(_kept(answers), verdicts=verdicts)
         out = named.join(answers, F.col("_digest") == F.col("_d")).select(*requests.columns, "blocks")
     name = lambda b: F.concat(b["dtype"], F.lit("_"), F.substring(F.sha2(F.concat_ws("|", F.coalesce(F.col(key).cast("string"), F.lit("None")), b["pos"]), 256), 1, 16))
     return out.withColumn("blocks", F.transform("blocks", lambda b: b.withField("id", name(b))))
 
 
-def with_logic(answers: DataFrame, key: str = "_d") -> DataFrame:
+def with_logic(answers: DataFrame, key: str = "_d", verdicts: bool = True) -> DataFrame:
     """answers (by key) with the logic of their blocks: each distinct formula read once, each distinct argument judged once, and both joined back."""
     texts = answers.select(F.col(key).alias("_t"), F.explode(F.array_distinct(F.flatten(F.transform("blocks", texts_of)))).alias("t"))
     formulas = inference.described(texts, "t")
@@ -109,11 +110,13 @@ def with_logic(answers: DataFrame, key: str = "_d") -> DataFrame:
     out = out.withColumn("_i", F.transform("blocks", lambda b: with_items(b, F.col("known")))).withColumn("_m", F.transform("_i", declared_in)).withColumn("_g", F.transform("_i", found_in))
     at = lambda c, i: F.get(F.col(c), i)
     logic = lambda b, i: F.struct(at("_i", i).alias("items"), at("_m", i).alias("declared"), at("_g", i).alias("found"), denied_in(b, at("_g", i), F.col("known")).alias("denied"), F.lit(None).cast(f"map<string,{inference.VERDICT}>").alias("verdicts"), worded_in(at("_g", i), at("_m", i)).alias("formulas"))
-    out = _kept(out.select(key, F.transform("blocks", lambda b, i: b.withField("logic", F.when(b["graph"].isNotNull(), logic(b, i)).cast(LOGIC))).alias("blocks")))
+    out = (_kept if verdicts else lambda df: df)(out.select(key, F.transform("blocks", lambda b, i: b.withField("logic", F.when(b["graph"].isNotNull(), logic(b, i)).cast(LOGIC))).alias("blocks")))
+    if not verdicts:
+        return out
     cases = out.select(F.col(key).alias("_c"), F.explode(F.flatten(F.transform(F.filter("blocks", lambda b: b["graph"].isNotNull()), cases_of))).alias("c"))
     cases = _kept(cases.select("_c", inference.key_of(F.col("c.premises"), F.col("c.conclusion")).alias("key"), "c.premises", "c.conclusion"))
-    verdicts = inference.judged(cases.select("key", "premises", "conclusion")).withColumnRenamed("key", "v_key")
-    own = cases.select("_c", "key").distinct().join(verdicts, F.col("key") == F.col("v_key")).groupBy("_c").agg(F.map_from_entries(F.collect_list(F.struct("key", "verdict"))).alias("verdicts"))  # those of one answer
+    answered = inference.judged(cases.select("key", "premises", "conclusion")).withColumnRenamed("key", "v_key")
+    own = cases.select("_c", "key").distinct().join(answered, F.col("key") == F.col("v_key")).groupBy("_c").agg(F.map_from_entries(F.collect_list(F.struct("key", "verdict"))).alias("verdicts"))  # those of one answer
     out = out.join(own, F.col(key) == F.col("_c"), "left")
     filled = lambda b: b.withField("logic", F.when(b["logic"].isNotNull(), b["logic"].withField("verdicts", F.coalesce(F.col("verdicts"), b["logic"]["verdicts"]))))
     return out.select(key, F.transform("blocks", filled).alias("blocks"))

@@ -75,8 +75,19 @@ def _nodes(graph: Column) -> Column:
     return F.concat(F.transform(claims(graph), lambda p: F.concat(F.lit("P:"), p["label"])), F.transform(arguments(graph), lambda a: F.concat(F.lit("A:"), a["label"])))
 
 
-def _degrees(graph: Column, end: str) -> Column:
-    return F.transform(_nodes(graph), lambda n: F.size(F.filter(_ends(graph), lambda e: e[end] == n)))
+def _most(graph: Column, end: str) -> Column:
+    """The most edges that a node has at this end: edges sorted by it, counted in one pass; 0 without edges."""
+    ends = F.array_sort(F.transform(_ends(graph), lambda e: e[end]))
+    known = F.array_intersect(ends, _nodes(graph))
+    count = lambda s, x: F.struct(x.alias("node"), F.when(s["node"] == x, s["n"] + 1).otherwise(1).alias("n"), F.greatest(s["most"], F.when(s["node"] == x, s["n"] + 1).otherwise(1)).alias("most"))
+    start = F.struct(F.lit("").alias("node"), F.lit(0).alias("n"), F.lit(0).alias("most"))
+    inside = F.when(F.size(known) == F.size(F.array_distinct(ends)), ends).otherwise(F.filter(ends, lambda x: F.array_contains(known, x)))
+    return F.coalesce(F.aggregate(inside, start, count)["most"], F.lit(0)).cast("double")
+
+
+def _edges_from(graph: Column, end: str) -> Column:
+    """Distinct nodes that have edges at this end."""
+    return F.array_intersect(_nodes(graph), F.transform(_ends(graph), lambda e: e[end]))
 
 
 def _shape(graph: Column) -> Column:
@@ -126,17 +137,17 @@ def map_density(graph: Column) -> Column:
 
 
 def map_max_in_degree(graph: Column) -> Column:
-    return F.coalesce(F.array_max(_degrees(graph, "target")), F.lit(0)).cast("double")
+    return _most(graph, "target")
 
 
 def map_max_out_degree(graph: Column) -> Column:
-    return F.coalesce(F.array_max(_degrees(graph, "source")), F.lit(0)).cast("double")
+    return _most(graph, "source")
 
 
 def map_min_leafs(graph: Column) -> Column:
     """1 less the share of nodes that no edge points at."""
     n = F.size(_nodes(graph))
-    return F.when(n > 0, F.size(F.filter(_degrees(graph, "target"), lambda d: d > 0)) / n).when(n == 0, 0.0)
+    return F.when(n > 0, F.size(_edges_from(graph, "target")) / n).when(n == 0, 0.0)
 
 
 def map_short_labels(graph: Column) -> Column:
@@ -311,16 +322,16 @@ def label_proximity(anno: Column, graph: Column) -> Column:
 # Between 0 and 1
 
 
-def coverage_scorer(anno: Column, source: Column) -> Column:
-    """Annotated characters as a share of all."""
-    top = F.filter(propositions(anno), lambda e: e["parent"].isNull())
-    return F.when(F.length(source) > 0, F.least(_sum(top, lambda e: F.length(e["text"]).cast("double")) / F.length(source), F.lit(1.0)))
+def coverage_scorer(anno: Column) -> Column:
+    """Annotated characters (of nested propositions twice) as a share of the block's own text."""
+    n = F.length(anno["content"])
+    return F.when(n > 0, annotation_coverage(anno) / n).when(n == 0, 0.0)
 
 
-def scope_scorer(anno: Column, source: Column) -> Column:
-    """Propositions as a share of sentences, 1 at most."""
-    n = F.size(sentences(source))
-    return F.when(n > 0, F.least(annotation_scope(anno) / n, F.lit(1.0)))
+def scope_scorer(anno: Column) -> Column:
+    """Propositions as a share of the sentences of the block's own text, 1 at most."""
+    n = F.size(sentences(anno["content"]))
+    return F.when(n > 0, F.least(annotation_scope(anno) / n, F.lit(1.0))).when(n == 0, 0.0)
 
 
 def annotation_density_scorer(anno: Column) -> Column:

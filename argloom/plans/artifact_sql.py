@@ -102,6 +102,15 @@ def artifact_sql() -> dict[str, str]:
     out["anno_has_annotations"] = f"SELECT k AS request_id, 'has_annotations' AS check_id, k % 29 != 0 AS is_valid, CASE WHEN k % 29 = 0 THEN '{no_fence}annotations. No closing ''```''.' ELSE '' END AS message FROM ({orders})"
     out["anno_has_argdown"] = f"SELECT k AS request_id, 'has_argdown' AS check_id, false AS is_valid, '{no_fence}Argdown code. No fenced code block starting with ''```argdown''.' || CASE WHEN k % 29 = 0 THEN ' No closing ''```''.' ELSE '' END AS message FROM ({orders})"
     out["anno_scores"] = f"{_ANNO} SELECT k AS request_id, n_props::DOUBLE AS scope, len(sup)::DOUBLE AS supports, len(att)::DOUBLE AS attacks, round(1 / (1 + len(att)::DOUBLE), 6) AS no_attacks, chars::DOUBLE AS coverage FROM a"
+    out["anno_ratios"] = f"""{_ANNO},
+w AS (SELECT k, sum(chars) + count(*) - 1 AS long, 1 + count(*) FILTER (NOT holds AND n < last) AS sentences FROM (SELECT *, max(n) OVER (PARTITION BY k) AS last FROM e WHERE n < 100) GROUP BY k)
+SELECT k AS request_id, round(chars::DOUBLE / long, 6) AS coverage, round(least(n_props::DOUBLE / sentences, 1), 6) AS scope FROM a JOIN w USING (k)"""
+    out["inference_chains"] = """WITH RECURSIVE o AS (SELECT o_custkey AS k, o_orderkey AS o, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n, count(*) OVER (PARTITION BY o_custkey) AS m FROM orders JOIN customer ON c_custkey = o_custkey),
+r AS (SELECT k, n, CASE WHEN o % 3 = 0 AND n > 2 THEN n - 2 ELSE n - 1 END AS ref FROM o WHERE n > 1 UNION SELECT k, n, n + 1 FROM o WHERE n > 1 AND o % 5 = 0 AND n < m),
+u AS (SELECT k, ref FROM r JOIN (SELECT DISTINCT k, m FROM o) USING (k) WHERE n = m UNION SELECT r.k, r.ref FROM u JOIN r ON r.k = u.k AND r.n = u.ref)
+SELECT k AS request_id, max(m) AS n_items, count(ref) AS n_used, coalesce(string_agg(ref::VARCHAR, ',' ORDER BY ref), '') AS used FROM (SELECT DISTINCT k, m FROM o) LEFT JOIN u USING (k) GROUP BY k"""
+    out["solution_repetitions"] = """WITH t AS (SELECT doc_id, doc_id % 7 + 9 AS head, doc_id % 23 AS times FROM documents), l AS (SELECT *, head + times + 1 AS n, CASE WHEN times > 3 THEN least(times - 3, greatest(head + times + 1 - 16, 0)) ELSE 0 END AS cut FROM t)
+SELECT doc_id, n AS n_before, n - cut AS n_after, md5(repeat('first' || chr(10), head::INT) || repeat('it goes on' || chr(10), (times - cut)::INT) || 'it g') AS left FROM l"""
     out |= {f"map_{n}": f"{_MAP}, q AS (SELECT k, {m} AS message FROM g) SELECT k AS request_id, '{n}' AS check_id, message = '' AS is_valid, message FROM q" for n, m in _MAP_MESSAGES.items()}
     n_map = "loose + (len(twice) > 0)::INT + pcs"
     out["judge_argmap"] = f"{_MAP} SELECT c_custkey AS request_id, coalesce({n_map}, 1) = 0 AS is_valid, coalesce({n_map}, 1)::BIGINT AS n_failed FROM customer LEFT JOIN g ON k = c_custkey"

@@ -167,7 +167,7 @@ _anno_with = lambda f, other: lambda r, source: f(r["arganno"], r[other])  # noq
 
 
 def _anno_scorers(prefix: str) -> dict:
-    return {f"{prefix}_scope_scorer": _anno_source(scores.scope_scorer), f"{prefix}_density_scorer": _anno(scores.annotation_density_scorer), f"{prefix}_coverage_scorer": _anno_source(scores.coverage_scorer)}
+    return {f"{prefix}_scope_scorer": _anno(scores.scope_scorer), f"{prefix}_density_scorer": _anno(scores.annotation_density_scorer), f"{prefix}_coverage_scorer": _anno(scores.coverage_scorer)}
 
 
 def _map_scorers(prefix: str) -> dict:

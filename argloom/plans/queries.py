@@ -7,13 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from argloom.functions.texts import edit_distance, shorten, word_count
+from argloom.functions.texts import edit_distance, remove_repetitions, shorten, word_count
 from argloom.operators import checks, coherence, extraction, preference, scores
 from argloom.operators.logic import LOGIC_CHECKS
 from argloom.plans import judging
 from argloom.plans.artifact_sql import artifact_sql
 from argloom.sources import artifacts
-from argloom.sources.synthetic import annotated_answers, solutions, table
+from argloom.sources.synthetic import PROBLEM_DOCS, annotated_answers, solutions, table
 from argloom.streaming.validity import validity_rate
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,7 +63,7 @@ def _compounds(s: SparkSession, d: str, *kinds: str) -> DataFrame:
 
 def _check(requests: DataFrame, check: checks.Check, check_id: str, dtype: str = "argdown", source: str | None = None, logic: bool = False, message: bool = False) -> DataFrame:
     """request_id, check_id, is_valid of the last block of the type, where the check has something to say."""
-    read = extraction.read(requests, source=source, logic=logic).withColumn("b", extraction.last(dtype)).where("b is not null")
+    read = extraction.read(requests, source=source, logic=logic, verdicts=check is not LOGIC_CHECKS["WellFormedFormulasHandler"]).withColumn("b", extraction.last(dtype)).where("b is not null")
     out = read.select("request_id", check(F.col("b")).alias("m")).where("m is not null")
     own = [F.array_join("m", ", ").alias("message")] if message else []
     return out.select("request_id", F.lit(check_id).alias("check_id"), (F.size("m") == 0).alias("is_valid"), *own)
@@ -127,7 +127,7 @@ COMPOUND_JUDGES = {
 
 def logic_formulas(s: SparkSession, d: str) -> DataFrame:
     """Each formula of the arguments in its syntaxes and in English."""
-    read = extraction.read(_logical(s, d), logic=True).select("request_id", F.inline(F.flatten(F.transform("blocks", lambda b: b["logic"]["formulas"]))))
+    read = extraction.read(_logical(s, d), logic=True, verdicts=False).select("request_id", F.inline(F.flatten(F.transform("blocks", lambda b: b["logic"]["formulas"]))))
     return read.select("request_id", "proposition", "formula", "latex", "smt", "english", F.array_join("symbols", ",").alias("symbols"))
 
 
@@ -189,6 +189,27 @@ def anno_scores(s: SparkSession, d: str) -> DataFrame:
     return read.select("request_id", *[F.round(f(F.col("b")), 6).alias(n.removeprefix("annotation_")) for n, f in scores.ANNOTATION_VIRTUES.items()])
 
 
+def anno_ratios(s: SparkSession, d: str) -> DataFrame:
+    """Annotated characters and propositions as shares of the text and its sentences."""
+    read = extraction.read(_annotations(s, d)).select("request_id", extraction.last("xml").alias("b")).where("b is not null")
+    return read.select("request_id", F.round(scores.coverage_scorer(F.col("b")), 6).alias("coverage"), F.round(scores.scope_scorer(F.col("b")), 6).alias("scope"))
+
+
+def inference_chains(s: SparkSession, d: str) -> DataFrame:
+    """For every item of an argument: how many others its last conclusion is inferred from in the end, over chains with branches and cycles."""
+    read = extraction.read(artifacts.chains(table(s, d, "customer"), table(s, d, "orders"))).select("request_id", extraction.last("argdown")["graph"]["arguments"][0].alias("a"))
+    used = F.array_distinct(coherence.used_for(F.col("a"), F.try_element_at("a.pcs", F.lit(-1))["label"]))
+    return read.select("request_id", F.size("a.pcs").cast("long").alias("n_items"), F.size(used).cast("long").alias("n_used"), F.array_join(F.transform(F.array_sort(F.transform(used, lambda x: x.cast("long"))), lambda x: x.cast("string")), ",").alias("used"))
+
+
+def solution_repetitions(s: SparkSession, d: str) -> DataFrame:
+    """Texts that end in a line over and over, and what is left of them."""
+    t = table(s, d, "documents").withColumn("times", F.pmod("doc_id", F.lit(23)).cast("int"))
+    stuck = F.concat_ws("\n", F.array_repeat(F.lit("first"), F.pmod("doc_id", F.lit(7)).cast("int") + 9), F.array_repeat(F.lit("it goes on"), F.col("times")), F.lit("it g"))
+    left = remove_repetitions(stuck)
+    return t.select("doc_id", F.size(F.split(stuck, "\n")).cast("long").alias("n_before"), F.size(F.split(left, "\n")).cast("long").alias("n_after"), F.md5(left).alias("left"))
+
+
 def reco_scores(s: SparkSession, d: str) -> DataFrame:
     """Virtues and scores of the first argument."""
     read = extraction.read(_reconstructions(s, d)).select("request_id", extraction.last("argdown").alias("b")).where("size(b.graph.arguments) > 0")
@@ -197,7 +218,7 @@ def reco_scores(s: SparkSession, d: str) -> DataFrame:
 
 
 def logic_scores(s: SparkSession, d: str) -> DataFrame:
-    read = extraction.read(_logical(s, d), logic=True).select("request_id", extraction.last("argdown").alias("b"))
+    read = extraction.read(_logical(s, d), logic=True, verdicts=False).select("request_id", extraction.last("argdown").alias("b"))
     return read.select("request_id", F.round(scores.logic_predicate_logic(F.col("b")), 6).alias("predicate_logic"), scores.triviality_scorer(F.col("b")).alias("triviality"))
 
 
@@ -219,7 +240,7 @@ def stream_validity_rate(s: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    plain = (extract_blocks, block_roles, anno_accuracy, anno_has_annotations, anno_has_argdown, map_metrics, dialectics_indirect, dedup_answers, chat_assembly, map_scores, anno_scores, reco_scores, logic_scores, pair_scores, verified, logic_formulas, edit_distances, text_functions, stream_validity_rate)
+    plain = (extract_blocks, block_roles, anno_accuracy, anno_has_annotations, anno_has_argdown, map_metrics, dialectics_indirect, dedup_answers, chat_assembly, map_scores, anno_scores, anno_ratios, inference_chains, solution_repetitions, reco_scores, logic_scores, pair_scores, verified, logic_formulas, edit_distances, text_functions, stream_validity_rate)
     out: dict[str, Query] = {f.__name__: f for f in plain}
     for name, check in ANNOTATION.items():
         out[f"anno_{name}"] = lambda s, d, n=name, c=check: _check(_annotations(s, d), checks.ANNOTATION[c], n, "xml", "source")
@@ -250,7 +271,7 @@ def queries() -> dict[str, Query]:
     return out
 
 
-_SOLUTIONS = "WITH s AS (SELECT source AS problem_id, doc_id AS sol_pos, n_chars, quality = 1 AS is_valid, quality = 0 AS e1, toxic = 1 AS e2 FROM documents JOIN labels USING (doc_id))"
+_SOLUTIONS = f"WITH s AS (SELECT coalesce(source, '') || '/' || coalesce(lang, '') || '/' || (doc_id // {PROBLEM_DOCS}) AS problem_id, doc_id AS sol_pos, n_chars, quality = 1 AS is_valid, quality = 0 AS e1, toxic = 1 AS e2 FROM documents JOIN labels USING (doc_id))"
 _DRAW = "CAST('0x' || substr(md5({}), 1, 12) AS BIGINT) / 281474976710656.0::DOUBLE"
 
 

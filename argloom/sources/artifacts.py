@@ -113,6 +113,21 @@ def logical(lineitem: DataFrame) -> DataFrame:
     return rows.select(k.alias("request_id"), _fence("argdown", "reconstructions.ad", body).alias("inputs"))
 
 
+def chains(customer: DataFrame, orders: DataFrame) -> DataFrame:
+    """request_id, inputs: each customer's orders, numbered, as items of one argument; an order is inferred from the one before it (every third: from the one before that, every
+    fifth: from the next one too), the first is a premise."""
+    rows = orders.groupBy(F.col("o_custkey").alias("k")).agg(F.array_sort(F.collect_list("o_orderkey")).alias("os"))
+    rows = rows.join(customer.select("c_custkey"), F.col("k") == F.col("c_custkey"))
+
+    def item(o, i):
+        n = i + 1
+        refs = F.concat_ws(", ", F.when((o % 3 == 0) & (n > 2), F.format_string('"%d"', n - 2)).otherwise(F.format_string('"%d"', n - 1)), F.when((o % 5 == 0) & (n < F.size("os")), F.format_string('"%d"', n + 1)))
+        return F.concat(F.when(i == 0, "").otherwise(F.concat(F.lit("-- {from: ["), refs, F.lit("]} --\n"))), F.format_string("(%d) [Order %d]: So it was.", n, o))
+
+    body = F.concat(F.lit("<Chain>: One after the other.\n\n"), F.array_join(F.transform("os", item), "\n"))
+    return rows.select(F.col("k").alias("request_id"), _fence("argdown", "reconstructions.ad", body).alias("inputs"))
+
+
 def _nodes_of(orders: DataFrame) -> Column:
     """What is said on an order in an annotation, a map and a reconstruction."""
     o, c = F.col("o_orderkey"), F.col("o_custkey")

@@ -24,8 +24,12 @@ def annotated_answers(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").alias("request_id"), F.concat(F.lit('Here it is.\n```xml {filename="annotation.txt"}\n'), one, F.lit(" "), two, end, F.lit("\n")).alias("answer"))
 
 
+#: Numbers of documents that a problem of a source and language may have.
+PROBLEM_DOCS = 200
+
+
 def solutions(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """problem_id, sol_pos, raw_answer, is_valid, errors: one problem per source, judged by the labels."""
+    """problem_id, sol_pos, raw_answer, is_valid, errors: a problem for each source, language and PROBLEM_DOCS document numbers, judged by the labels."""
     known = labels.select(F.col("doc_id").alias("d"), "quality", "toxic")
     errors = F.filter(F.array(F.when(F.col("quality") == 0, "01_quality"), F.when(F.col("toxic") == 1, "02_toxic")), lambda x: x.isNotNull())
-    return documents.join(known, F.col("doc_id") == F.col("d")).select(F.col("source").alias("problem_id"), F.col("doc_id").alias("sol_pos"), F.col("text").alias("raw_answer"), "n_chars", (F.col("quality") == 1).alias("is_valid"), errors.alias("errors"))
+    return documents.join(known, F.col("doc_id") == F.col("d")).select(F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")), F.floor(F.col("doc_id") / PROBLEM_DOCS).cast("string")).alias("problem_id"), F.col("doc_id").alias("sol_pos"), F.col("text").alias("raw_answer"), "n_chars", (F.col("quality") == 1).alias("is_valid"), errors.alias("errors"))

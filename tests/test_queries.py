@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import time
 
 import duckdb
 import pytest
@@ -140,10 +141,59 @@ def test_distances():
     assert texts.altered(long, "", ["w5 w6", "w9"]) == [] and "missing" in texts.altered(long, "", ["zz"])[0] and "mixup" in texts.altered(long, "", ["w299" * 1, "w298 w299", "w1 w2"])[-1]
 
 
+def test_long_distances():
+    """Texts beyond a machine word against the table of the definition, row by row; a long pair; and bounds."""
+    rng = random.Random(2)
+    for _ in range(60):
+        a = "".join(rng.choice("abcd ") for _ in range(rng.randrange(60, 200)))
+        b = list(a)
+        for _ in range(rng.randrange(40)):
+            i = rng.randrange(len(b) - 1)
+            b[i : i + 2] = rng.choice([[b[i + 1], b[i]], ["x", b[i], b[i + 1]], [b[i]], [rng.choice("abcd"), b[i + 1]]])
+        b = "".join(b)
+        rows = [list(range(len(b) + 1))]
+        for i, c in enumerate(a):
+            rows.append([i + 1])
+            for j, d in enumerate(b):
+                near = [rows[i][j] + (c != d), rows[i + 1][j] + 1, rows[i][j + 1] + 1]
+                rows[i + 1].append(min(near + ([rows[i - 1][j - 1] + 1] if i and j and c == b[j - 1] and a[i - 1] == d else [])))
+        exact = rows[-1][-1]
+        assert texts.distance(a, b) == texts.distance(b, a) == exact
+        for most in (exact - 1, exact, exact + 3):
+            assert texts._within(a, b, most) == (exact <= most)
+    long = "".join(rng.choice("abcdefgh ") for _ in range(33_000))
+    began = time.time()
+    assert texts.distance(long, "q" + long[:-1]) == 2 and not texts._within(long, long[::-1], 300)
+    assert time.time() - began < 10
+
+
 def test_repetitions():
-    head = [f"line {i}" for i in range(14)]
-    assert texts.without_repetitions("\n".join(head + ["again"] * 9 + ["aga"])) == "\n".join(head + ["again"] * 3 + ["again"])
-    assert texts.without_repetitions("\n".join(head)) == "\n".join(head) and texts.without_repetitions("a\na\na") == "a\na\na"
+    head = [f"line {i}" for i in range(16)]
+    cut = lambda lines, **k: texts.without_repetitions("\n".join(lines), **k).split("\n")
+    assert cut([*head, "B", "B", "B", "B", ""]) == [*head, "B", "B", "B", ""] and cut([*head, *["again"] * 9, "aga"]) == [*head, *["again"] * 3, "aga"]
+    assert cut([*head, "B", "B", "B", "B", "C"]) == [*head, "B", "B", "B", "B", "C"] and cut([*head, "B", "B", "B", "B"]) == [*head, "B", "B", "B", "B"]
+    assert cut([*head, *["a", "b"] * 6, "a"]) == [*head, *["a", "b"] * 3, "a"] and cut([*head, *["a", "b", "c"] * 5, ""]) == [*head, *["a", "b", "c"] * 3, ""]
+    assert cut(["x"] * 16) == ["x"] * 16 and cut(["x"] * 40) == ["x"] * 16 and cut([*head, *[""] * 30]) == [*head, *[""] * 30] and cut([*head, *["a", ""] * 9, "a"]) == [*head, *["a", ""] * 9, "a"]
+    assert cut(["x"] * 9, keep=1, least=4) == ["x"] * 4
+
+
+def test_inference_chains(spark):
+    """A chain of 40 steps, a cycle, and what no step leads to."""
+    item = lambda n, *refs: f"(%d) [P%d]: x" % (n, n) if not refs else "-- {from: [%s]} --\n(%d) [P%d]: x" % (", ".join(f'"{r}"' for r in refs), n, n)
+    chain = [item(1), item(2), *[item(n, n - 1) for n in range(3, 43)]]
+    circle = [item(1), item(2, 3), item(3, 2), item(4, 1), item(5, 3)]
+    read = extraction.read(requests(spark, *[fenced(("r", "<A>: g\n\n" + "\n".join(x))) for x in (chain, circle)])).select("request_id", extraction.last("argdown")["graph"]["arguments"][0].alias("a"))
+    used = read.select("request_id", coherence.used_for(F.col("a"), F.try_element_at("a.pcs", F.lit(-1))["label"]).alias("u")).collect()
+    assert {r["request_id"]: {int(x) for x in r["u"]} for r in used} == {0: set(range(2, 42)), 1: {2, 3}}
+
+
+def test_large_maps(spark):
+    """5,000 arguments of one claim, read and measured in seconds."""
+    body = "[C]: c\n" + "\n".join(f"  {'<+' if i % 3 else '<-'} <A{i}>: a" for i in range(5000))
+    b = extraction.read(requests(spark, fenced(("map.ad", body)))).select(extraction.last("argdown").alias("b"))
+    began = time.time()
+    got = b.select(scores.map_max_in_degree(F.col("b")), scores.map_max_out_degree(F.col("b")), scores.map_min_leafs(F.col("b")), scores.map_density(F.col("b")), F.size(checks.MAP["CompleteClaimsHandler"](F.col("b")))).first()
+    assert tuple(got) == (5000.0, 1.0, 1 / 5001, 2 * 5000 / (5001 * 5000), 0) and time.time() - began < 30
 
 
 def test_shapes():
