@@ -1,15 +1,17 @@
 """Verifiers and judges as named plans: lists of steps over a request's blocks, evaluated as one array of results in the request's own row.
 
 `verify(requests, name)` gives the results and scores of every request, `judge(solutions, name)` the evaluation of every solution. No rows move.
-Checks, scores and verifiers can be added by `register_check`, `register_score` and `register_verifier`.
+Checks, scores and verifiers can be added by `register_check`, `register_function`, `register_score` and `register_verifier`.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,7 +64,8 @@ ANNO, ARGDOWN = Role("xml"), Role("argdown")
 
 @dataclass(frozen=True)
 class Step:
-    """A check of whole requests (kind has), of each block in a role (block), or of the last blocks in two roles (pair)."""
+    """A check of whole requests (kind has), of each block in a role (block), of the last blocks in two roles (pair), or of each block in a role by a
+    function of its own that may fail (function): then the block has an invalid result that says so, and nothing else stops."""
 
     verifier_id: str
     kind: str
@@ -78,12 +81,34 @@ class Step:
         if self.kind == "block":
             fit = F.filter("blocks", lambda b: own[0].fits(b) & b["error"].isNull())
             return F.flatten(F.transform(fit, lambda b: result(self.verifier_id, F.array(b["id"]), self.check(b), self.between)))
+        if self.kind == "function":
+            asked = F.filter("blocks", lambda b: own[0].fits(b) & b["error"].isNull())
+            told = _told(self.check)(F.transform(asked, lambda b: F.to_json(b)))
+            said = lambda b, t: F.when(t["error"].isNotNull(), F.array(F.struct(F.lit(self.verifier_id).alias("verifier_id"), checks.strings().alias("refs"), F.lit(False).alias("is_valid"), F.concat(F.lit("Processing error: "), t["error"]).alias("message")))).otherwise(result(self.verifier_id, F.array(b["id"]), t["messages"], self.between))
+            return F.flatten(F.zip_with(asked, told, lambda b, t: said(b, t).cast(RESULT)))
         # Both blocks are bound by the lambda, once; a pair counts only in the order in which blocks are found.
         first, second = own
         pair = F.filter(F.array(F.struct(first.last().alias("a"), second.last().alias("b"))), lambda p: F.coalesce(p["a"]["pos"] < p["b"]["pos"], F.lit(False)))
         return F.flatten(F.transform(pair, lambda p: result(self.verifier_id, F.array(p["a"]["id"], p["b"]["id"]), self.check(p["a"], p["b"]), self.between)))
 
 
+def _told(check: Callable[[dict], list[str] | None]):
+    """What a function says on each block (a dictionary), and how it failed where it did."""
+
+    @F.pandas_udf("array<struct<messages:array<string>,error:string>>")
+    def each(rows: pd.Series) -> pd.Series:
+        def one(block: str) -> dict:
+            try:
+                found = check(json.loads(block))
+                return {"messages": None if found is None else [str(m) for m in found], "error": None}
+            except Exception as error:  # noqa: BLE001: whatever a user's check raises is a result
+                return {"messages": None, "error": str(error) or type(error).__name__}
+
+        return pd.Series([[one(b) for b in bs] for bs in rows], dtype=object)
+
+    return each
+
+
 def _blocks(prefix: str, own: dict[str, checks.Check], role: str, without: tuple[str, ...] = (), only: tuple[str, ...] | None = None, between: str = " ") -> list[Step]:
     return [Step(f"{prefix}.{n}", "block", (role,), c, between) for n, c in own.items() if n not in without and (only is None or n in only)]
 
@@ -233,6 +258,18 @@ def register_check(verifier: str, name: str, check: checks.Check, role: str | No
     VERIFIERS[verifier] = replace(plan, steps=[*plan.steps, Step(name, "block", (role or next(iter(plan.roles)),), check)])
 
 
+def register_function(verifier: str, name: str, function: Callable[[dict], list[str] | None], role: str | None = None) -> None:
+    """Add a Python function of a block (as a dictionary) that gives messages, none if all is well, or None if it has nothing to say. Where it raises, the
+    block gets an invalid result `Processing error: ...`; other checks, blocks and rows go on."""
+    plan = get_verifier(verifier)
+    VERIFIERS[verifier] = replace(plan, steps=[*plan.steps, Step(name, "function", (role or next(iter(plan.roles)),), function)])
+
+
+def executed(plan: Verifier) -> list[str]:
+    """The names of a plan's steps, in the order in which they are evaluated."""
+    return [s.verifier_id for s in plan.steps]
+
+
 def register_score(verifier: str, name: str, score: Callable[[dict[str, Column], Column], Column]) -> None:
     """Add a score; it gets the last block of each role and the source."""
     plan = get_verifier(verifier)

@@ -141,6 +141,29 @@ def test_distances():
     assert texts.altered(long, "", ["w5 w6", "w9"]) == [] and "missing" in texts.altered(long, "", ["zz"])[0] and "mixup" in texts.altered(long, "", ["w299" * 1, "w298 w299", "w1 w2"])[-1]
 
 
+def test_checks_that_fail(spark):
+    """A registered function that raises gives one invalid result; other blocks, checks and rows go on."""
+
+    def short(block):
+        if "bad" in block["snippet"]:
+            raise KeyError("no such thing")
+        return None if not block["graph"]["propositions"] else [] if len(block["graph"]["propositions"]) < 3 else ["too many", "claims"]
+
+    before = dict(judging.VERIFIERS)
+    try:
+        judging.register_function("argmap", "Own.Short", short)
+        df = requests(spark, fenced(("map.ad", "[A]: a")), fenced(("map.ad", "[bad]: a")), fenced(("map.ad", "[A]: a\n\n[B]: b\n\n[C]: c")), fenced(("map.ad", "")), None, fenced(("map.ad", "[A]: a"), ("map.ad", "[B]: bad")))
+        got = {r["request_id"]: [(x["is_valid"], x["message"], len(x["refs"])) for x in r["results"] if x["verifier_id"] == "Own.Short"] for r in judging.verify(df, "argmap").collect()}
+        rest = {r["request_id"]: (r["is_valid"], len(r["results"])) for r in judging.verify(df, "argmap").collect()}
+    finally:
+        judging.VERIFIERS.clear()
+        judging.VERIFIERS.update(before)
+    failed = (False, "Processing error: 'no such thing'", 0)
+    assert got == {0: [(True, None, 1)], 1: [failed], 2: [(False, "too many claims", 1)], 3: [], 4: [], 5: [(True, None, 1), failed]}
+    assert rest[0] == (True, 5) and rest[1] == (False, 5) and rest[3][1] == 4
+    assert judging.executed(judging.get_verifier("argmap"))[0] == "HasArgdownHandler"
+
+
 def test_long_distances():
     """Texts beyond a machine word against the table of the definition, row by row; a long pair; and bounds."""
     rng = random.Random(2)
