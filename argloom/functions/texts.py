@@ -206,9 +206,30 @@ def word_count(text: Column) -> Column:
     return F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
 
 
+#: Words that take a period anywhere.
+ABBREVIATIONS = tuple("mr mrs ms dr prof st jr sr vs etc e.g i.e cf al no vol ed eds fig p pp approx dept est inc ltd co corp gen col sen rep gov hon rev capt sgt mt ca bzw z.b d.h usw nr m mme mlle ej sra".split())
+
+
+def pieces(text: Column) -> Column:
+    """What a text has between blanks that follow a mark, with the marks, trimmed."""
+    return F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+|(?<=[.!?][\"')\]])\s+"), lambda s: F.trim(s)), lambda s: s != "")
+
+
+def last_word(piece: Column) -> Column:
+    """The last word of a piece in lower case, without brackets in front and the period behind."""
+    return F.regexp_extract(F.lower(piece), r"([^\s(\[\"']*)\.$", 1)
+
+
+def sentences_of(text: Column, abbreviations: Column) -> Column:
+    """The sentences of a text: pieces, joined where the first ends in an abbreviation or an initial, or the second goes on in lower case."""
+    open_ = lambda a, b: (F.endswith(a, F.lit(".")) & (F.array_contains(abbreviations, last_word(a)) | last_word(a).rlike(r"^\p{L}$"))) | b.rlike(r"^\p{Ll}")
+    add = lambda s, x: F.when((F.size(s) > 0) & open_(F.coalesce(F.get(s, F.size(s) - 1), F.lit("")), x), F.concat(F.slice(s, F.lit(1), F.size(s) - 1), F.array(F.concat(F.get(s, F.size(s) - 1), F.lit(" "), x)))).otherwise(F.concat(s, F.array(x)))
+    return F.aggregate(pieces(text), F.array().cast("array<string>"), add)
+
+
 def sentences(text: Column) -> Column:
-    """The sentences of a text: what ends in a mark followed by a blank, or at the text's end."""
-    return F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+"), lambda s: F.trim(s)), lambda s: s != "")
+    """The sentences of a text, by known abbreviations (`operators.sentences` learns others)."""
+    return sentences_of(text, F.array(*[F.lit(w) for w in ABBREVIATIONS]))
 
 
 def prefix_matches(text: Column, pattern: str) -> Column:

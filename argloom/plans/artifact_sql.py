@@ -105,6 +105,11 @@ def artifact_sql() -> dict[str, str]:
     out["anno_ratios"] = f"""{_ANNO},
 w AS (SELECT k, sum(chars) + count(*) - 1 AS long, 1 + count(*) FILTER (NOT holds AND n < last) AS sentences FROM (SELECT *, max(n) OVER (PARTITION BY k) AS last FROM e WHERE n < 100) GROUP BY k)
 SELECT k AS request_id, round(chars::DOUBLE / long, 6) AS coverage, round(least(n_props::DOUBLE / sentences, 1), 6) AS scope FROM a JOIN w USING (k)"""
+    out["abbreviations"] = """WITH w AS (SELECT unnest(regexp_extract_all(lower(text), '[^ \\t-\\r]+')) AS w FROM documents), c AS (SELECT CASE WHEN ends_with(w, '.') THEN w[:-2] ELSE w END AS word, count(*) AS n, count(*) FILTER (ends_with(w, '.')) AS p FROM w GROUP BY ALL),
+s AS (SELECT sum(p)::DOUBLE / sum(n) AS share FROM c), l AS (SELECT word, n, p, len(word) - len(replace(word, '.', '')) AS inner_, len(replace(word, '.', '')) AS letters, share FROM c, s WHERE p > 0 AND NOT regexp_matches(word, '[0-9]') AND regexp_matches(word, '[^.]')),
+x AS (SELECT word, n, p AS n_period, 2 * (p * ln(0.99::DOUBLE) + (n - p) * ln(0.01::DOUBLE) - p * ln(share) - (n - p) * ln(1 - share)) * exp(-letters::DOUBLE) * (inner_ + 1) * pow(letters::DOUBLE, -(n - p)::DOUBLE) AS score FROM l)
+SELECT word, n, n_period::BIGINT AS n_period, round(score, 6) AS score FROM x WHERE score >= 0.3"""
+    out["sentence_counts"] = """SELECT o_orderkey, 1 + (o_orderkey % 2 = 0)::BIGINT + 2 * (o_orderkey % 3 = 0)::BIGINT + (o_orderkey % 5 = 0)::BIGINT AS n, 'Dr. Smith saw J. Doe.' AS first FROM orders"""
     out["inference_chains"] = """WITH RECURSIVE o AS (SELECT o_custkey AS k, o_orderkey AS o, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n, count(*) OVER (PARTITION BY o_custkey) AS m FROM orders JOIN customer ON c_custkey = o_custkey),
 r AS (SELECT k, n, CASE WHEN o % 3 = 0 AND n > 2 THEN n - 2 ELSE n - 1 END AS ref FROM o WHERE n > 1 UNION SELECT k, n, n + 1 FROM o WHERE n > 1 AND o % 5 = 0 AND n < m),
 u AS (SELECT k, ref FROM r JOIN (SELECT DISTINCT k, m FROM o) USING (k) WHERE n = m UNION SELECT r.k, r.ref FROM u JOIN r ON r.k = u.k AND r.n = u.ref)

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from argloom.functions.texts import edit_distance, remove_repetitions, shorten, word_count
+from argloom.functions.texts import edit_distance, remove_repetitions, sentences, shorten, word_count
 from argloom.operators import checks, coherence, extraction, preference, scores
+from argloom.operators import sentences as learned
 from argloom.operators.logic import LOGIC_CHECKS
 from argloom.plans import judging
 from argloom.plans.artifact_sql import artifact_sql
@@ -189,6 +190,17 @@ def anno_scores(s: SparkSession, d: str) -> DataFrame:
     return read.select("request_id", *[F.round(f(F.col("b")), 6).alias(n.removeprefix("annotation_")) for n, f in scores.ANNOTATION_VIRTUES.items()])
 
 
+def abbreviations(s: SparkSession, d: str) -> DataFrame:
+    """Words of all documents that nearly always have a period."""
+    return learned.abbreviations(table(s, d, "documents")).withColumn("score", F.round("score", 6))
+
+
+def sentence_counts(s: SparkSession, d: str) -> DataFrame:
+    """Sentences of made letters: names with titles and initials, lists, and what goes on in lower case."""
+    said = F.concat(F.lit("Dr. Smith saw J. Doe."), F.when(F.col("o_orderkey") % 2 == 0, " He paid approx. ten, e.g. in coins!").otherwise(""), F.when(F.col("o_orderkey") % 3 == 0, " Why? nobody knows. (See fig. 2.)").otherwise(""), F.when(F.col("o_orderkey") % 5 == 0, " The end").otherwise(""))
+    return table(s, d, "orders").select("o_orderkey", F.size(sentences(said)).cast("long").alias("n"), F.get(sentences(said), F.lit(0)).alias("first"))
+
+
 def anno_ratios(s: SparkSession, d: str) -> DataFrame:
     """Annotated characters and propositions as shares of the text and its sentences."""
     read = extraction.read(_annotations(s, d)).select("request_id", extraction.last("xml").alias("b")).where("b is not null")
@@ -240,7 +252,7 @@ def stream_validity_rate(s: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    plain = (extract_blocks, block_roles, anno_accuracy, anno_has_annotations, anno_has_argdown, map_metrics, dialectics_indirect, dedup_answers, chat_assembly, map_scores, anno_scores, anno_ratios, inference_chains, solution_repetitions, reco_scores, logic_scores, pair_scores, verified, logic_formulas, edit_distances, text_functions, stream_validity_rate)
+    plain = (extract_blocks, block_roles, anno_accuracy, anno_has_annotations, anno_has_argdown, map_metrics, dialectics_indirect, dedup_answers, chat_assembly, map_scores, anno_scores, anno_ratios, abbreviations, sentence_counts, inference_chains, solution_repetitions, reco_scores, logic_scores, pair_scores, verified, logic_formulas, edit_distances, text_functions, stream_validity_rate)
     out: dict[str, Query] = {f.__name__: f for f in plain}
     for name, check in ANNOTATION.items():
         out[f"anno_{name}"] = lambda s, d, n=name, c=check: _check(_annotations(s, d), checks.ANNOTATION[c], n, "xml", "source")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from argloom.functions import formulas, reading, texts
 from argloom.functions.graphs import shape
+from argloom.operators import sentences as learned
 from argloom.operators import checks, coherence, extraction, preference, problems, scores
 from argloom.plans import judging
 from argloom.plans.queries import oracle_sql, queries
@@ -141,6 +142,21 @@ def test_distances():
     assert texts.altered(long, "", ["w5 w6", "w9"]) == [] and "missing" in texts.altered(long, "", ["zz"])[0] and "mixup" in texts.altered(long, "", ["w299" * 1, "w298 w299", "w1 w2"])[-1]
 
 
+def test_sentences(spark, monkeypatch):
+    """Abbreviations of a corpus, and texts cut by them, whether the model is sent or joined."""
+    texts_ = ["The Abt. came at night. It left.", "An Abt. of ours. Nobody saw the Abt. there.", "He met the king. The king left. They saw a king."] * 30 + [None, "", " ... "] + ["one night he left us there and ours was left there that night with ours"] * 9
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts_)], "id long, text string")
+    model = learned.abbreviations(df)
+    assert {r["word"] for r in model.collect()} == {"abt"}
+    want = {0: ["The Abt. came at night.", "It left."], 1: ["An Abt. of ours.", "Nobody saw the Abt. there."], 2: ["He met the king.", "The king left.", "They saw a king."], 90: None, 91: [], 92: ["..."]}
+    for sent in (10, 0):
+        monkeypatch.setattr(learned, "SENT", sent)
+        got = {r["id"]: r["sentences"] for r in learned.cut(df, model, "id").collect()}
+        assert len(got) == 102 and all(got[i] == x for i, x in want.items())
+    one = lambda t: spark.range(1).select(texts.sentences(F.lit(t))).first()[0]
+    assert one("Dr. Smith came.") == ["Dr. Smith came."] and one("He left (cf. Vol. 2). Then J. R. Doe came! \"Why?\" she said. No") == ["He left (cf. Vol. 2).", "Then J. R. Doe came!", "\"Why?\" she said.", "No"]
+
+
 def test_checks_that_fail(spark):
     """A registered function that raises gives one invalid result; other blocks, checks and rows go on."""
 
