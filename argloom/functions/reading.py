@@ -10,18 +10,27 @@ from typing import NamedTuple
 _SCALAR = re.compile(r"[^,\[\]{}\n]*")
 _QUOTED = re.compile(r"\"((?:[^\"\\]|\\.)*)\"|'((?:[^']|'')*)'")
 _KEY = re.compile(r"([^,\[\]{}:\"'\n]+?)\s*:(?=[\s\[{\"']|$)")
-_WORDS = {"true": True, "false": False, "null": None, "~": None, "": None}
+#: Plain scalars of YAML 1.1.
+_WORDS = {x: v for v, words in ((True, "true yes on"), (False, "false no off")) for w in words.split() for x in (w, w.title(), w.upper())} | {"null": None, "Null": None, "NULL": None, "~": None, "": None}
+_INT = re.compile(r"([-+]?)(?:0b([01_]+)|0x([0-9a-fA-F_]+)|(0[0-7_]*)|([1-9][0-9_]*)|([1-9][0-9_]*(?::[0-5]?[0-9])+))")
+_FLOAT = re.compile(r"[-+]?(?:[0-9][0-9_]*\.[0-9_]*(?:[eE][-+][0-9]+)?|\.[0-9][0-9_]*(?:[eE][-+][0-9]+)?|\.(?:inf|Inf|INF))|\.(?:nan|NaN|NAN)")
 
 
 def _scalar(text: str):
+    """A plain scalar by its form: yes and no are truth values, 010 is eight, 1_000 a thousand, 1:30 ninety, nan and 1e3 are text."""
     text = text.strip()
-    if text.lower() in _WORDS:
-        return _WORDS[text.lower()]
-    for kind in (int, float):
-        try:
-            return kind(text)
-        except ValueError:
-            pass
+    if text in _WORDS:
+        return _WORDS[text]
+    if m := _INT.fullmatch(text):
+        sign, *forms = m.groups()
+        base, digits = next((b, d) for b, d in zip((2, 16, 8, 10, 60), forms, strict=True) if d is not None)
+        digits = digits.replace("_", "")
+        value = 0
+        for part in digits.split(":") if base == 60 else ():
+            value = 60 * value + int(part)
+        return (-1 if sign == "-" else 1) * (value if base == 60 else int(digits or "0", base))
+    if _FLOAT.fullmatch(text):
+        return float(text.replace("_", "").lower().replace(".inf", "inf").replace(".nan", "nan"))
     return text
 
 

@@ -95,14 +95,14 @@ def _within(a: str, b: str, most: int) -> bool:
 TOLERANCE, SHORTENING_FROM = 0.01, 200
 
 
-def altered(source: str | None, body: str, propositions: list[str]) -> list[str] | None:
+def altered(source: str | None, body: str, propositions: list[str], tolerance: float = TOLERANCE, shortening_from: int = SHORTENING_FROM) -> list[str] | None:
     """What an annotation changed in its source; null without a source. Long sources may be shortened, but propositions stay in order."""
     if source is None:
         return None
     own = plain(body)
-    if len(source.split()) <= SHORTENING_FROM:
+    if len(source.split()) <= shortening_from:
         a, b = ("".join("\n".join(wrap(" ".join(x.split()), 60)).split()) for x in (source, own))
-        if _within(a, b, int(TOLERANCE * max(len(a), len(b)))):
+        if _within(a, b, int(tolerance * max(len(a), len(b)))):
             return []
         lines = (wrap(" ".join(x.split()), 60) for x in (source, own))
         diff = "\n".join(unified_diff(*lines, n=2, lineterm=""))

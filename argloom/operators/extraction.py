@@ -16,7 +16,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 from argloom.functions import reading
-from argloom.functions.texts import altered
+from argloom.functions.texts import SHORTENING_FROM, TOLERANCE, altered
 
 from . import inference
 from .inference import _kept
@@ -47,7 +47,7 @@ def blocks(answers: DataFrame, key: str = "request_id", text: str = "answer") ->
     return out.select(key, "block_pos", "b.dtype", header.alias("header"), body.alias("body"))
 
 
-def _read_one(pos: int, dtype: str, raw: str, source: str | None, keys: reading.Keys) -> dict:
+def _read_one(pos: int, dtype: str, raw: str, source: str | None, keys: reading.Keys, integrity: tuple[float, int]) -> dict:
     head, _, body = raw.partition("\n")
     out = {"pos": pos, "dtype": dtype, "snippet": f"```{dtype}{raw}\n```", "metadata_kind": "null", "metadata": []}
     try:
@@ -55,7 +55,7 @@ def _read_one(pos: int, dtype: str, raw: str, source: str | None, keys: reading.
         out["metadata"] = list(metadata.items())
         if dtype == "xml":
             out["elements"], out["content"] = reading.elements(body), reading.plain(body)
-            out["altered"] = altered(source, body, [e["text"] for e in out["elements"] if e["name"] == "proposition"])
+            out["altered"] = altered(source, body, [e["text"] for e in out["elements"] if e["name"] == "proposition"], *integrity)
         else:
             out["graph"] = reading.argdown(body, keys)
     except (ValueError, RecursionError) as error:
@@ -63,14 +63,14 @@ def _read_one(pos: int, dtype: str, raw: str, source: str | None, keys: reading.
     return out
 
 
-def _with_blocks(answers: DataFrame, text: str, source: str | None, keys: reading.Keys, counter: Accumulator | None) -> DataFrame:
+def _with_blocks(answers: DataFrame, text: str, source: str | None, keys: reading.Keys, counter: Accumulator | None, integrity: tuple[float, int]) -> DataFrame:
     """answers with `blocks`, read in one stage that no filter is pushed below."""
     kind = to_arrow_type(_parse_datatype_string(f"array<{BLOCK}>"))
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             *given, dtypes, raws, sources = batch.columns
-            found = [[_read_one(i, d, r, s, keys) for i, (d, r) in enumerate(zip(ds, rs, strict=True))] if rs is not None else [] for ds, rs, s in zip(dtypes.to_pylist(), raws.to_pylist(), sources.to_pylist(), strict=True)]
+            found = [[_read_one(i, d, r, s, keys, integrity) for i, (d, r) in enumerate(zip(ds, rs, strict=True))] if rs is not None else [] for ds, rs, s in zip(dtypes.to_pylist(), raws.to_pylist(), sources.to_pylist(), strict=True)]
             if counter is not None:
                 counter.add(len(found))
             yield pa.RecordBatch.from_arrays([*given, pa.array(found, kind)], names=[*batch.schema.names[:-3], "blocks"])
@@ -80,20 +80,20 @@ def _with_blocks(answers: DataFrame, text: str, source: str | None, keys: readin
     return rows.mapInArrow(parse, StructType([*answers.schema.fields, StructField("blocks", _parse_datatype_string(f"array<{BLOCK}>"))]))
 
 
-def read(requests: DataFrame, key: str = "request_id", text: str = "inputs", source: str | None = None, keys: reading.Keys = reading.KEYS, logic: bool = False, once: bool = False, counter: Accumulator | None = None, verdicts: bool = True) -> DataFrame:
+def read(requests: DataFrame, key: str = "request_id", text: str = "inputs", source: str | None = None, keys: reading.Keys = reading.KEYS, logic: bool = False, once: bool = False, counter: Accumulator | None = None, verdicts: bool = True, integrity: tuple[float, int] = (TOLERANCE, SHORTENING_FROM)) -> DataFrame:
     """requests with `blocks`: pos, id, dtype, snippet, metadata_kind, metadata, elements, graph, error, altered, logic of each block.
 
     A block that can't be read has an error and neither elements nor graph; it doesn't stop the others. `content` is the text of an annotation without its tags, `altered` is what an annotation changed
-    in its source (null without one), `logic` what the formulas of a reconstruction say (only if asked for). With `once` (always for logic) rows with the same
+    in its source (null without one; `integrity`: by what share a text may differ, and the words from which on it may be shortened), `logic` what the formulas of a reconstruction say (only if asked for). With `once` (always for logic) rows with the same
     text and source share one reading, found by a hash of both: answers move, but each is read a single time. `counter` adds up the texts read; without
     `verdicts` formulas are read, but arguments not judged."""
     shared = [text, *([source] if source else [])]
     if not (once or logic):
-        out = _with_blocks(requests, text, source, keys, counter)
+        out = _with_blocks(requests, text, source, keys, counter, integrity)
     else:
         digest = F.sha2(F.concat_ws("|", *[F.coalesce(F.sha2(F.col(c), 256), F.lit("-")) for c in shared]), 256)
         named = requests.withColumn("_digest", digest)
-        answers = _with_blocks(named.select("_digest", *shared).dropDuplicates(["_digest"]), text, source, keys, counter).select(F.col("_digest").alias("_d"), "blocks")
+        answers = _with_blocks(named.select("_digest", *shared).dropDuplicates(["_digest"]), text, source, keys, counter, integrity).select(F.col("_digest").alias("_d"), "blocks")
         if logic:
             answers = with_logic(_kept(answers), verdicts=verdicts)
         out = named.join(answers, F.col("_digest") == F.col("_d")).select(*requests.columns, "blocks")

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from argloom.functions.reading import KEYS, Keys
+from argloom.functions.texts import SHORTENING_FROM, TOLERANCE
 from argloom.operators import checks, coherence, extraction, scores
 from argloom.operators.checks import RESULT, result
 from argloom.operators.logic import LOGIC_CHECKS, well_formed
@@ -167,7 +168,7 @@ class Verifier:
     steps: list[Step]
     scorers: dict[str, Callable[[dict[str, Column], Column], Column]] = field(default_factory=dict)
     logic: bool = False
-    options: dict[str, object] = field(default_factory=lambda: {"from_key": "from", "formalization_key": "formalization", "declarations_key": "declarations"})
+    options: dict[str, object] = field(default_factory=lambda: {"from_key": "from", "formalization_key": "formalization", "declarations_key": "declarations", "levenshtein_tolerance": TOLERANCE, "allow_source_text_shortening_wc_threshold": SHORTENING_FROM})
 
     def results(self, inputs: str = "inputs") -> Column:
         return F.concat(parse_results(), *[s.results(self.roles, inputs) for s in self.steps])
@@ -346,7 +347,8 @@ def verify(requests: DataFrame, name: str, config: dict[str, object] | None = No
     plan = _with_filters(plan, filters or {})
     keys = Keys(*[str(config.get(o, k)) for o, k in zip(("from_key", "formalization_key", "declarations_key"), KEYS, strict=True)])
     plan = _with_keys(plan, keys)
-    read = extraction.read(requests, key, inputs, source, keys, plan.logic)
+    integrity = float(config.get("levenshtein_tolerance", TOLERANCE)), int(config.get("allow_source_text_shortening_wc_threshold", SHORTENING_FROM))
+    read = extraction.read(requests, key, inputs, source, keys, plan.logic, integrity=integrity)
     out = read.withColumn("results", plan.results(inputs)).withColumn("is_valid", is_valid(F.col("results")))
     last, given = {r: role.last() for r, role in plan.roles.items()}, F.col(source) if source else F.lit(None).cast("string")
     wanted = {n: s for n, s in plan.scorers.items() if config.get(f"enable_{n}", True)}

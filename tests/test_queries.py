@@ -142,6 +142,22 @@ def test_distances():
     assert texts.altered(long, "", ["w5 w6", "w9"]) == [] and "missing" in texts.altered(long, "", ["zz"])[0] and "mixup" in texts.altered(long, "", ["w299" * 1, "w298 w299", "w1 w2"])[-1]
 
 
+def test_plain_scalars():
+    said = {"yes": True, "Off": False, "yEs": "yEs", "010": 8, "0": 0, "1_000": 1000, "0x1F": 31, "0b101": 5, "1:30": 90, "-7": -7, "nan": "nan", ".5": 0.5, "1e3": "1e3", "1.5e+3": 1500.0, "-.inf": float("-inf"), "~": None, "": None, "09": "09", "a b": "a b"}
+    for text, value in said.items():
+        got = reading.data("{k: %s}" % text)["k"]
+        assert got == value and type(got) is type(value), text
+    assert reading.data("{k: .nan}")["k"] != reading.data("{k: .nan}")["k"]
+
+
+def test_integrity_options(spark):
+    df = requests(spark, "```xml\n<proposition id=\"1\">one two three four</proposition> five\n```\n", source="one two three fourth five and six")
+    wrong = lambda config: [x["message"] for x in judging.verify(df, "arganno", config, source="source").first()["results"] if "SourceTextIntegrity" in x["verifier_id"]][0]
+    assert "Diff" in wrong({}) and wrong({"levenshtein_tolerance": 0.5}) is None and wrong({"allow_source_text_shortening_wc_threshold": 3}) is None
+    with pytest.raises(judging.InvalidConfigError):
+        judging.verify(df, "arganno", {"levenshtein_tolerance": "much"})
+
+
 def test_sentences(spark, monkeypatch):
     """Abbreviations of a corpus, and texts cut by them, whether the model is sent or joined."""
     texts_ = ["The Abt. came at night. It left.", "An Abt. of ours. Nobody saw the Abt. there.", "He met the king. The king left. They saw a king."] * 30 + [None, "", " ... "] + ["one night he left us there and ours was left there that night with ours"] * 9
