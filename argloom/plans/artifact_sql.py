@@ -37,14 +37,26 @@ _MAP_MESSAGES = {
     "no_pcs": "CASE WHEN pcs = 1 THEN 'Found detailed reconstruction of individual argument(s) <Reco ' || k || '> as premise-conclusion-structures.' ELSE '' END",
 }
 
-#: Items of reconstructions: what is inferred from what, by key and number of lines.
-_RECO = """WITH b AS (SELECT l_orderkey AS k, count(DISTINCT l_linenumber) AS n FROM lineitem GROUP BY l_orderkey),
-c AS (SELECT *, k % 41 != 0 AS present, k % 17 != 0 AS named, k % 4 = 1 AS other, k % 7 != 0 AND k % 14 NOT IN (1, 3) AS listed, n - (k % 5 = 0)::INT AS n_used, (k % 3 = 0)::INT AS n_wrong, k % 13 = 0 AS turned FROM b WHERE k % 37 != 0 OR k % 41 = 0)"""
+#: Reconstructions as tables: arguments, their items in order, what conclusions are inferred from, and propositions outside; checks are evaluated on these alone.
+_RECO = """WITH o AS (SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_orderkey % 37 != 0 OR l_orderkey % 41 = 0), full_ AS (SELECT k FROM o WHERE k % 41 != 0),
+lines AS (SELECT DISTINCT l_orderkey AS k, l_linenumber AS n, min(l_linenumber) OVER (PARTITION BY l_orderkey) AS first FROM lineitem WHERE l_orderkey IN (SELECT k FROM full_)),
+args AS (SELECT k, 1 AS pos, CASE WHEN k % 17 != 0 THEN 'Order ' || k END AS label, (k % 17 != 0 AND k % 6 != 1)::INT AS gists, k % 17 != 0 AND k % 9 = 4 AS data FROM full_ UNION ALL SELECT k, 2, 'Other', CASE WHEN k % 12 = 5 THEN 2 ELSE 1 END, false FROM full_ WHERE k % 4 = 1),
+items AS (SELECT k, n + CASE WHEN k % 13 = 0 THEN 100 ELSE 0 END AS ord, n::VARCHAR AS label, false AS ends, NULL AS kind, false AS data FROM lines
+  UNION ALL SELECT k, 50, CASE WHEN k % 11 = 0 THEN min(n)::VARCHAR ELSE 'C' END, true, CASE WHEN k % 7 = 0 THEN 'none' WHEN k % 14 = 1 THEN 'no key' WHEN k % 14 = 3 THEN 'no list' ELSE 'list' END, k % 23 = 0 FROM lines GROUP BY k),
+refs AS (SELECT r.* FROM (SELECT k, n::VARCHAR AS label, k % 10 != 7 AS is_text FROM lines WHERE k % 5 != 0 OR n > first UNION ALL SELECT k, '99', false FROM full_ WHERE k % 3 = 0) r WHERE k IN (SELECT k FROM items WHERE kind = 'list')),
+loose AS (SELECT k, 'Extra' AS label, false AS related FROM full_ WHERE k % 19 = 0 UNION ALL SELECT k, unnest(['One', 'Two']), true FROM full_ WHERE k % 8 = 3),
+x AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY ord) AS place, count(*) OVER (PARTITION BY k) AS n FROM items),
+a AS (SELECT k, count(*) AS n_args, max(gists) AS most_gists, min(gists) AS least_gists, bool_and(label IS NOT NULL) AS labeled, bool_or(data) AS data, bool_or(pos > 1) AS lacking FROM args GROUP BY k),
+i AS (SELECT k, bool_or(ends AND place = 1) AS begins_wrong, bool_or(NOT ends AND place = n) AS ends_wrong, count(DISTINCT label) < count(*) AS twice, bool_or(data) AS data, bool_and(kind = 'list') FILTER (ends) AS listed, count(*) FILTER (ends AND place < n) AS between,
+  count(*) FILTER (NOT ends) AS premises, count(*) FILTER (ends) AS conclusions, count(*) FILTER (place < n AND NOT EXISTS (SELECT 1 FROM refs r WHERE r.k = x.k AND r.label = x.label AND r.is_text)) AS unused FROM x GROUP BY k),
+r AS (SELECT refs.k, count(*) AS n, count(*) FILTER (NOT EXISTS (SELECT 1 FROM x b, x e WHERE b.k = refs.k AND e.k = refs.k AND e.ends AND b.place < e.place AND b.label = refs.label)) AS wrong FROM refs GROUP BY refs.k),
+l AS (SELECT k, count(*) AS n, bool_or(related) AS related FROM loose GROUP BY k),
+c AS (SELECT o.k, a.k IS NOT NULL AS present, coalesce(n_args, 0) AS n_args, most_gists, least_gists, labeled, a.data AS arg_data, lacking, begins_wrong, ends_wrong, twice, i.data AS item_data, listed, between, premises, conclusions, unused, coalesce(r.n, 0) AS n_refs, coalesce(wrong, 0) AS wrong, coalesce(l.n, 0) AS n_loose, coalesce(related, false) AS related
+  FROM o LEFT JOIN a ON a.k = o.k LEFT JOIN i ON i.k = o.k LEFT JOIN r ON r.k = o.k LEFT JOIN l ON l.k = o.k)"""
 _RECO_VALID = {
-    "has_arguments": "present", "has_unique_argument": "present AND NOT other", "has_pcs": "NOT other", "starts_with_premise": "NOT present OR NOT turned", "ends_with_conclusion": "NOT present OR NOT turned", "not_multiple_gists": "NOT present OR k % 12 != 5",
-    "unique_labels": "NOT present OR k % 11 != 0", "has_label": "NOT present OR named", "has_gist": "NOT present OR named AND k % 6 != 1", "inference_data": "NOT present OR listed AND n_used + n_wrong > 0",
-    "references_exist": "NOT present OR NOT listed OR CASE WHEN turned THEN n_used + n_wrong = 0 ELSE n_wrong = 0 END", "uses_all": "NOT present OR listed AND k % 10 != 7 AND CASE WHEN turned THEN k % 11 = 0 AND k % 5 != 0 ELSE k % 5 != 0 END",
-    "no_extra_propositions": "NOT present OR k % 19 != 0 AND k % 8 != 3", "only_grounded_relations": "NOT present OR k % 8 != 3", "no_prop_inline_data": "NOT present OR k % 23 != 0", "no_arg_inline_data": "NOT present OR NOT named OR k % 9 != 4", "at_least_two": "present AND other",
+    "has_arguments": "present", "has_unique_argument": "n_args = 1", "has_pcs": "NOT lacking", "starts_with_premise": "NOT present OR NOT begins_wrong", "ends_with_conclusion": "NOT present OR NOT ends_wrong", "not_multiple_gists": "NOT present OR most_gists <= 1",
+    "unique_labels": "NOT present OR NOT twice", "has_label": "NOT present OR labeled", "has_gist": "NOT present OR least_gists > 0", "inference_data": "NOT present OR listed AND n_refs > 0", "references_exist": "wrong = 0", "uses_all": "NOT present OR unused = 0",
+    "no_extra_propositions": "n_loose = 0", "only_grounded_relations": "NOT related", "no_prop_inline_data": "NOT present OR NOT item_data", "no_arg_inline_data": "NOT present OR NOT arg_data", "at_least_two": "n_args >= 2",
 }
 
 
@@ -129,10 +141,8 @@ SELECT k AS request_id, {real("1.0::DOUBLE / (1 + loose + pcs)")} AS connectedne
     out["reco_parses"] = f"SELECT k AS request_id, 'parses' AS check_id, k % 37 != 0 OR k % 41 = 0 AS is_valid FROM ({orders})"
     judged = " + ".join(f"(NOT ({v if n != 'has_pcs' else f'NOT present OR {v}'}))::INT" for n, v in _RECO_VALID.items() if n not in ("uses_all", "at_least_two"))
     out["judge_infreco"] = f"{_RECO} SELECT w.k AS request_id, coalesce(m, 1) = 0 AS is_valid, coalesce(m, 1)::BIGINT AS n_failed FROM ({orders}) w LEFT JOIN (SELECT k, {judged} AS m FROM c) j ON j.k = w.k"
-    plain = "NOT listed OR k % 10 = 7"
-    left_over = f"CASE WHEN turned THEN CASE WHEN {plain} THEN n ELSE (k % 11 != 0 OR k % 5 = 0)::INT + (k % 5 = 0 AND n > 1)::INT END ELSE CASE WHEN {plain} THEN n ELSE (k % 5 = 0)::INT END END"
-    out["reco_scores"] = f"""{_RECO} SELECT k AS request_id, {real(f"1.0::DOUBLE / (1 + {left_over})")} AS no_unused_props, {real("turned::INT")} AS many_intermediate_conclusions, {real("1.0::DOUBLE / (1 + turned::INT)")} AS few_intermediate_conclusions,
-  0.5::DOUBLE AS subarguments, {real("1 - pow(0.7, n - 1)")} AS premises FROM c WHERE present"""
+    out["reco_scores"] = f"""{_RECO} SELECT k AS request_id, {real("1.0::DOUBLE / (1 + unused)")} AS no_unused_props, {real("between")} AS many_intermediate_conclusions, {real("1.0::DOUBLE / (1 + between)")} AS few_intermediate_conclusions,
+  {real("1 - pow(0.5, conclusions)")} AS subarguments, {real("1 - pow(0.7, greatest(premises - 1, 0))")} AS premises FROM c WHERE present"""
     out |= {f"logic_{n}": f"{_truth()} SELECT k AS request_id, '{n}' AS check_id, {v} AS is_valid FROM v" + " WHERE declared" * (n != "well_formed") for n, v in _LOGIC_VALID.items()}
     n_logic = " + ".join(f"(NOT ({v}))::INT" + ("" if n == "well_formed" else " * declared::INT") for n, v in _LOGIC_VALID.items())
     n_logic += " + (k % 6 IN (2, 4))::INT + (k % 13 = 0 AND n > 1)::INT"
