@@ -143,8 +143,13 @@ _EQUAL, _THERE, _SHOWN = "=", "!there", "!shown"
 
 
 def _kept(df: DataFrame) -> DataFrame:
-    """df without its lineage."""
-    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) or df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else df.cache()
+    """df without its lineage, in the folder that the session names; cached where it names none."""
+    context, folder = df.sparkSession.sparkContext, df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        return df.cache()
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(folder)
+    return df.checkpoint()
 
 
 def _is_variable(term: Column) -> Column:
