@@ -200,10 +200,16 @@ def fit(stats: DataFrame, labels: DataFrame) -> Forest | None:
     """Forest and threshold; what reaches the driver is SAMPLE rows and 2 * BINS counts."""
     passed = stats.where((F.col("n_words") >= MIN_WORDS) & (100 * F.col("n_repeat_words") <= MAX_REPEAT_PERCENT * F.col("n_words")))
     usable = passed.where("doc_id is not null")
-    # Only about 2 * SAMPLE rows compete for the sample, so that no partition sends all it has.
-    share = min(1.0, 2 * SAMPLE / max(usable.count(), 1))
-    usable = usable.where(F.xxhash64("doc_id") <= F.lit(-(1 << 63) + min(int(share * (1 << 64)), (1 << 64) - 1)))
-    sample = usable.orderBy(F.xxhash64("doc_id"), "doc_id", *COUNTS + MORE).limit(SAMPLE).select(*COUNTS, *MORE).toPandas()
+    # Only about 2 * SAMPLE rows compete for the sample, so that no partition sends all it has; more, where too few have a small hash (rows that repeat
+    # have the same one).
+    draw, n = F.xxhash64("doc_id", *COUNTS + MORE), usable.count()
+    share = min(1.0, 2 * SAMPLE / max(n, 1))
+    while True:
+        drawn = usable.where(draw <= F.lit(-(1 << 63) + min(int(share * (1 << 64)), (1 << 64) - 1)))
+        if share == 1.0 or drawn.count() >= min(SAMPLE, n):
+            break
+        share = min(1.0, 8 * share)
+    sample = drawn.orderBy(draw, "doc_id", *COUNTS + MORE).limit(SAMPLE).select(*COUNTS, *MORE).toPandas()
     forest = grow(features({n: sample[n].to_numpy() for n in COUNTS + MORE}))
     if not forest:
         return None
