@@ -310,6 +310,9 @@ def link_classes(docs: DataFrame, classes: DataFrame, text: str = "text") -> Dat
     clusters = components(near).withColumnRenamed("node", "rep").withColumnRenamed("component", "cluster")
     sizes = clusters.groupBy("cluster").agg(F.count("*").alias("n")).withColumnRenamed("cluster", "c")
     wanted = written(clusters.join(sizes, F.col("cluster") == F.col("c")).drop("c").join(classes.select(F.col("rep").alias("r"), "s1", "s2"), F.col("rep") == F.col("r")).drop("r"), "clusters")
+    again = written(docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("twice")).agg(F.count("*").alias("c")).where("c > 1").select("twice"), "repeated-ids")
+    some = not again.isEmpty()
+
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, b in blocks(batch.column(5), lower=True):
@@ -326,7 +329,12 @@ def link_classes(docs: DataFrame, classes: DataFrame, text: str = "text") -> Dat
     def sets(part: DataFrame) -> DataFrame:
         few = part.limit(BROADCAST_CLASSES + 1).count() <= BROADCAST_CLASSES
         texts = docs.select("doc_id", text).join(F.broadcast(part) if few else part, F.col("doc_id") == F.col("rep")).select("rep", "cluster", "n", "s1", "s2", text)
-        return texts.mapInArrow(fetch, "rep long, cluster long, n long, shingles binary")
+        found = lambda rows: rows.mapInArrow(fetch, "rep long, cluster long, n long, shingles binary")
+        if not some:
+            return found(texts)
+        # A doc_id that repeats with its text gives the same set once.
+        once = texts.join(again, F.col("rep") == F.col("twice"), "left_anti")
+        return found(once).unionByName(found(texts.join(again, F.col("rep") == F.col("twice"), "left_semi").dropDuplicates(["rep", "cluster", text])))
 
     units = _units(sets(wanted.where(F.col("n") <= CLUSTER_BLOCK)), "cluster", "n", CLUSTER_BLOCK)
     hot, pivots = wanted.where(F.col("n") > CLUSTER_BLOCK), None

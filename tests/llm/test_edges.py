@@ -265,3 +265,23 @@ def test_pipeline_on_messy_rows(spark, tmp_path):
 def test_mixing_leaves_texts_without_words(spark):
     df = spark.createDataFrame([(1, " ", "a"), (2, "one two", "a"), (3, None, "a"), (4, "three", None)], "doc_id long, text string, source string")
     assert {r["doc_id"] for r in mixing.resampled(df).collect()} <= {2, 4}
+
+
+@pytest.mark.parametrize("only", [1, 2, 3])
+def test_one_id_for_all(spark, only):
+    """Many rows of one doc_id still give a forest; near-duplicates take time in proportion to them."""
+    rng = random.Random(only)
+    texts = [" ".join(rng.choice(["alpha", "beta,", "gamma", "delta.", "the", "of"]) for _ in range(rng.randrange(25, 60))) for _ in range(400)]
+    stats = quality_rules.statistics(spark.createDataFrame([(only, t) for t in texts] * 25, "doc_id long, text string"))
+    labels = spark.createDataFrame([(only, 1, 0)], "doc_id long, quality int, toxic int")
+    assert quality_rules.fit(stats, labels) is not None
+    same = stats.where("n_words > 0").limit(1)
+    assert len(quality_rules.judge(same, quality_rules.fit(same.crossJoin(spark.range(9000)).drop("id"), labels)).collect()) == 1
+
+
+def test_near_copies_of_repeated_rows(spark):
+    words = [f"w{i}" for i in range(60)]
+    near = [" ".join(words), " ".join(words[:58] + ["x", "y"]), " ".join(words[1:] + ["z"])]
+    rows = [(5 + i, near[i % 3]) for i in range(3)] * 3000 + [(90, "something else in here that is not near"), (None, near[0]), (5, "another text of the same number here")]
+    found = collections.Counter((r["doc_id"], r["component_id"], r["n_shingles"]) for r in near_dedup.run(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect())
+    assert found == {(5, 5, 56): 3000, (6, 5, 56): 3000, (7, 5, 56): 3000, (90, 90, 4): 1, (None, None, 56): 1, (5, 5, 3): 1}
