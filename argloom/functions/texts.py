@@ -237,7 +237,11 @@ def prefix_matches(text: Column, pattern: str) -> Column:
     return text.rlike(f"^(?:{pattern})")
 
 
+#: Marks that may stand next to a key.
+_MARKS = r"[ ()\[\]{}:.>\-&!]"
+
+
 def key_in_formula(formula: Column, key: str) -> Column:
     """Whether the key stands in the formula next to a mark."""
     own = re.escape(key)
-    return formula.rlike(f"[ ()\\[\\]{{}}:.>\\-&!]{own}|{own}[ ()\\[\\]{{}}:.>\\-&!]")
+    return formula.rlike(f"{_MARKS}{own}|{own}{_MARKS}")
