@@ -5,9 +5,10 @@ scores floor(1000 * a * n / (l * r)), and a phrase as its lowest cut. r >= a, so
 floor(1000 * n / c): the count of the first word bounds all that grows from it, the count of each prefix its own cut.
 
 1. Words are counted; those that are frequent are kept. Texts are stored as hashes of frequent words, 0 where a piece ends or another word stands.
-2. The frontier begins with the rarest words, whose bounds are highest. A step counts, in one pass over the stored texts, all one-word
-   extensions of the frontier and the phrases that open scores lack. Extensions that are frequent join the frontier; common words join
-   it in later steps.
+2. The frontier begins with the rarest words, whose bounds are highest. A step counts, in one pass over the stored texts, one-word
+   extensions of the frontier and the phrases that open scores lack. Extensions that are frequent join the frontier; more common words
+   join it in later steps, as far as their bound still matters. Where words join, a pass before it adds extensions up in a table of
+   small counters, by hash: those whose counter stays below the least count can't be frequent and are left out.
 3. A phrase whose occurrences all have the same word before them, or behind, is part of a longer one with the same count: it is dropped.
    For others the cuts give a score, or a bound where a count is missing (it is a at least). The 2000th settled score of a language closes
    all of the frontier below it; what reaches it, ties included, stays open until it is settled.
@@ -15,7 +16,7 @@ floor(1000 * n / c): the count of the first word bounds all that grows from it,
 Counts are exact sums over all texts. The frontier reaches tasks as a bit table of at most 2**MOST_BITS bits: it never misses, and what it lets through
 by mistake is counted and does no harm. Words and phrases are told by 64-bit hashes. Nothing but bit tables goes through the driver.
 
-Null texts are empty; null languages are `und`. Repeated rows count again. Empty tables give no rows. Other columns are ignored, whatever their
+The session's Arrow batches shrink to `shared.BATCH_ROWS` rows. Null texts are empty; null languages are `und`. Repeated rows count again. Empty tables give no rows. Other columns are ignored, whatever their
 names.
 """
 
@@ -31,16 +32,18 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import small_batches, written
 from .textblocks import Block, blocks, chain, mix
 
 LEAST, LONGEST, TOP = 100, 5, 2000
-#: Shares of a language's words (the rarest first) whose extensions the steps begin with.
+#: Shares of a language's words (the rarest first) that join the frontier together.
 SHARES = (0.125, 0.5, 1.0)
 #: Bits of a table for each phrase in it, and the most of all (32 MB).
 KEY_BITS, MOST_BITS = 16, 28
 #: Words (and their bytes) and phrases that a task keeps before it sends them on; hashes in a stored row.
-TASK_WORDS, TASK_BYTES, TASK_PHRASES, ROW_WORDS = 400_000, 32 << 20, 1_500_000, 1 << 14
+TASK_WORDS, TASK_BYTES, TASK_PHRASES, ROW_WORDS = 120_000, 8 << 20, 800_000, 1 << 11
+#: Occurrences for each counter, bits of the largest table of them, and counters that are added up in one group.
+PER_COUNTER, COUNTER_BITS, CHUNK = 8, 24, 1 << 10
 #: Tasks that look for the best of a language before they meet.
 SALTS = 64
 
@@ -72,7 +75,8 @@ def _vocabulary(rows: DataFrame) -> DataFrame:
         held = 0
 
         def sent() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_pylist([dict(zip(("lang", "word", "h", "f"), x, strict=True)) for x in found.values()], pa.schema([("lang", pa.string()), ("word", pa.string()), ("h", pa.int64()), ("f", pa.int64())]))
+            columns = zip(*found.values(), strict=True)
+            out = pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["lang", "word", "h", "f"])
             found.clear()
             return out
 
@@ -163,61 +167,97 @@ def _summed(key: np.ndarray, words: np.ndarray, n: np.ndarray, before: np.ndarra
     starts = np.flatnonzero(np.diff(key[order], prepend=~key[order[:1]]))
     if not len(starts):
         return key, words, n, before, behind
-    return key[order][starts], words[order[starts]], np.add.reduceat(n[order], starts), _same(before, order, starts), _same(behind, order, starts)
+    return key[order][starts], words[order[starts]], np.add.reduceat(n[order], starts, dtype=n.dtype), _same(before, order, starts), _same(behind, order, starts)
 
 
-def _counted(stored: DataFrame, frontier: Broadcast, lacking: Broadcast) -> DataFrame:
-    """w1 .. w5 (0 behind the last), f, before, behind of the frontier's extensions and the lacking phrases that are frequent; before and behind are 0 if
+def _extensions(x: np.ndarray, frontier: Bits) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(m, keys of m words, which lie within a piece, which extend the frontier by a word) for each m."""
+    grows, zero = np.zeros(len(x), bool), np.concatenate([[0], np.cumsum(x == 0)])
+    for m in range(1, min(LONGEST, len(x)) + 1):
+        sound = zero[m:] == zero[: len(zero) - m]
+        key = _keys(x, m)
+        yield m, key, sound, sound & grows[: len(key)]
+        grows = sound & frontier.has(key)
+
+
+def _flat(batch: pa.RecordBatch, rows: int = 128) -> Iterator[np.ndarray]:
+    for lo in range(0, batch.num_rows, rows):
+        yield batch.column(0).slice(lo, rows).flatten().to_numpy().view(np.uint64)
+
+
+def _busy(stored: DataFrame, frontier: Broadcast, occurrences: int, least: int) -> Bits:
+    """Which extensions of the frontier may be frequent: those whose counter, shared with others of the same hash, reaches the least count."""
+    bits = min(max(occurrences // PER_COUNTER, 1 << 16).bit_length(), COUNTER_BITS)
+    kind = np.min_scalar_type(least)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, mask = np.zeros(1 << bits, kind), np.uint64((1 << bits) - 1)
+        for batch in batches:
+            for x in _flat(batch):
+                at = np.concatenate([(key[grown] & mask).astype(np.int64) for _, key, _, grown in _extensions(x, frontier.value)] or [np.zeros(0, np.int64)])
+                at, n = np.unique(at, return_counts=True)
+                table[at] = np.minimum(table[at].astype(np.int64) + n, least)  # enough is enough
+        used = np.flatnonzero(table.reshape(-1, CHUNK).any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array([table[i * CHUNK : (i + 1) * CHUNK].tobytes() for i in used.tolist()], pa.binary())], names=["chunk", "counters"])
+
+    def together(group: pa.Table) -> pa.Table:
+        total = np.zeros(CHUNK, np.int64)
+        for x in group.column(1).to_pylist():
+            total += np.frombuffer(x, kind)
+        return pa.table({"chunk": group.column(0).slice(0, 1), "bits": [np.packbits(total >= least, bitorder="little").tobytes()]})
+
+    table = np.zeros((1 << bits) // 8, np.uint8)
+    summed = stored.mapInArrow(add, "chunk int, counters binary").groupBy("chunk").applyInArrow(together, "chunk int, bits binary")
+    for r in summed.collect():  # 2**COUNTER_BITS bits at most
+        table[r["chunk"] * CHUNK // 8 : (r["chunk"] + 1) * CHUNK // 8] = np.frombuffer(r["bits"], np.uint8)
+    return Bits(table)
+
+
+def _counted(stored: DataFrame, frontier: Broadcast, busy: Broadcast, lacking: Broadcast) -> DataFrame:
+    """w1 .. w5 (0 behind the last), f, before, behind of the frontier's extensions and the lacking phrases that may be frequent; before and behind are 0 if
     occurrences differ in that word, or one has none."""
 
-    def phrases(x: np.ndarray) -> Iterator[tuple]:
-        grows, zero = None, np.concatenate([[0], np.cumsum(x == 0)])
-        for m in range(1, LONGEST + 1):
-            if len(x) < m:
-                return
-            sound = zero[m:] == zero[: len(zero) - m]
-            key = _keys(x, m)
-            take = sound & lacking.value.has(key) if m > 1 else np.zeros(len(key), bool)
-            if grows is not None:
-                take |= sound & grows[: len(key)]
-            at = np.flatnonzero(take)
+    def phrases(x: np.ndarray) -> Iterator[tuple[int, tuple]]:
+        for m, key, sound, grown in _extensions(x, frontier.value):
+            at = np.flatnonzero(grown & busy.value.has(key) | sound & lacking.value.has(key)) if m > 1 else ()
             if len(at):
-                words = np.zeros((len(at), LONGEST), np.uint64)
-                for i in range(m):
-                    words[:, i] = x[at + i]
+                words = np.column_stack([x[at + i] for i in range(m)])
                 before = np.where(at > 0, x[at - 1], 0).astype(np.uint64)
                 behind = np.where(at + m < len(x), x[np.minimum(at + m, len(x) - 1)], 0).astype(np.uint64)
-                yield _summed(key[at], words, np.ones(len(at), np.int64), before, behind)
-            grows = sound & frontier.value.has(key)
+                yield m, _summed(key[at], words, np.ones(len(at), np.int32), before, behind)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept, size = [], 0
-
-        def together() -> tuple:
-            out = _summed(*(np.concatenate(x) for x in zip(*kept, strict=True)))
-            kept.clear()
-            return out
-
-        def sent(rows: tuple) -> Iterator[pa.RecordBatch]:
-            _, words, n, before, behind = rows
-            for lo in range(0, len(n), 50_000):
-                part = slice(lo, lo + 50_000)
-                columns = [*(words[part, i] for i in range(LONGEST)), n[part].view(np.uint64), before[part], behind[part]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x).view(np.int64)) for x in columns], names=[*_W, "n", "before", "behind"])
-
+        kept: dict[int, list[tuple]] = {}  # by the number of words
+        rows = lambda: sum(len(x[0]) for own in kept.values() for x in own)
+
+        def merge() -> None:
+            for m, own in kept.items():
+                if len(own) > 1:
+                    kept[m] = [_summed(*(np.concatenate(x) for x in zip(*own, strict=True)))]
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            for m in sorted(kept):
+                ((_, words, n, before, behind),) = kept.pop(m)
+                for lo in range(0, len(n), 50_000):
+                    part = slice(lo, lo + 50_000)
+                    columns = [words[part, i] if i < m else np.zeros(len(n[part]), np.uint64) for i in range(LONGEST)]
+                    columns = [np.ascontiguousarray(x).view(np.int64) for x in (*columns, before[part], behind[part])]
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, columns[:LONGEST]), pa.array(n[part].astype(np.int64)), *map(pa.array, columns[LONGEST:])], names=[*_W, "n", "before", "behind"])
+
+        size = 0
         for batch in batches:
-            for lo in range(0, batch.num_rows, 64):
-                found = list(phrases(batch.column(0).slice(lo, 64).flatten().to_numpy().view(np.uint64)))
-                kept += found
-                size += sum(len(x[0]) for x in found)
+            for x in _flat(batch):
+                for m, found in phrases(x):
+                    kept.setdefault(m, []).append(found)
+                    size += len(found[0])
                 if size > TASK_PHRASES:
-                    kept[:] = [together()]
-                    size = len(kept[0][0])
-                    if size > TASK_PHRASES // 2:
-                        yield from sent(kept.pop())
+                    merge()
+                    size = rows()
+                    if size > TASK_PHRASES * 3 // 4:
+                        yield from sent()
                         size = 0
-        if kept:
-            yield from sent(together())
+        merge()
+        yield from sent()
 
     rows = stored.mapInArrow(count, f"{_PHRASE}, n long, before long, behind long")
     same = lambda c: F.when(F.min(c) == F.max(c), F.max(c)).otherwise(0).alias(c)
@@ -291,6 +331,7 @@ def _cuts(open_: DataFrame, counts: DataFrame) -> DataFrame:
 def mine(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, top: int = TOP) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score of each language's first phrases."""
     spark: SparkSession = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text"))
     counted = written(_vocabulary(rows).where(f"word is null or f >= {least}"), "words")
     totals = counted.where("word is null").select(F.col("lang").alias("t_lang"), F.col("f").alias("n"))
@@ -310,21 +351,23 @@ def mine(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = L
     counts = words.select(F.col("h").alias("c_key"), F.col("f").alias("c_f"))
     first = words.select(F.col("h").alias("v_h"), "lang", "n", "bound")
     bars = spark.createDataFrame([], "b_lang string, bar long")
-    known = grown = settled = open_ = None
+    grown = settled = open_ = None
     lacking, step = none, 0
+    everything = spark.sparkContext.broadcast(Bits(np.full(8, 0xFF, np.uint8)))
     while True:
-        frontier = _reach(words.where(F.col("begin") == step), bars, "bound").select(F.col("h").alias("key"))
+        frontier = _reach(words.where(F.col("begin") == step), bars, "bound").select(F.col("h").alias("key"), "f", F.lit(1).alias("m"))
         if grown is not None:
-            frontier = frontier.unionByName(_reach(grown.where(F.col("m") < LONGEST), bars, "bound").select("key"))
+            frontier = frontier.unionByName(_reach(grown.where(F.col("m") < LONGEST), bars, "bound").select("key", "f", "m"))
         frontier = written(frontier, "frontier")
-        if step >= len(SHARES) and frontier.isEmpty() and lacking.isEmpty():
+        n, occurrences = frontier.agg(F.count("*"), F.sum(F.when(F.col("m") == 1, F.col("f")))).first()
+        if step >= len(SHARES) and not n and lacking.isEmpty():
             break
-        new = _with_keys(_counted(stored, send(frontier), send(lacking)).where(F.col("f") >= least))
-        if known is not None:
-            new = new.join(known.select(F.col("key").alias("old")), F.col("key") == F.col("old"), "left_anti")
+        sent, step = send(frontier), step + 1
+        busy = spark.sparkContext.broadcast(_busy(stored, sent, occurrences, least)) if occurrences else everything
+        new = _with_keys(_counted(stored, sent, busy, send(lacking)).where(F.col("f") >= least))
+        new = new.join(counts.select(F.col("c_key").alias("old")), F.col("key") == F.col("old"), "left_anti")
         grown = written(new.join(first, F.col("w1") == F.col("v_h")).drop("v_h"), "phrases")
-        known = grown if known is None else known.unionByName(grown)
-        counts = counts.unionByName(grown.select(F.col("key").alias("c_key"), F.col("f").alias("c_f")))
+        counts = written(counts.unionByName(grown.select(F.col("key").alias("c_key"), F.col("f").alias("c_f"))), "counts")  # one table, so that plans stay small
         fresh = grown.where(f"m = {LONGEST} or before = 0 and behind = 0").drop("before", "behind").withColumns({"score": F.col("bound"), "cut": F.lit(0), "l": F.lit(0).cast("long"), "r": F.lit(0).cast("long"), "lacks": F.array().cast("array<long>")})
         waiting = fresh if open_ is None else fresh.unionByName(open_)
         judged = written(_cuts(_reach(waiting, bars, "score"), counts), "judged")
@@ -333,7 +376,6 @@ def mine(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = L
         bars = written(_bars(settled, top), "bars")
         open_ = _reach(judged.where(F.size("lacks") > 0), bars, "score")
         lacking = open_.select(F.explode("lacks").alias("key")).distinct()
-        step += 1
 
     best = _reach(settled, bars, "score")
     spelt = best.select("key", F.posexplode(F.filter(F.array(*_W), lambda w: w != 0)).alias("i", "w")).join(words.select("h", "word"), F.col("w") == F.col("h"))
