@@ -8,7 +8,8 @@ segment, by Cauchy-Schwarz, a vector's score is within |query| * |rest of the ve
 stops when this proves that at most POSSIBLE vectors can be among its k best (or the segments end); these are scored anew in
 exact integers. Shards' best are merged per query row by a window.
 
-Blocks of queries meet shards by an equi-join on the shard, every query block and shard being read by one task of bounded size.
+Shards and blocks of queries meet in groups of one shard and up to GROUP_BLOCKS blocks, by a cogroup: both sides are dealt by key, whatever
+their sizes, and nothing of them passes through the driver.
 Vectors that are null, hold null or non-finite components, or have no vec_id take no part. Shorter vectors count as padded
 with zeros. Other columns are ignored, whatever their names. A query never finds rows of its own vec_id; other repeated rows are found once each. Ties go to the smaller vec_id.
 Every query row is answered by itself: where a vec_id is repeated among the queries, each of its rows has its own k best, ranked from 1.
@@ -17,7 +18,6 @@ Every query row is answered by itself: where a vec_id is repeated among the quer
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from .shared import written
 
 SCALE, SHARD, QUERY_BLOCK, POSSIBLE = 1024, 8192, 512, 64
-#: Pairs of a shard and a block of queries that a task may have (all of them are in memory at once, some 10 MB each).
-TASK_PAIRS = 16
+#: Blocks of queries that meet a shard in one group (all of them are in memory at once, some 0.3 MB each, and 10 MB for the shard), and the largest number of partitions.
+GROUP_BLOCKS, MOST_PARTS = 8, 4096
 
 
 def integers(vectors: DataFrame, vector: str = "embedding") -> DataFrame:
@@ -133,17 +133,22 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, vector: str = "embedding")
     def pack_queries(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"block": [pdf["block"].iloc[0]], "queries": [pickle.dumps((pdf["row"].to_numpy(), pdf["vec_id"].to_numpy(), _matrix(pdf["x"])))]})
 
-    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for segments, queries in zip(pdf["segments"], pdf["queries"], strict=True):
+    def find(shard: pd.DataFrame, blocks_: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"row": [], "query_id": [], "vec_id": [], "score": []}, dtype=np.int64)]
+        if len(shard):
+            index = pickle.loads(shard["segments"].iloc[0])
+            for queries in blocks_["queries"]:
                 row, ids, x = pickle.loads(queries)
-                q, v, s = search(pickle.loads(segments), ids, x, k)
-                yield pd.DataFrame({"row": row[q], "query_id": ids[q], "vec_id": v, "score": s.astype(np.int64)})
-
-    index = written(rows.withColumn("shard", deal(shards, 1)).groupBy("shard").applyInPandas(pack, "shard int, segments binary"), "impact-index")
-    asked = rows.where(is_query).withColumn("block", deal(blocks, 2)).groupBy("block").applyInPandas(pack_queries, "block int, queries binary")
-    pairs = index.join(asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))), "shard").select("segments", "queries")
-    best = pairs.repartition(min(shards * blocks, max(4096, -(-shards * blocks // TASK_PAIRS)))).mapInPandas(find, "row long, query_id long, vec_id long, score long")
+                q, v, s = search(index, ids, x, k)
+                out.append(pd.DataFrame({"row": row[q], "query_id": ids[q], "vec_id": v, "score": s.astype(np.int64)}))
+        return pd.concat(out)
+
+    groups = -(-blocks // GROUP_BLOCKS)
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    index = rows.withColumn("shard", deal(shards, 1)).repartition(min(shards, MOST_PARTS), "shard").groupBy("shard").applyInPandas(pack, "shard int, segments binary").withColumn("group", each(groups))
+    asked = rows.where(is_query).withColumn("block", deal(blocks, 2)).groupBy("block").applyInPandas(pack_queries, "block int, queries binary").withColumn("group", F.pmod("block", F.lit(groups))).withColumn("shard", each(shards))
+    met = [df.repartition(min(shards * groups, MOST_PARTS), "shard", "group").groupBy("shard", "group") for df in (index, asked)]
+    best = met[0].cogroup(met[1]).applyInPandas(find, "row long, query_id long, vec_id long, score long")
     order = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
