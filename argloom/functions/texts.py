@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 from difflib import unified_diff
-from textwrap import shorten as _shorten
 from textwrap import wrap
 
 import numpy as np
@@ -13,6 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .reading import plain
+from .reading import shorten as _shorten
 
 
 def _core(a: str, b: str) -> tuple[str, str]:
@@ -95,13 +95,15 @@ def _within(a: str, b: str, most: int) -> bool:
 TOLERANCE, SHORTENING_FROM = 0.01, 200
 
 
-def altered(source: str | None, body: str, propositions: list[str], tolerance: float = TOLERANCE, shortening_from: int = SHORTENING_FROM) -> list[str] | None:
-    """What an annotation changed in its source; null without a source. Long sources may be shortened, but propositions stay in order."""
+def altered(source: str | None, body: str, propositions: list[str], tolerance: float = TOLERANCE, shortening_from: int = SHORTENING_FROM, own: str | None = None) -> list[str] | None:
+    """What an annotation changed in its source; null without a source. Long sources may be shortened, but propositions stay in order.
+    `own` is the annotation without its tags, where that is known."""
     if source is None:
         return None
-    own = plain(body)
+    if own is None:
+        own = plain(body)
     if len(source.split()) <= shortening_from:
-        a, b = ("".join("\n".join(wrap(" ".join(x.split()), 60)).split()) for x in (source, own))
+        a, b = ("".join(x.split()) for x in (source, own))
         if _within(a, b, int(tolerance * max(len(a), len(b)))):
             return []
         lines = (wrap(" ".join(x.split()), 60) for x in (source, own))

@@ -348,10 +348,11 @@ def verify(requests: DataFrame, name: str, config: dict[str, object] | None = No
     keys = Keys(*[str(config.get(o, k)) for o, k in zip(("from_key", "formalization_key", "declarations_key"), KEYS, strict=True)])
     plan = _with_keys(plan, keys)
     integrity = float(config.get("levenshtein_tolerance", TOLERANCE)), int(config.get("allow_source_text_shortening_wc_threshold", SHORTENING_FROM))
-    read = extraction.read(requests, key, inputs, source, keys, plan.logic, integrity=integrity)
+    wanted = {n: s for n, s in plan.scorers.items() if config.get(f"enable_{n}", True)}
+    bare = not wanted and all(s.kind == "has" for s in plan.steps)
+    read = extraction.read(requests, key, inputs, source, keys, plan.logic, integrity=integrity, bare=bare)
     out = read.withColumn("results", plan.results(inputs)).withColumn("is_valid", is_valid(F.col("results")))
     last, given = {r: role.last() for r, role in plan.roles.items()}, F.col(source) if source else F.lit(None).cast("string")
-    wanted = {n: s for n, s in plan.scorers.items() if config.get(f"enable_{n}", True)}
     out = out.select("*", *[F.when(F.col("is_valid"), s(last, given)).alias(f"_{n}") for n, s in wanted.items()])
     rows = F.array(*[F.struct(F.lit(n).alias("name"), F.col(f"_{n}").cast("double").alias("score")) for n in wanted]) if wanted else F.array().cast("array<struct<name:string,score:double>>")
     return out.select(key, F.lit(name).alias("verifier"), "is_valid", "results", F.filter(rows, lambda s: s["score"].isNotNull()).alias("scores"))

@@ -64,7 +64,7 @@ def _compounds(s: SparkSession, d: str, *kinds: str) -> DataFrame:
 
 def _check(requests: DataFrame, check: checks.Check, check_id: str, dtype: str = "argdown", source: str | None = None, logic: bool = False, message: bool = False) -> DataFrame:
     """request_id, check_id, is_valid of the last block of the type, where the check has something to say."""
-    read = extraction.read(requests, source=source, logic=logic, verdicts=check is not LOGIC_CHECKS["WellFormedFormulasHandler"]).withColumn("b", extraction.last(dtype)).where("b is not null")
+    read = extraction.read(requests, source=source, logic=logic, verdicts=check is not LOGIC_CHECKS["WellFormedFormulasHandler"], carried=["request_id"], ids=False).withColumn("b", extraction.last(dtype)).where("b is not null")
     out = read.select("request_id", check(F.col("b")).alias("m")).where("m is not null")
     own = [F.array_join("m", ", ").alias("message")] if message else []
     return out.select("request_id", F.lit(check_id).alias("check_id"), (F.size("m") == 0).alias("is_valid"), *own)
@@ -93,13 +93,13 @@ def anno_has_argdown(s: SparkSession, d: str) -> DataFrame:
 
 
 def _parses(requests: DataFrame) -> DataFrame:
-    read = extraction.read(requests).select("request_id", F.inline("blocks"))
+    read = extraction.read(requests, carried=["request_id"], ids=False, bare=True).select("request_id", F.inline("blocks"))
     return read.select("request_id", F.lit("parses").alias("check_id"), F.col("error").isNull().alias("is_valid"))
 
 
 def block_roles(s: SparkSession, d: str) -> DataFrame:
     """Blocks of each request by type, name, and role."""
-    read = extraction.read(_compounds(s, d, "arganno", "argmap", "infreco"))
+    read = extraction.read(_compounds(s, d, "arganno", "argmap", "infreco"), carried=["request_id"], ids=False, bare=True)
     has = lambda dtype, *rules: F.size(F.filter("blocks", lambda b: extraction.in_role(b, dtype, list(rules)))).cast("long")
     named = F.size(F.filter("blocks", lambda b: extraction.metadata_in(b, "filename", ["map.ad", "annotation.txt"]))).cast("long")
     return read.select("request_id", F.size("blocks").cast("long").alias("n_blocks"), has("xml").alias("n_xml"), has("argdown", ("filename", "map", True)).alias("n_maps"), has("argdown", ("filename", "map", False)).alias("n_exact"), named.alias("n_named"), F.array_join(F.transform("blocks", lambda b: b["metadata"]["filename"]), ",").alias("files"))
@@ -108,7 +108,7 @@ def block_roles(s: SparkSession, d: str) -> DataFrame:
 def _pair(s: SparkSession, d: str, kinds: tuple[str, str], check) -> DataFrame:
     """request_id, n_messages of a check of two blocks."""
     block = {"arganno": extraction.last("xml"), "argmap": extraction.last("argdown", [("filename", "map", True)]), "infreco": extraction.last("argdown", [("filename", "reconstructions", True)])}
-    read = extraction.read(_compounds(s, d, *kinds)).select("request_id", block[kinds[0]].alias("a"), block[kinds[1]].alias("b"))
+    read = extraction.read(_compounds(s, d, *kinds), carried=["request_id"], ids=False).select("request_id", block[kinds[0]].alias("a"), block[kinds[1]].alias("b"))
     return read.select("request_id", F.size(check(F.col("a"), F.col("b"))).cast("long").alias("n_messages"))
 
 
@@ -128,7 +128,7 @@ COMPOUND_JUDGES = {
 
 def logic_formulas(s: SparkSession, d: str) -> DataFrame:
     """Each formula of the arguments in its syntaxes and in English."""
-    read = extraction.read(_logical(s, d), logic=True, verdicts=False).select("request_id", F.inline(F.flatten(F.transform("blocks", lambda b: b["logic"]["formulas"]))))
+    read = extraction.read(_logical(s, d), logic=True, verdicts=False, carried=["request_id"], ids=False).select("request_id", F.inline(F.flatten(F.transform("blocks", lambda b: b["logic"]["formulas"]))))
     return read.select("request_id", "proposition", "formula", "latex", "smt", "english", F.array_join("symbols", ",").alias("symbols"))
 
 
@@ -180,13 +180,13 @@ def chat_assembly(s: SparkSession, d: str) -> DataFrame:
 
 
 def map_scores(s: SparkSession, d: str) -> DataFrame:
-    read = extraction.read(_maps(s, d)).select("request_id", extraction.last("argdown").alias("b")).where("b is not null")
+    read = extraction.read(_maps(s, d), carried=["request_id"], ids=False).select("request_id", extraction.last("argdown").alias("b")).where("b is not null")
     own = {n: f for n, f in scores.MAP_VIRTUES.items() if n.removeprefix("map_") in ("connectedness", "max_args", "balance", "max_supports", "max_attacks", "max_diameter", "min_diameter", "density", "max_in_degree", "max_out_degree", "min_leafs")}
     return read.select("request_id", *[F.round(f(F.col("b")), 6).alias(n.removeprefix("map_")) for n, f in own.items()])
 
 
 def anno_scores(s: SparkSession, d: str) -> DataFrame:
-    read = extraction.read(_annotations(s, d)).select("request_id", extraction.last("xml").alias("b")).where("b is not null")
+    read = extraction.read(_annotations(s, d), carried=["request_id"], ids=False).select("request_id", extraction.last("xml").alias("b")).where("b is not null")
     return read.select("request_id", *[F.round(f(F.col("b")), 6).alias(n.removeprefix("annotation_")) for n, f in scores.ANNOTATION_VIRTUES.items()])
 
 
@@ -203,13 +203,13 @@ def sentence_counts(s: SparkSession, d: str) -> DataFrame:
 
 def anno_ratios(s: SparkSession, d: str) -> DataFrame:
     """Annotated characters and propositions as shares of the text and its sentences."""
-    read = extraction.read(_annotations(s, d)).select("request_id", extraction.last("xml").alias("b")).where("b is not null")
+    read = extraction.read(_annotations(s, d), carried=["request_id"], ids=False).select("request_id", extraction.last("xml").alias("b")).where("b is not null")
     return read.select("request_id", F.round(scores.coverage_scorer(F.col("b")), 6).alias("coverage"), F.round(scores.scope_scorer(F.col("b")), 6).alias("scope"))
 
 
 def inference_chains(s: SparkSession, d: str) -> DataFrame:
     """For every item of an argument: how many others its last conclusion is inferred from in the end, over chains with branches and cycles."""
-    read = extraction.read(artifacts.chains(table(s, d, "customer"), table(s, d, "orders"))).select("request_id", extraction.last("argdown")["graph"]["arguments"][0].alias("a"))
+    read = extraction.read(artifacts.chains(table(s, d, "customer"), table(s, d, "orders")), carried=["request_id"], ids=False).select("request_id", extraction.last("argdown")["graph"]["arguments"][0].alias("a"))
     used = F.array_distinct(coherence.used_for(F.col("a"), F.try_element_at("a.pcs", F.lit(-1))["label"]))
     return read.select("request_id", F.size("a.pcs").cast("long").alias("n_items"), F.size(used).cast("long").alias("n_used"), F.array_join(F.transform(F.array_sort(F.transform(used, lambda x: x.cast("long"))), lambda x: x.cast("string")), ",").alias("used"))
 
@@ -224,19 +224,19 @@ def solution_repetitions(s: SparkSession, d: str) -> DataFrame:
 
 def reco_scores(s: SparkSession, d: str) -> DataFrame:
     """Virtues and scores of the first argument."""
-    read = extraction.read(_reconstructions(s, d)).select("request_id", extraction.last("argdown").alias("b")).where("size(b.graph.arguments) > 0")
+    read = extraction.read(_reconstructions(s, d), carried=["request_id"], ids=False).select("request_id", extraction.last("argdown").alias("b")).where("size(b.graph.arguments) > 0")
     found = {n.removeprefix("reco_"): f for n, f in scores.RECO_VIRTUES.items() if "verbosity" not in n and "simplicity" not in n} | {"subarguments": scores.subarguments_scorer, "premises": scores.premises_scorer}
     return read.select("request_id", *[F.round(f(F.col("b")), 6).alias(n) for n, f in found.items()])
 
 
 def logic_scores(s: SparkSession, d: str) -> DataFrame:
-    read = extraction.read(_logical(s, d), logic=True, verdicts=False).select("request_id", extraction.last("argdown").alias("b"))
+    read = extraction.read(_logical(s, d), logic=True, verdicts=False, carried=["request_id"], ids=False).select("request_id", extraction.last("argdown").alias("b"))
     return read.select("request_id", F.round(scores.logic_predicate_logic(F.col("b")), 6).alias("predicate_logic"), scores.triviality_scorer(F.col("b")).alias("triviality"))
 
 
 def pair_scores(s: SparkSession, d: str) -> DataFrame:
     """How much of a map is annotated, and how much of an annotation is in the map."""
-    read = extraction.read(_compounds(s, d, "arganno", "argmap")).select("request_id", extraction.last("xml").alias("a"), extraction.last("argdown").alias("b"))
+    read = extraction.read(_compounds(s, d, "arganno", "argmap"), carried=["request_id"], ids=False).select("request_id", extraction.last("xml").alias("a"), extraction.last("argdown").alias("b"))
     return read.select("request_id", scores.map_graph_proximity(F.col("a"), F.col("b")).alias("map_graph_proximity"), scores.annotation_graph_proximity(F.col("a"), F.col("b")).alias("annotation_graph_proximity"))
 
 
@@ -255,7 +255,7 @@ def queries() -> dict[str, Query]:
     plain = (extract_blocks, block_roles, anno_accuracy, anno_has_annotations, anno_has_argdown, map_metrics, dialectics_indirect, dedup_answers, chat_assembly, map_scores, anno_scores, anno_ratios, abbreviations, sentence_counts, inference_chains, solution_repetitions, reco_scores, logic_scores, pair_scores, verified, logic_formulas, edit_distances, text_functions, stream_validity_rate)
     out: dict[str, Query] = {f.__name__: f for f in plain}
     for name, check in ANNOTATION.items():
-        out[f"anno_{name}"] = lambda s, d, n=name, c=check: _check(_annotations(s, d), checks.ANNOTATION[c], n, "xml", "source")
+        out[f"anno_{name}"] = lambda s, d, n=name, c=check: _check(_annotations(s, d), checks.ANNOTATION[c], n, "xml", "source" if n == "source_integrity" else None)
     out["anno_argument_labels"] = lambda s, d: _check(_annotations(s, d), checks.argument_labels(["L0", "L1"]), "argument_labels", "xml")
     out["anno_reference_labels"] = lambda s, d: _check(_annotations(s, d), checks.reference_labels(["R0", "R1"]), "reference_labels", "xml")
     for name, check in MAP.items():

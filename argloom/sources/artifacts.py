@@ -23,8 +23,13 @@ def _every(key: str, n: int, rest: int = 0) -> Column:
 
 
 def _one_each(lineitem: DataFrame) -> DataFrame:
-    """k, n, p, s: one row for each line of an order."""
-    return lineitem.groupBy(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n")).agg(F.min("l_partkey").alias("p"), F.min("l_suppkey").alias("s"))
+    """k, n, p, s: one row for each line of an order; those of an order lie together."""
+    return _together(lineitem, "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").groupBy(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n")).agg(F.min("l_partkey").alias("p"), F.min("l_suppkey").alias("s"))
+
+
+def _together(rows: DataFrame, key: str, *more: str) -> DataFrame:
+    """These columns, dealt by the key once, before texts are made of them: groups within a key need no further exchange."""
+    return rows.select(key, *more).repartition(key)
 
 
 def _body(parts: Column, between: str = "\n") -> Column:
