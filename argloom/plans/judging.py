@@ -378,9 +378,11 @@ def judge(solutions: DataFrame, name: str, answer: str = "raw_answer", source: s
     if {"original_sol_pos", "feedback_pos"} & set(solutions.columns) == {"original_sol_pos"}:
         raise InvalidConfigError("Feedback is required for evaluating revised solutions")
     plan = JUDGES[name]
-    read = extraction.read(solutions, key, answer, source, logic=plan.logic).withColumn("_results", plan.results(answer))
     artifacts = F.struct(*[role.last()["snippet"].alias(r) for r, role in plan.roles.items()])
-    return read.select(*solutions.columns, is_valid(F.col("_results")).alias("is_valid"), metrics(F.col("_results")).alias("metrics"), artifacts.alias("artifacts"))
+    # Nothing of this names the solution, so that solutions with the same text share it; results are bound once, by the lambda.
+    judged = F.get(F.transform(F.array(plan.results(answer)), lambda r: F.struct(is_valid(r).alias("is_valid"), metrics(r).alias("metrics"))), F.lit(0)).alias("_judged")
+    read = extraction.read(solutions, key, answer, source, logic=plan.logic, ids=False, then=lambda _: [judged, artifacts.alias("_artifacts")])
+    return read.select(*solutions.columns, "_judged.is_valid", "_judged.metrics", F.col("_artifacts").alias("artifacts"))
 
 
 @dataclass(frozen=True)

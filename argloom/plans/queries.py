@@ -64,10 +64,13 @@ def _compounds(s: SparkSession, d: str, *kinds: str) -> DataFrame:
 
 def _check(requests: DataFrame, check: checks.Check, check_id: str, dtype: str = "argdown", source: str | None = None, logic: bool = False, message: bool = False) -> DataFrame:
     """request_id, check_id, is_valid of the last block of the type, where the check has something to say."""
-    read = extraction.read(requests, source=source, logic=logic, verdicts=check is not LOGIC_CHECKS["WellFormedFormulasHandler"], carried=["request_id"], ids=False).withColumn("b", extraction.last(dtype)).where("b is not null")
-    out = read.select("request_id", check(F.col("b")).alias("m")).where("m is not null")
-    own = [F.array_join("m", ", ").alias("message")] if message else []
-    return out.select("request_id", F.lit(check_id).alias("check_id"), (F.size("m") == 0).alias("is_valid"), *own)
+    last = extraction.last(dtype)
+    # The block is bound once, by the lambda.
+    said = F.get(F.transform(F.array(last), lambda b: F.when(b.isNotNull(), check(b))), F.lit(0))
+    own = lambda m: [(F.size(m) == 0).alias("is_valid"), *([F.array_join(m, ", ").alias("message")] if message else [])]
+    found = F.get(F.transform(F.array(said), lambda m: F.when(m.isNotNull(), F.struct(*own(m)))), F.lit(0)).alias("_said")
+    read = extraction.read(requests, source=source, logic=logic, verdicts=check is not LOGIC_CHECKS["WellFormedFormulasHandler"], carried=["request_id"], ids=False, then=lambda _: [found])
+    return read.where("_said is not null").select("request_id", F.lit(check_id).alias("check_id"), "_said.*")
 
 
 def _judged(requests: DataFrame, name: str, source: str | None = None) -> DataFrame:

@@ -4,10 +4,11 @@ import random
 import textwrap
 
 from pyspark import AccumulatorParam
+from pyspark.sql import functions as F
 
 from argloom.functions import reading
 from argloom.operators import extraction
-from argloom.plans import queries
+from argloom.plans import judging, queries
 from argloom.sources import artifacts
 
 TOKENS = ['<proposition id="1">', "</proposition>", "<b>", "</b>", "text ", "x\n", '<Proposition SUPPORTS="1 2" id="">', '<a id="1" id="2">', "</a>", "<br/>", "&amp;", "<p>", "</P>", " > ", "<", "<!-- c -->", "</ b>", "<i x=1>", "<script>", "</script>", "<h1>", "é", '<claim mood="sad">', "</nope>"]
@@ -63,3 +64,19 @@ def test_only_what_is_wanted_is_read(spark):
     assert row.asDict().keys() == {"request_id", "blocks"}
     assert [(b["graph"], b["error"] is None) for b in row["blocks"]] == [(None, True), (None, False)]
     assert [r["is_valid"] for r in queries._parses(answers).collect()] == [True, False]
+
+
+def test_what_follows_from_answers_is_evaluated_once_for_each(spark):
+    """Rows with the same text get what follows from it, not its blocks; where nothing is shared, the same comes out."""
+    text = "```argdown\n<A>: Gist.\n\n(1) [P]: One. {formalization: \"p\", declarations: {p: \"it is so\"}}\n-- {from: [\"1\"]} --\n(2) [Q]: Two. {formalization: \"p\"}\n```\n"
+    answers = spark.createDataFrame([(i, text if i % 3 else text + "!") for i in range(30)] + [(30, "none"), (31, None)], "request_id long, inputs string")
+    then = lambda df: [F.transform("blocks", lambda b: b["dtype"]).alias("kinds")]
+    want = sorted([(i, ["argdown"]) for i in range(30)] + [(30, []), (31, None)], key=lambda r: r[0])
+    shared = extraction.read(answers, carried=["request_id"], ids=False, then=then, logic=True)
+    alone = extraction.read(answers, carried=["request_id"], ids=False, then=then)
+    for df in (shared, alone):
+        assert df.columns == ["request_id", "kinds"]
+        assert [(i, k or (None if i == 31 else k)) for i, k in sorted((tuple(r) for r in df.collect()), key=lambda r: r[0])] == want
+    out = judging.judge(answers, "logreco", "inputs", key="request_id").collect()
+    assert len(out) == 32 and {r["is_valid"] for r in out if r["request_id"] >= 30} == {False}
+    assert len({str(r["metrics"]) for r in out if r["request_id"] < 30}) == 1
