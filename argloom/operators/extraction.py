@@ -29,8 +29,9 @@ GRAPH = (
     "arguments:array<struct<label:string,unlabeled:boolean,texts:array<string>,data:string,annotation_ids:array<string>,pcs:array<struct<label:string,proposition:string,is_conclusion:boolean,inference:string,refs:array<struct<label:string,is_text:boolean>>>>>>,"
     "relations:array<struct<source:string,source_argument:boolean,target:string,target_argument:boolean,valence:string,dialectics:array<string>>>>"
 )
-#: Answers whose blocks are in a reader's memory at once: what is read of them takes many times their texts.
-READ_ROWS = 64
+#: Answers whose blocks are in a reader's memory at once, and characters of these blocks (a longer answer is there alone): what is read of them takes
+#: some 25 times their texts.
+READ_ROWS, READ_CHARS = 64, 1 << 19
 BLOCK = f"struct<pos:int,id:string,dtype:string,snippet:string,metadata_kind:string,metadata:map<string,string>,elements:{ELEMENTS},content:string,graph:{GRAPH},error:string,altered:array<string>,logic:{LOGIC}>"
 
 
@@ -66,7 +67,7 @@ def _read_one(pos: int, dtype: str, raw: str, source: str | None, keys: reading.
 
 
 def _with_blocks(answers: DataFrame, text: str, source: str | None, keys: reading.Keys, counter: Accumulator | None, integrity: tuple[float, int], carried: list[str] | None = None, bare: bool = False) -> DataFrame:
-    """answers (those of their columns that are carried) with `blocks`, read in one stage that no filter is pushed below, READ_ROWS answers at a time."""
+    """answers (those of their columns that are carried) with `blocks`, read in one stage that no filter is pushed below, READ_ROWS answers and READ_CHARS characters at a time."""
     kind = to_arrow_type(_parse_datatype_string(f"array<{BLOCK}>"))
     carried = answers.columns if carried is None else carried
 
@@ -74,15 +75,24 @@ def _with_blocks(answers: DataFrame, text: str, source: str | None, keys: readin
         out = _read_one(i, dtype, raw, source, keys, integrity)
         return {k: v for k, v in out.items() if k not in ("elements", "content", "altered", "graph")} if bare else out
 
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, READ_ROWS):
-                batch = whole.slice(at, READ_ROWS)
-                *given, dtypes, raws, sources = batch.columns
-                found = [[one(i, d, r, s) for i, (d, r) in enumerate(zip(ds, rs, strict=True))] if rs is not None else [] for ds, rs, s in zip(dtypes.to_pylist(), raws.to_pylist(), sources.to_pylist(), strict=True)]
+    def some(whole: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        *given, dtypes, raws, sources = whole.columns
+        found, size = [], 0
+        for row in range(whole.num_rows):
+            ds, rs, s = dtypes[row].as_py(), raws[row].as_py(), sources[row].as_py()
+            found.append([one(i, d, r, s) for i, (d, r) in enumerate(zip(ds, rs, strict=True))] if rs is not None else [])
+            size += sum(map(len, rs or ()))
+            if len(found) == READ_ROWS or size >= READ_CHARS or row == whole.num_rows - 1:
                 if counter is not None:
                     counter.add(len(found))
-                yield pa.RecordBatch.from_arrays([*given, pa.array(found, kind)], names=[*batch.schema.names[:-3], "blocks"])
+                blocks = pa.array(found, kind)
+                n, found, size = len(found), [], 0
+                yield pa.RecordBatch.from_arrays([*[c.slice(row + 1 - n, n) for c in given], blocks], names=[*whole.schema.names[:-3], "blocks"])
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            yield from some(whole)
+            del whole  # before the next one is there
 
     found = F.concat(*[_fenced(text, x) for x in LANGUAGES])
     rows = answers.select(*carried, F.transform(found, lambda b: b["dtype"]).alias("_dtypes"), F.transform(found, lambda b: b["raw"]).alias("_raws"), (F.col(source) if source else F.lit(None).cast("string")).alias("_source"))

@@ -31,9 +31,7 @@ def test_shortened_as_by_the_library():
         assert reading.shorten(text, width) == textwrap.shorten(text, width)
 
 
-def test_few_answers_in_memory(spark):
-    """A batch of Spark's has up to 10,000 answers; what is read of them takes many times their texts."""
-
+def _most():
     class Most(AccumulatorParam):
         def zero(self, value):
             return 0
@@ -41,13 +39,27 @@ def test_few_answers_in_memory(spark):
         def addInPlace(self, a, b):  # noqa: N802: named by Spark
             return max(a, b)
 
-    most = spark.sparkContext.accumulator(0, Most())
+    return Most()
+
+
+def test_few_answers_in_memory(spark):
+    """A batch of Spark's has up to 10,000 answers; what is read of them takes many times their texts."""
+    most = spark.sparkContext.accumulator(0, _most())
     answers = spark.range(0, 1000, 1, 1).selectExpr("id AS request_id", "concat('```xml\\n<proposition id=\"', id, '\">x</proposition>\\n```\\n') AS inputs")
     rows = extraction.read(answers, counter=most).collect()
     assert 0 < most.value <= 64
     assert sorted(r["blocks"][0]["elements"][0]["id"] for r in rows) == sorted(str(i) for i in range(1000))
 
 
+def test_few_characters_in_memory(spark):
+    """Long answers are read fewer at a time than short ones, so that what is read of them takes no more."""
+    most = spark.sparkContext.accumulator(0, _most())
+    answers = spark.range(0, 40, 1, 1).selectExpr("id AS request_id", "concat('```argdown\\n<A>: ', repeat('word ', 30000), '\\n```\\n') AS inputs")
+    rows = extraction.read(answers, counter=most).select("request_id", F.size("blocks.graph.arguments").alias("n")).collect()
+    assert 0 < most.value <= 4
+    assert sorted(map(tuple, rows)) == [(i, 1) for i in range(40)]
+
+
 def test_lines_are_dealt_once(spark):
     lines = spark.createDataFrame([(k, n, k * 7 + n, n) for k in range(20) for n in range(1, 4)], "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
