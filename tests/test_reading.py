@@ -7,7 +7,7 @@ from pyspark import AccumulatorParam
 from pyspark.sql import functions as F
 
 from argloom.functions import reading
-from argloom.operators import extraction
+from argloom.operators import extraction, scores
 from argloom.plans import judging, queries
 from argloom.sources import artifacts
 
@@ -60,6 +60,16 @@ def test_few_characters_in_memory(spark):
     assert sorted(map(tuple, rows)) == [(i, 1) for i in range(40)]
 
 
+def test_shape_of_a_graph_is_asked_for_once(spark):
+    """Three measures of a map's shape share one function, which gets a row at a time."""
+    inputs = "```argdown\n[A]: Claim.\n    <+ <B>: G.\n        <- <C>: H.\n```\n"
+    blocks = extraction.read(spark.createDataFrame([(1, inputs)], "request_id long, inputs string")).select(extraction.last("argdown").alias("b"))
+    out = blocks.select(scores.map_connectedness(F.col("b")), scores.map_max_diameter(F.col("b")), scores.map_min_diameter(F.col("b")))
+    assert tuple(out.first()) == (1.0, 2.0, 1 / 3)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert next(x for x in plan.splitlines() if "ArrowEvalPython" in x).split("], [")[0].count("each(") == 1
+
+
 def test_lines_are_dealt_once(spark):
     lines = spark.createDataFrame([(k, n, k * 7 + n, n) for k in range(20) for n in range(1, 4)], "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
