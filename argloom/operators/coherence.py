@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from argloom.functions.graphs import NEGATIONS, grounding
+
 from .checks import among, arguments, claims, every, ids, labels, propositions, references, relations, strings, text
 
 
@@ -159,15 +161,11 @@ def identical(p: Column, q: Column) -> Column:
     return F.coalesce((p["label"] == q["label"]) | F.arrays_overlap(p["texts"], q["texts"]), F.lit(False))
 
 
-#: How the negation of a text is written.
-NEGATIONS = ("NOT: {}", "Not: {}", "NOT {}", "Not {}")
-
-
 def contradictory(p: Column, q: Column, graph: Column) -> Column:
     """Two propositions that are declared to attack or contradict each other, or one of which is written as the other's negation."""
     ends = lambda r, x, y: (r["source"] == x["label"]) & (r["target"] == y["label"])
     declared = F.exists(relations(graph), lambda r: r["valence"].isin("ATTACK", "CONTRADICT") & (ends(r, p, q) | ends(r, q, p)))
-    negated = lambda x: F.flatten(F.transform(x["texts"], lambda t: F.array(*[text(*n.split("{}")[:1], t) for n in NEGATIONS])))
+    negated = lambda x: F.flatten(F.transform(x["texts"], lambda t: F.array(*[text(n, t) for n in NEGATIONS])))
     return F.coalesce((p["label"] != q["label"]) & (declared | F.arrays_overlap(p["texts"], negated(q)) | F.arrays_overlap(q["texts"], negated(p))), F.lit(False))
 
 
@@ -195,30 +193,11 @@ def indirectly(source: Column, target: Column, graph: Column, valence: str) -> C
 
 
 def map_reconstruction_relations(graph: Column, reco: Column) -> Column:
-    """Relations drawn in the map with an argument at one end are grounded in premises and conclusions of the reconstruction."""
-    def of(d: Column) -> Column:
-        a, b = _find(arguments(reco), d["source"]), _find(arguments(reco), d["target"])
-        p, q = _find(claims(reco), d["source"]), _find(claims(reco), d["target"])
-        end = _find(claims(reco), F.try_element_at(a["pcs"], F.lit(-1))["proposition"])
-        premises = F.transform(F.filter(b["pcs"], lambda x: ~x["is_conclusion"]), lambda x: _find(claims(reco), x["proposition"]))
-        support = d["valence"] == "SUPPORT"
-        as_premise = lambda x: F.when(support, F.exists(premises, lambda y: identical(y, x))).otherwise(F.exists(premises, lambda y: contradictory(y, x, reco)))
-        as_end = F.when(support, identical(end, q)).otherwise(contradictory(end, q, reco))
-        word = F.when(support, "support").otherwise("attack")
-        head = lambda s, t: text("Sketched ", word, " relation from ", s, " to ", t, " in argument map is not grounded in the argument reconstruction, ")
-        s_arg, t_arg = text("<", d["source"], ">"), text("<", d["target"], ">")
-        s_prop, t_prop = text("[", d["source"], "]"), text("[", d["target"], "]")
-        premise_of = F.when(support, text(" does not figure as premise in ", t_arg, ".")).otherwise(text(" does not contradict any premise in ", t_arg, "."))
-        both = d["source_argument"] & d["target_argument"]
-        whole = lambda *xs: F.coalesce(F.least(*[F.coalesce(F.size(x["pcs"]), F.lit(0)) for x in xs], F.lit(1)) > 0, F.lit(False))
-        return (
-            F.when(both & whole(a, b) & ~as_premise(end), text(head(s_arg, t_arg), "conclusion of ", s_arg, premise_of))
-            .when(~d["source_argument"] & d["target_argument"] & p.isNotNull() & whole(b) & ~as_premise(p), text(head(s_prop, t_arg), "proposition ", s_prop, premise_of))
-            .when(d["source_argument"] & ~d["target_argument"] & q.isNotNull() & whole(a) & ~as_end, text(head(s_arg, t_prop), "proposition ", t_prop, F.when(support, text(" does not figure as conclusion in ", s_arg, ".")).otherwise(text(" does not contradict the conclusion of ", s_arg, "."))))
-        )
-
+    """Relations drawn in the map with an argument at one end are grounded in premises and conclusions of the reconstruction. Looked up in Python, so it can't stand
+    in a lambda: nodes are found by label, and an array would be gone through for each of them."""
     drawn = F.filter(relations(graph), lambda d: among(F.lit("SKETCHED"), d["dialectics"]) & d["valence"].isin("SUPPORT", "ATTACK"))
-    return F.filter(F.transform(drawn, of), lambda m: m.isNotNull())
+    drawn = F.transform(drawn, lambda d: F.struct(*[d[c].alias(c) for c in ("source", "source_argument", "target", "target_argument", "valence")]))
+    return grounding(drawn, claims(reco), arguments(reco), F.filter(relations(reco), lambda r: r["valence"].isin("ATTACK", "CONTRADICT")))
 
 
 def map_logic_relations(graph: Column, reco: Column) -> Column:

@@ -65,8 +65,8 @@ ANNO, ARGDOWN = Role("xml"), Role("argdown")
 
 @dataclass(frozen=True)
 class Step:
-    """A check of whole requests (kind has), of each block in a role (block), of the last blocks in two roles (pair), or of each block in a role by a
-    function of its own that may fail (function): then the block has an invalid result that says so, and nothing else stops."""
+    """A check of whole requests (kind has), of each block in a role (block), of the last blocks in two roles (pair), of the same by
+    a check that goes to Python (apart: not in a lambda), or of each block in a role by a function of its own that may fail (function): then the block has an invalid result that says so, and nothing else stops."""
 
     verifier_id: str
     kind: str
@@ -87,8 +87,11 @@ class Step:
             told = _told(self.check)(F.transform(asked, lambda b: F.to_json(b)))
             said = lambda b, t: F.when(t["error"].isNotNull(), F.array(F.struct(F.lit(self.verifier_id).alias("verifier_id"), checks.strings().alias("refs"), F.lit(False).alias("is_valid"), F.concat(F.lit("Processing error: "), t["error"]).alias("message")))).otherwise(result(self.verifier_id, F.array(b["id"]), t["messages"], self.between))
             return F.flatten(F.zip_with(asked, told, lambda b, t: said(b, t).cast(RESULT)))
-        # Both blocks are bound by the lambda, once; a pair counts only in the order in which blocks are found.
         first, second = own
+        if self.kind == "apart":
+            a, b = first.last(), second.last()
+            return F.when(F.coalesce(a["pos"] < b["pos"], F.lit(False)), result(self.verifier_id, F.array(a["id"], b["id"]), self.check(a, b), self.between)).otherwise(F.array().cast(RESULT))
+        # Both blocks are bound by the lambda, once; a pair counts only in the order in which blocks are found.
         pair = F.filter(F.array(F.struct(first.last().alias("a"), second.last().alias("b"))), lambda p: F.coalesce(p["a"]["pos"] < p["b"]["pos"], F.lit(False)))
         return F.flatten(F.transform(pair, lambda p: result(self.verifier_id, F.array(p["a"]["id"], p["b"]["id"]), self.check(p["a"], p["b"]), self.between)))
 
@@ -147,7 +150,7 @@ def _pair(name: str, first: str, second: str, check: Callable[[Column, Column],
 ANNO_MAP = [_pair("ArgannoArgmap.ElemCohereHandler", "argmap", "arganno", _switched(coherence.annotation_map_elements), " "), _pair("ArgannoArgmap.DRelCohereHandler", "argmap", "arganno", _switched(coherence.annotation_map_relations), " ")]
 ANNO_RECO = [_pair("ArgannoInfreco.ElemCohereHandler", "infreco", "arganno", _switched(coherence.annotation_reconstruction_elements), " - "), _pair("ArgannoInfreco.RelationCohereHandler", "infreco", "arganno", _switched(coherence.annotation_reconstruction_relations), " - ")]
 ANNO_LOGIC = [replace(s, verifier_id=s.verifier_id.replace("Infreco", "Logreco")) for s in ANNO_RECO]
-MAP_RECO = [_pair("ArgmapInfreco.ElemCohereHandler", "argmap", "infreco", coherence.same_labels, " - "), _pair("ArgmapInfreco.RelationCohereHandler", "argmap", "infreco", coherence.map_reconstruction_relations, " - ")]
+MAP_RECO = [_pair("ArgmapInfreco.ElemCohereHandler", "argmap", "infreco", coherence.same_labels, " - "), Step("ArgmapInfreco.RelationCohereHandler", "apart", ("argmap", "infreco"), coherence.map_reconstruction_relations, " - ")]
 MAP_LOGIC = [_pair("ArgmapLogreco.ElemCohereHandler", "argmap", "infreco", coherence.same_labels, " - "), _pair("ArgmapLogreco.RelationCohereHandler", "argmap", "infreco", coherence.map_logic_relations, " - ")]
 
 

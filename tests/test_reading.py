@@ -2,6 +2,7 @@
 
 import random
 import textwrap
+import time
 
 from pyspark import AccumulatorParam
 from pyspark.sql import functions as F
@@ -60,6 +61,18 @@ def test_few_characters_in_memory(spark):
     assert sorted(map(tuple, rows)) == [(i, 1) for i in range(40)]
 
 
+def test_wide_pairs(spark):
+    """A map of 300 relations and their reconstructions: nodes are looked up, not searched for once more for every relation and premise."""
+    drawn = "".join(f"\n    {'<+' if i % 2 else '<-'} <A{i}>: G." for i in range(300))
+    made = "".join(f"\n\n<A{i}>: G.\n\n(1) [P{i}]: P{i}.\n-- {{from: [\"1\"]}} --\n(2) " + ("[End]" if i % 2 else f"[N{i}]: No.\n    >< [End]" if i % 4 else f"[M{i}]: Else.") for i in range(300))
+    inputs = f'```argdown {{filename="map.ad"}}\n[End]: It is.{drawn}\n```\n```argdown {{filename="reconstructions.ad"}}\n[End]: It is.{made}\n```\n'
+    began = time.time()
+    row = judging.judge(spark.createDataFrame([(1, inputs)], "sol_pos long, raw_answer string"), "argmap_plus_infreco").first()
+    said = [m["message"] for m in row["metrics"] if "RelationCohere" in m["key"]]
+    assert said == [" - ".join(f"Sketched attack relation from <A{i}> to [End] in argument map is not grounded in the argument reconstruction, proposition [End] does not contradict the conclusion of <A{i}>." for i in range(0, 300, 4))]
+    assert time.time() - began < 60
+
+
 def test_shape_of_a_graph_is_asked_for_once(spark):
     """Three measures of a map's shape share one function, which gets a row at a time."""
     inputs = "```argdown\n[A]: Claim.\n    <+ <B>: G.\n        <- <C>: H.\n```\n"
